@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import mixing, oracles, sharding, url_filter
+from askloom.llm import mixing, oracles, sharding, token_store, url_filter, warc
 
 #: Rules of the URL contract: (verdict, host, path).
 URL_RULES = [
@@ -39,5 +39,16 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_kd_tree_shards, op9_url_reputation)}
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_kd_tree_shards, op6_huffman_tokens, op9_url_reputation, op10_warc_bundles)}
 ORACLES = oracles.ORACLES
