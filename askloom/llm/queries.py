@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import mixing, oracles, quality, sharding, token_store, url_filter, warc
+from askloom.llm import html_text, mixing, oracles, quality, sharding, token_store, url_filter, warc
 
 #: Rules of the URL contract: (verdict, host, path).
 URL_RULES = [
@@ -35,6 +35,11 @@ def op5_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is a bad outcome if the label with its number says low quality or toxic."""
     labels = table(spark, sf_dir, "labels")
@@ -54,5 +59,5 @@ def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_qda, op5_kd_tree_shards, op6_huffman_tokens, op9_url_reputation, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_qda, op5_kd_tree_shards, op6_huffman_tokens, op8_html_line_blocks, op9_url_reputation, op10_warc_bundles)}
 ORACLES = oracles.ORACLES
