@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import html_text, mixing, oracles, quality, sharding, token_store, url_filter, warc
+from askloom.llm import html_text, mixing, near_vectors, oracles, quality, sharding, token_store, url_filter, warc
 
 #: Rules of the URL contract: (verdict, host, path).
 URL_RULES = [
@@ -30,6 +30,10 @@ def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op5_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -59,5 +63,5 @@ def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_qda, op5_kd_tree_shards, op6_huffman_tokens, op8_html_line_blocks, op9_url_reputation, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_qda, op4_pq_near_vectors, op5_kd_tree_shards, op6_huffman_tokens, op8_html_line_blocks, op9_url_reputation, op10_warc_bundles)}
 ORACLES = oracles.ORACLES
