@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import html_text, mixing, near_vectors, oracles, quality, sharding, token_store, url_filter, warc
+from askloom.llm import decontaminate, html_text, mixing, near_vectors, oracles, quality, sharding, token_store, url_filter, warc
 
 #: Rules of the URL contract: (verdict, host, path).
 URL_RULES = [
@@ -39,6 +39,14 @@ def op5_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_suffix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -63,5 +71,5 @@ def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_qda, op4_pq_near_vectors, op5_kd_tree_shards, op6_huffman_tokens, op8_html_line_blocks, op9_url_reputation, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_qda, op4_pq_near_vectors, op5_kd_tree_shards, op6_huffman_tokens, op7_suffix_decontaminate, op8_html_line_blocks, op9_url_reputation, op10_warc_bundles)}
 ORACLES = oracles.ORACLES
