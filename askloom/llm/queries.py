@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import decontaminate, html_text, mixing, near_vectors, oracles, quality, sharding, token_store, url_filter, warc
+from askloom.llm import decontaminate, html_text, jaccard_join, mixing, near_vectors, oracles, quality, sharding, token_store, url_filter, warc
 
 #: Rules of the URL contract: (verdict, host, path).
 URL_RULES = [
@@ -26,6 +26,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,5 +75,5 @@ def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_qda, op4_pq_near_vectors, op5_kd_tree_shards, op6_huffman_tokens, op7_suffix_decontaminate, op8_html_line_blocks, op9_url_reputation, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_quality_qda, op4_pq_near_vectors, op5_kd_tree_shards, op6_huffman_tokens, op7_suffix_decontaminate, op8_html_line_blocks, op9_url_reputation, op10_warc_bundles)}
 ORACLES = oracles.ORACLES
