@@ -1,13 +1,13 @@
 """Operator 6: token ids in a canonical, length-limited Huffman code.
 
-One pass encodes every text and counts the ids; their counts give code lengths of at most 16 bits (package-merge over the
-vocabulary, which is bounded). A second pass encodes each document as an independent block of whole bytes, deals the
-blocks out by ranges of doc_id and writes a file for each range, documents in ascending order. Each file carries the code
+Texts are tokenized once, into a table of ids in the shared folder. Their counts give code lengths of at most 16 bits
+(package-merge over the vocabulary, which is bounded). A second pass packs each document as an independent block of whole
+bytes, deals the blocks out by ranges of doc_id and writes a file for each range, documents in ascending order. Each file carries the code
 lengths, and for each document its length in ids and bytes and a bit-offset checkpoint every 64 ids, so that decoding
 looks up one table for all checkpoints of many documents at once.
 
-Texts are cut at ASCII white space, which the tokenizer drops anyway, and every distinct piece of a task is given to the
-tokenizer once: the ids are the tokenizer's own.
+Texts are cut where the tokenizer cuts them anyway (white space, which it drops, and between letters and punctuation if
+probes show so), and every distinct piece of a task is given to the tokenizer once: the ids are the tokenizer's own.
 
 Defined results: a null or empty text has only the end id; null doc_id comes first; equal doc_ids keep any order among
 themselves; an empty table gives no file.
@@ -15,14 +15,17 @@ themselves; an empty table gives no file.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from askloom.llm import _words
 from askloom.llm._shared import new_folder
 from askloom.llm._store import locate, publish
 
@@ -40,7 +43,14 @@ DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class Encoder:
-    """Texts to ids: distinct pieces between white space are tokenized once and remembered."""
+    """Texts to ids: distinct pieces between white space are tokenized once and remembered.
+
+    What the tokenizer is asked to show on probes allows cheaper pieces: lower-casing A-Z first, parting letters from
+    ASCII punctuation, and giving words of plain letters to its model directly.
+    """
+
+    #: Latin letters that no Unicode normal form or lower-casing changes.
+    LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str, end_id: int) -> None:
         import os
@@ -49,17 +59,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.model = self.tokenizer.model
+        alphabet = "abcdefghijklmnopqrstuvwxyz"
+        self.lowers = self._ids(f"Mixed {alphabet.upper()}") == self._ids(f"mixed {alphabet}")
+        parted = [c for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~" if all(self._ids(f"{x}{c}{y}") == self._ids(x) + self._ids(c) + self._ids(y) for x in ("ab", "the", "s") for y in ("cd", "ing", "s", "ll"))]
+        self.letter = np.isin(np.arange(256), list(alphabet.encode()) + ([] if self.lowers else list(alphabet.upper().encode())))
+        self.parted = np.isin(np.arange(256), [ord(c) for c in parted])
+        # a byte-level model names the bytes that are not printable Latin characters by code points from 256
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        probes = [alphabet, "the", "\u00e9l\u00e0n", "\u00fcber", "\u00f1\u00ff\u00dfa", *(x + y for x in "aeint\u00e8" for y in alphabet)]
+        self.direct = all(self._direct(x) == self._ids(x) for x in probes)
         self.forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _direct(self, word: str) -> list[int]:
+        return [x.id for x in self.model.tokenize(word if word.isascii() else "".join(map(self.names.__getitem__, word.encode())))]
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.lengths, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16), 0
 
     def _learn(self, pieces: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        plain = self.LETTERS.fullmatch if self.direct else lambda _: None
+        other = [x for x in pieces if not plain(x)]
+        rest = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False))
+        found = [self._direct(x) if plain(x) else next(rest).ids for x in pieces]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.known.update(zip(pieces, range(len(self.lengths), len(self.lengths) + len(pieces)), strict=True))
-        flat = np.fromiter((i for x in found for i in x), np.uint16, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint16, int(lengths.sum()))
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), 2 * len(flat), 1 << 16), np.uint16)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -70,15 +100,23 @@ class Encoder:
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """A pyarrow string array -> (ids of all texts, each with the end id; offsets of the texts)."""
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        plain = np.where((raw >= 9) & (raw <= 13), np.uint8(32), raw)
-        spaced = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(plain.tobytes()))
-        lists = pc.split_pattern(spaced, " ")
-        pieces = lists.values.dictionary_encode()
+
+        raw, offsets = _words.flat(texts)
+        special = b"<|" in raw.tobytes()
+        if self.lowers and not special:
+            raw = _words.LOWER[raw]
+        solid = _words.NOT_SPACE[raw]
+        head = solid.copy()
+        head[1:] &= ~solid[:-1]
+        edges = offsets[:-1][offsets[:-1] < len(raw)]
+        head[edges] = solid[edges]
+        if not special:
+            letter, parted = self.letter[raw], self.parted[raw]
+            head[1:] |= (letter[1:] & parted[:-1]) | (parted[1:] & letter[:-1])
+        place = np.flatnonzero(head)
+        before = np.cumsum(solid) - solid
+        cuts = np.append(before[place], int(solid.sum())).astype(np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(place), pa.py_buffer(cuts.tobytes()), pa.py_buffer(raw[solid].tobytes())).dictionary_encode()
         if len(self.known) > REMEMBER:
             self.forget()
         distinct = pieces.dictionary.to_pylist()
@@ -88,7 +126,7 @@ class Encoder:
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))] if len(ends) else np.zeros(0, np.uint16)
-        stops = np.concatenate([[0], ends])[np.asarray(lists.offsets)] + np.arange(len(texts) + 1)
+        stops = np.concatenate([[0], ends])[np.searchsorted(place, offsets)] + np.arange(len(texts) + 1)
         out = np.full(len(ids) + len(texts), self.end_id, np.uint16)
         body = np.ones(len(out), bool)
         body[stops[1:] - 1] = False
@@ -264,23 +302,48 @@ def read_file(source) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray
 # --- jobs -----------------------------------------------------------------------------------------------------------
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all texts; at most one row an id reaches the driver."""
+def to_ids(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, ids (two bytes each), written under folder/raw: texts are tokenized once."""
 
-    def count(batches):
+    def run(batches):
         import pyarrow as pa
 
-        encode, total = Encoder(path, end_id), np.zeros(1 << 16, np.int64)
+        encode = Encoder(path, end_id)
         for batch in batches:
-            texts = batch.column(0)
+            doc, texts = batch.column(0), batch.column(1)
             for a, b in batches_of(texts):
-                total += np.bincount(encode(texts.slice(a, b - a))[0], minlength=1 << 16)
+                ids, stops = encode(texts.slice(a, b - a))
+                data = ids.astype("<u2").tobytes()
+                yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), pa.array([data[2 * x : 2 * y] for x, y in zip(stops, stops[1:])], pa.binary())], names=["doc_id", "ids"])
+
+    schema = "doc_id long, ids binary"
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(f"{folder}/raw")
+    return docs.sparkSession.read.schema(schema).parquet(f"{folder}/raw")
+
+
+def _flat_ids(column) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow binary column of ids -> (ids of all rows, offsets)."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view("<u2"), (offsets - offsets[0]) // 2
+
+
+def count_ids(ids: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents; at most one row an id reaches the driver."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            total += np.bincount(_flat_ids(batch.column(0))[0], minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << 16, np.int64)
-    for r in sums:
+    for r in ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -288,24 +351,24 @@ def count_ids(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, ids_per_file: int = 1 << 24) -> DataFrame:
     """docs(doc_id, text) -> files under folder/ids; returns their manifest, written under folder/manifest."""
     spark = docs.sparkSession
-    counts = count_ids(docs, path, end_id)
+    raw = to_ids(docs, folder, path, end_id)
+    counts = count_ids(raw)
     lengths = code_lengths(counts[: int(np.flatnonzero(counts).max(initial=0)) + 1])
     parts = max(1, -(-int(counts.sum()) // ids_per_file))
-    cuts = docs.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    cuts = raw.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     code = spark.sparkContext.broadcast(lengths)  # one byte an id of the vocabulary
 
     def encode(batches):
         import pyarrow as pa
 
-        to_ids, codes = Encoder(path, end_id), canonical_codes(code.value)
+        codes = canonical_codes(code.value)
         for batch in batches:
-            doc, texts = batch.column(0), batch.column(1)
-            for a, b in batches_of(texts):
-                ids, stops = to_ids(texts.slice(a, b - a))
+            for a, b in batches_of(batch.column(1), 2 * AT_ONCE):
+                ids, stops = _flat_ids(batch.column(1).slice(a, b - a))
                 data, byte_at, steps, marks = pack(ids, stops, code.value, codes)
-                raw = steps.astype("<u2").tobytes()
+                bits = steps.astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [doc.slice(a, b - a), pa.array(np.diff(stops)), pa.array([data[x:y] for x, y in zip(byte_at, byte_at[1:])], pa.binary()), pa.array([raw[2 * x : 2 * y] for x, y in zip(marks, marks[1:])], pa.binary())],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(stops)), pa.array([data[x:y] for x, y in zip(byte_at, byte_at[1:])], pa.binary()), pa.array([bits[2 * x : 2 * y] for x, y in zip(marks, marks[1:])], pa.binary())],
                     names=["doc_id", "n", "block", "steps"],
                 )
 
@@ -335,7 +398,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, ids_p
     part = F.lit(0)
     for k, cut in enumerate(cuts):
         part = F.when(F.col("doc_id") >= int(cut), k + 1).otherwise(part)
-    blocks = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n long, block binary, steps binary")
+    blocks = raw.mapInArrow(encode, "doc_id long, n long, block binary, steps binary")
     dealt = blocks.select(part.cast("int").alias("part"), "doc_id", "n", "block", "steps").repartitionById(parts, F.col("part"))
     ordered = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
