@@ -13,7 +13,7 @@ _ONE_TO_ONE = {
     "‘": "'", "’": "'", "“": '"', "”": '"',
     "–": "-", "—": "-", "−": "-",
 }
-_REMOVED = "​﻿­"
+_REMOVED = "­​﻿"
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl"}
 
 # Shapes of lines (page markers, rules, headings, citation entries, bibliography headings).
