@@ -51,7 +51,7 @@ def ingest(segments: DataFrame, config: Config = DEFAULT, model: Callable = vect
     size = F.octet_length(F.coalesce("text", F.lit("")))
     per = segments.groupBy("doc_id").agg(F.any_value("filename").alias("filename"), F.sum(size).alias("size"), F.max(tx.strip(F.coalesce("text", F.lit("")))).alias("some"))
     code = readers.reject_code(tx.file_extension(F.col("filename")), F.col("size"), F.col("some"), config)
-    _, rejects = readers.split_rejects(per.drop("some"), code)
+    _, rejects = readers.split_rejects(per, code)
     refused = per.filter(code.isNotNull()).select("doc_id")
     good = segments.join(refused, "doc_id", "left_anti")
     chunks = chunk.chunk_documents(good, config)

@@ -82,16 +82,21 @@ def title_aware(text: Column, filename: Column) -> Column:
 # --- the same in DataFrame operations -------------------------------------------------------------------------------
 
 
-def feature_list(text: Column, n: int = DEFAULT.ngram) -> Column:
-    words = tx.tokens(text, "[a-z0-9]+")
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.lit("b:"), F.element_at(words, i + 1), F.lit("_"), w))
-    padded = lambda w: F.when(F.length(w) >= n, F.concat(F.lit("^"), w, F.lit("$"))).otherwise(w)
-    grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded(w)) - (n - 1))), lambda i: F.concat(F.lit("c:"), F.substring(padded(w), i, F.lit(n))))))
-    return F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), pairs, grams)
-
-
-def term_frequencies(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    return rows.select(key, F.explode(feature_list(F.col("text"))).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
+def term_frequencies(rows: DataFrame, key: str = "doc_id", n: int = DEFAULT.ngram) -> DataFrame:
+    """(key, feature, n). Character grams are taken from each distinct word of a text, with its count."""
+    tokens = rows.select(key, tx.tokens(F.col("text"), "[a-z0-9]+").alias("words"))
+    words = tokens.select(key, F.explode("words").alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = tokens.select(key, F.explode(F.arrays_zip(F.slice("words", F.lit(1), rest).alias("a"), F.slice("words", F.lit(2), rest).alias("b"))).alias("p"))
+    padded = F.when(F.length("w") >= n, F.concat(F.lit("^"), F.col("w"), F.lit("$"))).otherwise(F.col("w"))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p") - (n - 1)))
+    grams = words.select(key, padded.alias("p"), "n").select(key, "p", "n", F.explode(places).alias("i"))
+    every = (
+        words.select(key, F.concat(F.lit("w:"), F.col("w")).alias("feature"), "n")
+        .union(pairs.select(key, F.concat(F.lit("b:"), F.col("p.a"), F.lit("_"), F.col("p.b")), F.lit(1).cast("long")))
+        .union(grams.select(key, F.concat(F.lit("c:"), F.substring(F.col("p"), F.col("i"), F.lit(n))), "n"))
+    )
+    return every.groupBy(key, "feature").agg(F.sum("n").alias("n"))
 
 
 def hashed_md5(rows: DataFrame, key: str = "doc_id", dimension: int = DEFAULT.dimension) -> DataFrame:

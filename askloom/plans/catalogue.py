@@ -1,4 +1,560 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each applies the library's operators to whole tables. Their SQL is in askloom.plans.oracles.
+
+The shared tables hold little dirt, so cleaning queries first add some with expressions that any SQL engine has.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from askloom.functions import text as tx
+from askloom.operators import answer as an
+from askloom.operators import chunk, clean, index, lifecycle, report, retrieve, vectorize
+from askloom.plans.oracles import ORACLES
+from askloom.schemas import DEFAULT
+from askloom.sources import readers, storage
+from askloom.streaming import jobs
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    name = F.format_string("%s_%d.txt", F.col("source"), F.col("doc_id"))
+    return table(spark, d, "documents").withColumn("filename", name)
+
+
+def dirty(text: Column) -> Column:
+    """Broken words at line ends and non-breaking spaces."""
+    return F.replace(F.replace(text, F.lit("tion "), F.lit("ti-\non  ")), F.lit(" the "), F.lit("\u00a0the\u00a0"))
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """One segment a document."""
+    docs = documents(spark, d)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "filename", F.lit(None).cast("int").alias("page"), F.lit(0).alias("seq"), "text")
+
+
+def paged(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of 20 lines."""
+    lines = F.split("text", "\n")
+    pages = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 20).cast("int"))
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", lines.alias("lines"), F.explode(pages).alias("seq"))
+    text = F.array_join(F.slice("lines", F.col("seq") * 20 + 1, F.lit(20)), "\n")
+    return docs.select("doc_id", (F.col("seq") + 1).alias("page"), "seq", text.alias("text"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """The first twelve words of every benchmark item as a question."""
+    words = F.slice(F.split("text", " "), 1, 12)
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(words, " ").alias("question"))
+
+
+def paired(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with one question: the one whose number is doc_id modulo the number of questions."""
+    questions = asked(spark, d)
+    n = questions.agg(F.count(F.lit(1)).alias("n_questions"))
+    docs = table(spark, d, "documents").select("doc_id", "text").crossJoin(n)  # one row
+    return docs.withColumn("question_id", F.col("doc_id") % F.col("n_questions")).drop("n_questions").join(questions, "question_id")
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as hits: a question each conversation, its turns in rank order, pages on two of three turns."""
+    page = F.when(F.col("turn") % 3 > 0, (F.col("turn") + 1).cast("int"))
+    return table(spark, d, "conversations").select(
+        F.col("conv_id").alias("question_id"), (F.col("turn") + 1).cast("int").alias("rank"), F.col("role").alias("doc_id"), F.concat("role", F.lit(".txt")).alias("filename"),
+        F.col("turn").cast("int").alias("chunk_index"), page.alias("page"), F.col("text"), F.round(1 / (F.col("turn") + 1), 4).alias("score"), (F.col("turn") % 4 == 3).alias("is_reference"),
+    )
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as registry rows."""
+    day = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    return documents(spark, d).select(
+        "doc_id", F.col("doc_id").alias("id"), "filename", F.col("n_chars").alias("size_bytes"), F.when(F.col("doc_id") % 7 == 0, "error").otherwise("ready").alias("status"),
+        (F.col("n_chars") / 400).cast("int").alias("chunk_count"), day.alias("uploaded_at"), day.alias("updated_at"), tx.fingerprint(F.col("text")).alias("fingerprint"),
+    )
+
+
+def history(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("response_time_ms"), F.col("ts").alias("created_at"))
+
+
+# --- files and cleaning ---------------------------------------------------------------------------------------------
+
+
+@query
+def fingerprint_duplicates(spark, d):
+    """Contents that more than one document has."""
+    marked = documents(spark, d).select("doc_id", tx.fingerprint(F.col("text")).alias("fingerprint"))
+    groups = marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
+    return groups.filter("copies > 1")
+
+
+@query
+def reject_report(spark, d):
+    extension = F.element_at(F.array(*map(F.lit, ("pdf", "docx", "txt", "md", "TXT"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    docs = table(spark, d, "documents")
+    code = readers.reject_code(extension, F.col("n_chars") * 1000, F.col("text"))
+    return docs.select("doc_id", code.alias("code")).filter("code IS NOT NULL")
+
+
+@query
+def upload_outcome(spark, d):
+    code = readers.reject_code(F.when(F.col("doc_id") % 5 == 3, "md").otherwise("txt"), F.col("n_chars"), F.col("text"))
+    return report.outcome(table(spark, d, "documents").select(code.alias("code")))
+
+
+@query
+def clean_text(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", dirty(F.col("text")).alias("text"))
+    cleaned = docs.withColumn("clean_text", tx.strip(tx.clean_basic(F.col("text"))))
+    return cleaned.select("doc_id", "clean_text", report.noise_removed(F.length("text"), F.length("clean_text")).alias("noise_percent"))
+
+
+@query
+def boilerplate_lines(spark, d):
+    return clean.boilerplate(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def drop_furniture(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return clean.drop_furniture(docs, clean.boilerplate(docs)).select("doc_id", "text")
+
+
+@query
+def page_spans(spark, d):
+    return clean.spans(paged(spark, d)).select("doc_id", "page", "start", "end")
+
+
+@query
+def page_for_offset(spark, d):
+    """Starts every 400 characters, and one beyond the end."""
+    spans = clean.spans(paged(spark, d))
+    ends = spans.groupBy("doc_id").agg(F.max("end").alias("stop"))
+    starts = ends.select("doc_id", F.explode(F.concat(F.sequence(F.lit(0), F.col("stop"), F.lit(400)), F.array(F.col("stop") + 50))).alias("char_start"))
+    return clean.with_pages(starts, spans.select("doc_id", "page", "start", "end")).select("doc_id", "char_start", "page")
+
+
+@query
+def bibliography_start(spark, d):
+    """A heading and three to six entries are added to every tenth document, a bare heading to others."""
+    entries = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 4 + 3).cast("int")), lambda k: F.concat(F.lit("["), k.cast("string"), F.lit("] A. Author, title\nof the work"))), "\n")
+    added = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("\n\nReferences\n"), entries)).when(F.col("doc_id") % 10 == 1, F.lit("\nReferences\nas given in the text\nand more\nand more")).otherwise("")
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", added).alias("text"))
+    return clean.reference_start(docs)
+
+
+@query
+def two_column_order(spark, d):
+    """Words set in two columns of four, 50 lines a page."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "text")).filter("text <> ''")
+    place, line = F.col("i") % 8, F.floor(F.col("i") / 8)
+    x0 = F.when(place < 4, 40 + 60 * place).otherwise(330 + 60 * (place - 4)).cast("double")
+    boxes = words.select("doc_id", F.floor(line / 50).cast("int").alias("page"), F.lit(612.0).alias("page_width"), "text", x0.alias("x0"), (x0 + 50).alias("x1"), ((line % 50) * 12).cast("double").alias("top"))
+    return readers.reading_order(boxes)
+
+
+@query
+def flatten_blocks(spark, d):
+    turns_ = table(spark, d, "conversations")
+    blocks = turns_.select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 4 == 3, "table_row").otherwise("paragraph").alias("kind"),
+        F.when(F.col("role") == "user", "Heading 1").otherwise("Normal").alias("style"), "text", F.array(F.col("role"), F.lit(" "), F.col("turn").cast("string")).alias("cells"),
+    )
+    return readers.flatten_blocks(blocks)
+
+
+# --- chunks and vectors ---------------------------------------------------------------------------------------------
+
+
+@query
+def chunks(spark, d):
+    return chunk.chunk_documents(segments(spark, d)).select("chunk_id", "doc_id", "chunk_index", "text", "char_start", "char_end", "page", "is_reference")
+
+
+@query
+def chunk_invariants(spark, d):
+    """Documents whose chunks break a rule (none should): exact offsets, size, dense numbering."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("clean_text"))
+    made = chunk.chunk_texts(docs)
+    per = made.groupBy("doc_id").agg(F.max(F.length("text")).alias("longest"), F.max("chunk_index").alias("last"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("char_start", "char_end", "text")).alias("found"))
+    exact = F.forall("found", lambda c: F.substring(F.col("clean_text"), c["char_start"] + 1, c["char_end"] - c["char_start"]) == c["text"])
+    bad = docs.join(per, "doc_id", "left").withColumn("ok", F.when(tx.strip(F.coalesce("clean_text", F.lit(""))) == "", F.col("n").isNull()).otherwise(exact & (F.col("longest") <= DEFAULT.chunk_size) & (F.col("last") + 1 == F.col("n"))))
+    return bad.filter(~F.coalesce("ok", F.lit(False))).select("doc_id")
+
+
+@query
+def chunk_stats(spark, d):
+    return report.chunk_stats(table(spark, d, "conversations").select("conv_id", "text"), "conv_id")
+
+
+@query
+def term_counts(spark, d):
+    words = table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def content_terms(spark, d):
+    terms = tx.content_terms(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(terms).alias("n_terms"), F.array_join(F.array_sort(terms), " ").alias("terms"))
+
+
+@query
+def hash_vectors_md5(spark, d):
+    found = vectorize.hashed_md5(table(spark, d, "documents").select("doc_id", "text").filter("text IS NOT NULL"))
+    return found.select("doc_id", "bucket", F.round("value", 6).alias("value"))
+
+
+@query
+def hash_vectors(spark, d):
+    docs = documents(spark, d).select("doc_id", vectorize.title_aware(F.col("text"), F.col("filename")).alias("text"))
+    return vectorize.embed(docs).select("doc_id", "embedding")
+
+
+@query
+def unit_norm(spark, d):
+    scaled = F.transform("embedding", lambda v: v * (F.col("vec_id") % 5 + 1))
+    unit = vectorize.l2_normalize(scaled)
+    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, v: s + v * v))
+    return table(spark, d, "embeddings").select("vec_id", F.round(norm, 6).alias("norm"), F.round(F.get(unit, F.lit(0)), 6).alias("first"))
+
+
+# --- search ---------------------------------------------------------------------------------------------------------
+
+
+def vector_queries(spark: SparkSession, d: str, filtered: bool = False) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 50."""
+    rows = table(spark, d, "embeddings").filter("vec_id % 50 = 0")
+    return rows.select(F.col("vec_id").alias("question_id"), F.when(F.lit(filtered), F.col("label")).alias("document_id"), "embedding")
+
+
+def demoted_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Over-fetched hits; label 0 stands for bibliographies."""
+    vectors = table(spark, d, "embeddings")
+    found = index.knn(vectors, vector_queries(spark, d), DEFAULT.top_k * DEFAULT.candidate_multiplier, "vec_id").drop("rank")
+    flagged = found.join(vectors.select("vec_id", (F.col("label") == 0).alias("is_reference")), "vec_id")
+    return retrieve.rerank(flagged.withColumnRenamed("vec_id", "chunk_id"))
+
+
+@query
+def knn_exact(spark, d):
+    return index.knn(table(spark, d, "embeddings"), vector_queries(spark, d), 5, "vec_id").select("question_id", "vec_id", "rank", "score", "distance")
+
+
+@query
+def knn_filtered(spark, d):
+    found = index.knn(table(spark, d, "embeddings"), vector_queries(spark, d, True), 5, "vec_id", document="label")
+    return found.select("question_id", "vec_id", "rank", "score")
+
+
+@query
+def knn_lsh(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return index.knn_lsh(vectors, vector_queries(spark, d), 5, "vec_id").select("question_id", "vec_id", "rank", "score")
+
+
+@query
+def rerank_demoted(spark, d):
+    return demoted_hits(spark, d).select("question_id", "chunk_id", "rank", "score", "is_reference")
+
+
+@query
+def retrieval_summary(spark, d):
+    out = retrieve.summary(vector_queries(spark, d).select("question_id"), demoted_hits(spark, d))
+    return out.withColumn("margin", F.round("margin", 6))
+
+
+@query
+def index_status(spark, d):
+    return index.status(table(spark, d, "embeddings"))
+
+
+@query
+def chunks_by_document(spark, d):
+    return index.count_by_document(table(spark, d, "embeddings"), "label")
+
+
+# --- grounding and answers ------------------------------------------------------------------------------------------
+
+
+@query
+def term_coverage(spark, d):
+    covered = tx.coverage(tx.content_terms(F.col("question")), tx.content_terms(F.col("text")))
+    return paired(spark, d).select("doc_id", "question_id", F.round(covered, 6).alias("coverage"))
+
+
+@query
+def confidence(spark, d):
+    """From the searched vectors; coverage stands at a tenth of the question's number modulo eleven."""
+    value, parts = an.confidence(F.col("top_score"), F.col("coverage"), F.col("margin"))
+    facts = retrieval_summary(spark, d).withColumn("coverage", (F.col("question_id") % 11) / 10)
+    out = facts.withColumn("confidence", value).withColumn("parts", parts)
+    return out.select("question_id", "confidence", F.col("parts.similarity").alias("similarity"), F.col("parts.margin").alias("margin_part"), tx.confidence_label(F.col("confidence"), F.lit(True)).alias("confidence_label"))
+
+
+@query
+def grounding_gate(spark, d):
+    """Every pair of document and question as a question with that context; every ninth without hits."""
+    covered = tx.coverage(tx.content_terms(F.col("question")), tx.content_terms(F.col("text")))
+    returned = F.when(F.col("doc_id") % 9 == 0, 0).otherwise(1)
+    out = paired(spark, d).select("doc_id", covered.alias("coverage"), returned.alias("returned"))
+    out = out.withColumn("reason", an.reason(F.lit(1), F.col("returned"), F.col("coverage")))
+    return out.select("doc_id", "reason", (F.col("reason") != "answered").alias("abstained"))
+
+
+@query
+def citations(spark, d):
+    out = an.citations(turns(spark, d))
+    return out.select("question_id", F.array_join(F.transform("sources", lambda s: F.concat_ws("|", s["document_id"], s["chunk_index"].cast("string"), F.coalesce(s["page"].cast("string"), F.lit("-")), s["snippet"])), "\n").alias("sources"))
+
+
+@query
+def context_block(spark, d):
+    return an.contexts(turns(spark, d))
+
+
+@query
+def prompt_table(spark, d):
+    questions = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
+    return an.prompts(questions.join(an.contexts(turns(spark, d)).select("question_id", "context"), "question_id")).select("question_id", "prompt")
+
+
+@query
+def sentences(spark, d):
+    found = F.transform(tx.sentences(F.col("text")), tx.strip)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(found).alias("pos", "sentence")).filter(F.length("sentence") > DEFAULT.min_sentence_chars)
+
+
+@query
+def sentence_scores(spark, d):
+    rows = paired(spark, d).select("doc_id", tx.content_terms(F.col("question")).alias("terms"), F.posexplode(F.transform(tx.sentences(F.col("text")), tx.strip)).alias("pos", "sentence"))
+    body = tx.content_terms(F.col("sentence"))
+    label = F.array_except(F.split(F.lit("the report"), " "), F.array(F.lit("the")))
+    return rows.filter(F.length("sentence") > DEFAULT.min_sentence_chars).select("doc_id", "pos", F.round(an.sentence_score(F.col("terms"), body, label), 6).alias("score"))
+
+
+def hits_of_items(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items searched in the chunked corpus."""
+    made = chunk.chunk_documents(segments(spark, d))
+    vectors = vectorize.embed(made.withColumn("embed_text", vectorize.title_aware(F.col("text"), F.col("filename"))), "embed_text").drop("embed_text")
+    path = storage.work_folder(spark, "vectors")
+    vectors.write.parquet(path)
+    return retrieve.retrieve(asked(spark, d), spark.read.parquet(path))
+
+
+@query
+def sentence_dedupe(spark, d):
+    """Sentences of each conversation without those that repeat or hold an earlier one."""
+    rows = an.sentence_rows(turns(spark, d).withColumn("question", F.lit("")))
+    row = F.struct("rank", "pos", "sentence", F.array_distinct(tx.tokens(F.col("sentence"))).alias("tokens"))
+    per = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return per.select("question_id", F.explode(an.distinct_sentences(F.col("rows"))).alias("row")).select("question_id", "row.rank", "row.pos", "row.sentence")
+
+
+@query
+def extractive_answers(spark, d):
+    """Each conversation's first turn asked of all its turns."""
+    asked_ = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
+    return an.extract(turns(spark, d).join(asked_, "question_id"))
+
+
+@query
+def retrieved_chunks(spark, d):
+    return hits_of_items(spark, d).select("question_id", "rank", "chunk_id", "score", "is_reference", "token_estimate", "snippet")
+
+
+@query
+def answers(spark, d):
+    hits = hits_of_items(spark, d)
+    path = storage.work_folder(spark, "retrieved")
+    hits.write.parquet(path)
+    return an.answer(asked(spark, d), spark.read.parquet(path), table(spark, d, "documents").count())
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return answers(spark, d)
+
+
+@query
+def highlight(spark, d):
+    parts = tx.highlight(F.col("text"), F.col("question"))
+    marked = F.array_join(F.transform(parts, lambda p: F.when(p["hit"], F.concat(F.lit("<"), p["text"], F.lit(">"))).otherwise(p["text"])), "")
+    return paired(spark, d).select("doc_id", marked.alias("marked"))
+
+
+# --- reports --------------------------------------------------------------------------------------------------------
+
+
+@query
+def latency_stats(spark, d):
+    return report.latency_stats(history(spark, d))
+
+
+@query
+def history_recent(spark, d):
+    return report.recent(history(spark, d)).select("id", F.col("response_time_ms").alias("ms"))
+
+
+@query
+def registry_totals(spark, d):
+    return report.registry_totals(records(spark, d))
+
+
+@query
+def registry_listing(spark, d):
+    return report.registry_listing(records(spark, d)).select("id", "filename", "uploaded_at")
+
+
+@query
+def dashboard(spark, d):
+    return report.dashboard(records(spark, d), table(spark, d, "embeddings"), history(spark, d)).drop("last_indexed_at", "last_question_at")
+
+
+def as_history(spark: SparkSession, d: str) -> DataFrame:
+    source = F.struct(F.lit("a.txt").alias("filename"), F.col("turn").cast("int").alias("chunk_index"), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("int") + 1).alias("page"), F.col("role").alias("snippet"), F.lit(0.5).alias("score"))
+    return table(spark, d, "conversations").select(
+        "conv_id", F.col("turn").alias("id"), F.col("role").alias("question"), F.col("text").alias("answer"), (F.col("turn") % 4 / 4).alias("confidence"), F.lit("Low confidence").alias("confidence_label"),
+        (F.col("turn") * 100.0).alias("response_time_ms"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("turn").cast("int"))).alias("created_at"),
+        F.lit(None).cast("string").alias("llm_model"), F.lit(0.25).alias("top_score"), F.when(F.col("turn") % 3 > 0, F.array(source)).alias("sources"),
+    )
+
+
+@query
+def history_markdown(spark, d):
+    return report.history_markdown(as_history(spark, d), by=["conv_id"])
+
+
+@query
+def history_json(spark, d):
+    slim = as_history(spark, d).select("conv_id", "id", "question")
+    return report.history_json(slim, F.lit("2024-01-01"))
+
+
+@query
+def title_context(spark, d):
+    path = F.regexp_extract("url", r"://[^/?#]*/?([^?#]*)", 1)
+    return table(spark, d, "pages").select("page_id", tx.title_context(F.concat(F.lit("MyReport2NLPClassifier_"), F.replace(path, F.lit("/"), F.lit("_")), F.lit(".pdf"))).alias("title"))
+
+
+@query
+def file_scalars(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select(
+        "page_id", tx.safe_filename(url).alias("safe"), tx.file_extension(url).alias("extension"), tx.slugify(url).alias("slug"), tx.truncate(url, 20).alias("short"),
+        tx.human_size(F.octet_length("html")).alias("size"), tx.truncate_filename(url).alias("name"),
+    )
+
+
+@query
+def display_labels(spark, d):
+    ms = F.col("value") * 1000
+    return table(spark, d, "events").select("event_id", tx.format_duration(F.round(ms)).alias("duration"), tx.score_tone(F.col("value") / 100).alias("tone"), tx.relative_time(F.col("ts"), F.lit("2024-03-01 00:00:00")).alias("age"))
+
+
+# --- set operations and lifecycle -----------------------------------------------------------------------------------
+
+
+def known(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id", F.lit("known").alias("version"))
+
+
+def incoming(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("doc_id % 3 <> 1").select("doc_id", F.lit("incoming").alias("version"))
+
+
+@query
+def upsert(spark, d):
+    return index.append(known(spark, d), incoming(spark, d), "doc_id", "upsert")
+
+
+@query
+def insert_ignore(spark, d):
+    return index.append(known(spark, d), incoming(spark, d), "doc_id", "ignore")
+
+
+@query
+def merge_latest(spark, d):
+    return index.merge_latest(incoming(spark, d), known(spark, d), "doc_id")
+
+
+@query
+def delete_documents(spark, d):
+    return index.delete_documents(table(spark, d, "documents").select("doc_id", "source"), incoming(spark, d))
+
+
+@query
+def replace_reupload(spark, d):
+    """Every fifth document comes again under its own name and a new id: the old row goes."""
+    old = records(spark, d).select("id", "fingerprint", "filename")
+    again = old.filter("id % 5 = 0").withColumn("id", -F.col("id") - 1)
+    gone = index.replaced_documents(old, again)
+    return index.delete_documents(old, gone, "id").unionByName(again)
+
+
+@query
+def preview_chunks(spark, d):
+    return index.preview(table(spark, d, "conversations"), 3, "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+@query
+def rebuild_equals_ingest(spark, d):
+    """Chunks that a rebuild makes and the first ingest did not, or the other way round (none)."""
+    rows = segments(spark, d)
+    first = chunk.chunk_documents(rows).select("chunk_id", "text")
+    again = chunk.chunk_documents(rows.repartition(7, "filename")).select("chunk_id", "text")
+    return first.exceptAll(again).union(again.exceptAll(first))
+
+
+@query
+def ingest_records(spark, d):
+    made = lifecycle.ingest(segments(spark, d), now=F.lit("2024-01-01").cast("timestamp"))
+    return made.registry.select("id", "filename", "status", "chunk_count", "char_count", "word_count", "size_bytes", "fingerprint")
+
+
+@query
+def stage_metrics(spark, d):
+    trace = lifecycle.Trace(spark, "run")
+    folder = storage.work_folder(spark, "trace")
+    made = trace.stage("chunking", chunk.chunk_documents(segments(spark, d)), f"{folder}/chunks", longest=F.max(F.length("text")))
+    trace.stage("embedding", vectorize.embed(made), f"{folder}/vectors", dimension=F.max(F.size("embedding")))
+    return trace.table()
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+@query
+def stream_ingest(spark, d):
+    """Documents as a stream of files; the last version of the table."""
+    folder = storage.work_folder(spark, "stream")
+    schema = table(spark, d, "documents").schema
+    source = jobs.read_parquet_stream(spark, f"{d}/documents.parquet*", schema)
+    work = lambda rows: rows.select("doc_id", tx.word_count(F.col("text")).alias("words"), tx.fingerprint(F.col("text")).alias("fingerprint"))
+    running = jobs.ingest_stream(source, work, f"{folder}/table", f"{folder}/checkpoint", "doc_id")
+    running.awaitTermination()
+    return jobs.latest(spark, f"{folder}/table", running)
+
+
+@query
+def stream_latency(spark, d):
+    folder = storage.work_folder(spark, "stream")
+    source = jobs.read_parquet_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+    renamed = source.select(F.col("event_id").alias("id"), F.col("value").alias("response_time_ms"), F.col("ts").alias("created_at"))
+    name = "live_" + folder.rpartition("-")[2]
+    running = jobs.latency_stream(renamed, name, f"{folder}/checkpoint")
+    running.awaitTermination()
+    return spark.table(name)
