@@ -12,7 +12,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,11 +105,12 @@ def hashed_md5(rows: DataFrame, key: str = "doc_id", dimension: int = DEFAULT.di
     value = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
     sign = F.when(F.substring(digest, 1, 1) >= "8", 1.0).otherwise(-1.0)
     weighted = term_frequencies(rows, key).select(key, (value % dimension).cast("int").alias("bucket"), (sign * (1 + F.ln("n"))).alias("w"))
-    sums = weighted.groupBy(key, "bucket").agg(F.sum("w").alias("w"))
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scaled = sums.join(norms.filter("norm > 1e-12"), key).select(key, "bucket", (F.col("w") / F.col("norm")).alias("value"))
-    empty = rows.select(key).join(scaled.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("bucket"), F.lit(1.0).alias("value"))
-    return scaled.union(empty)
+    # a weightless row stands for each text, so that one without features is not lost
+    marks = rows.select(key, F.lit(-1).alias("bucket"), F.lit(0.0).alias("w"))
+    sums = weighted.union(marks).groupBy(key, "bucket").agg(F.sum("w").alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    scaled = sums.withColumn("norm", norm).filter((F.col("bucket") >= 0) == (F.col("norm") > 1e-12))
+    return scaled.select(key, F.greatest(F.lit(0), F.col("bucket")).alias("bucket"), F.when(F.col("bucket") < 0, 1.0).otherwise(F.col("w") / F.col("norm")).alias("value"))
 
 
 def l2_normalize(vector: Column) -> Column:
