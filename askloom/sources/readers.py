@@ -17,7 +17,10 @@ _CP1252 = {
 
 
 def scan_corpus(spark: SparkSession, path: str, config: Config = DEFAULT) -> DataFrame:
-    """(filename, extension, size_bytes, modified, content) of the files with an allowed extension; dot files are skipped."""
+    """(filename, extension, size_bytes, modified, content) of the files with an allowed extension.
+
+    Dot files are skipped; so are files of no bytes, which Spark's file reader does not list.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = files.select(tx.basename(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
     return named.withColumn("extension", tx.file_extension(F.col("filename"))).filter(~F.col("filename").startswith(".") & F.col("extension").isin(*config.extensions))
