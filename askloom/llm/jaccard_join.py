@@ -32,7 +32,7 @@ from askloom.llm import _words
 from askloom.llm._components import connected
 from askloom.llm._shared import materialize
 
-BLOCK, PIVOTS, SHRINKS = 2048, 32, 0.8
+BLOCK, PIVOTS, SHRINKS, LARGE = 2048, 32, 0.8, 512
 _U = np.uint64
 
 
@@ -48,26 +48,31 @@ def shingle_sets(texts, width: int) -> Iterator[np.ndarray]:
 
 
 def level_of(size: int, percent: int) -> int:
-    """log2 of the number of classes for sets of this size: one and a half times as many as may differ, or more."""
-    return max(0, (3 * (100 - percent) * size - 1) // (2 * percent)).bit_length()
+    """log2 of the number of classes for sets of this size: a tenth more than may differ, or more."""
+    least = -(-11 * (100 - percent) * size // (10 * percent))
+    return max(0, least - 1).bit_length()
 
 
 def cells(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The cells to which a set is sent."""
+    return np.concatenate([names for _, names in cells_by_level(shingles, percent)])
+
+
+def cells_by_level(shingles: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """The cells to which a set is sent: those of its own size, and of the sizes of larger sets that it may link with."""
     n = len(shingles)
     most = (100 - percent) * n // percent
-    sizes = (-(-percent * n // 100), n, 100 * n // percent)
     out = []
-    for level in range(level_of(sizes[0], percent), level_of(sizes[2], percent) + 1):
+    for level in range(level_of(n, percent), level_of(100 * n // percent, percent) + 1):
         kind = (shingles >> _U(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
         head = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
         load = np.diff(np.append(head, n))
         name = _words.mix(np.add.reduceat(_words.mix(shingles + _U(0x51ED2701)), head) + _U(level))
-        out.append(name[np.lexsort((name, -load))][: most + 1])
+        names = name[np.lexsort((name, -load))][: most + 1]
         if (rest := most + 1 - len(head)) > 0:  # classes without shingles come last
             empty = np.setdiff1d(np.arange(1 << level), kind[head]).astype(_U)
-            out.append(np.sort(_words.mix(_words.mix(empty + _U(0xE3779B1)) + _U(level)))[:rest])
-    return np.concatenate(out)
+            names = np.concatenate([names, np.sort(_words.mix(_words.mix(empty + _U(0xE3779B1)) + _U(level)))[:rest]])
+        out.append((level, names))
+    return out
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -118,6 +123,64 @@ def _same_cell(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def parities(shingles: np.ndarray, level: int) -> bytes:
+    """Whether each of 4 * 2^level classes (64 at least) holds an odd number of shingles, as bits."""
+    bits = max(6, level + 2)
+    odd = np.bincount((_words.mix(shingles + _U(0x2545F491)) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+COMPARED = 256
+
+
+def _compatible(percent: int):
+    """Rows (region, cell, n, doc_id, parities), in order -> pairs that join the members of a cell which may link.
+
+    In cells of more than COMPARED members, neighbours by size are joined whatever their parities.
+    """
+
+    def joined(n: np.ndarray, ids: np.ndarray, odd: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) > COMPARED:
+            near = 100 * n[:-1] >= percent * n[1:]
+            return ids[1:][near], ids[:-1][near]
+        bits = np.frombuffer(b"".join(odd), _U).reshape(len(ids), -1)
+        label = np.arange(len(ids))
+        for k in range(len(ids) - 1):
+            most = (n[k] + n[k + 1 :]) * (100 - percent) // (100 + percent)
+            may = (100 * n[k] >= percent * n[k + 1 :]) & (np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1) <= most)
+            if may.any():
+                met = np.unique(np.append(label[k + 1 :][may], label[k]))
+                label[np.isin(label, met)] = met[0]
+        moved = label != np.arange(len(ids))
+        return ids[moved], ids[label[moved]]
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, n, ids, odd = None, [], [], []
+        for batch in batches:
+            a, b = [], []
+
+            def close():
+                if len(ids) > 1:
+                    x, y = joined(np.array(n), np.array(ids), odd)
+                    a.append(x), b.append(y)
+
+            for region, cell, size, doc, bits in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (region, cell) != at:
+                    close()
+                    at, n, ids, odd = (region, cell), [], [], []
+                n.append(size), ids.append(doc), odd.append(bits)
+            if a:
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if len(ids) > 1:
+            x, y = joined(np.array(n), np.array(ids), odd)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return run
+
+
 # --- the join in a block --------------------------------------------------------------------------------------------
 
 
@@ -220,6 +283,37 @@ def _joined(percent: int):
 MEMBERS = "region long, here boolean, doc_id long, shingles binary"
 
 
+def _refined(members: DataFrame, percent: int, above: int) -> DataFrame:
+    """Takes regions of more than `above` members apart by cells and parities; members that can link with none go."""
+    big = materialize(members.groupBy("region").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > above).select("region"), "big-regions")
+
+    def described_again(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                regions, docs, where, sizes, odd = [], [], [], [], []
+                part = batch.slice(at, 256)
+                for region, doc, body in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    shingles = np.frombuffer(body, _U)
+                    for level, names in cells_by_level(shingles, percent):
+                        regions += [region] * len(names)
+                        docs += [doc] * len(names)
+                        sizes += [len(shingles)] * len(names)
+                        odd += [parities(shingles, level)] * len(names)
+                        where.append(names.view(np.int64))
+                if where:
+                    yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(np.concatenate(where)), pa.array(sizes, pa.int64()), pa.array(docs, pa.int64()), pa.array(odd, pa.binary())], names=["region", "cell", "n", "doc_id", "odd"])
+
+    of = members.join(big, "region", "left_semi")
+    rows = of.select("region", "doc_id", "shingles").mapInArrow(described_again, "region long, cell long, n long, doc_id long, odd binary")
+    pairs = rows.repartition("region", "cell").sortWithinPartitions("region", "cell", "n", "doc_id").mapInArrow(_compatible(percent), "a long, b long")
+    found = connected(pairs)
+    named = found.union(found.select(F.col("component"), F.col("component")).distinct()).select(F.col("id").alias("doc_id"), F.col("component").alias("part"))
+    parts = of.join(named, "doc_id").select(F.col("part").alias("region"), "here", "doc_id", "shingles")
+    return materialize(members.join(big, "region", "left_anti").select("region", "here", "doc_id", "shingles").union(parts), "regions")
+
+
 def _voronoi(members: DataFrame, big: DataFrame, percent: int, block: int) -> DataFrame:
     """Splits the regions in big(region, members) by pivots drawn from them; members(region, here, doc_id, shingles)."""
     of = members.join(big, "region")
@@ -277,6 +371,60 @@ def _split(members: DataFrame, percent: int, block: int) -> DataFrame:
     return out
 
 
+#: Bits of the filter on member ids: 16 a member, in parts of 2^20, 2^29 (64 MB) at most. A full filter only lets more pass.
+FILTER_PART, FILTER_MOST = 20, 29
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits that are set for every id of ids(rep). Each part is made by one task; what reaches the driver is bounded."""
+    count = ids.count()
+    size = 1 << min(FILTER_MOST, max(FILTER_PART, (16 * count).bit_length()))
+    place = F.pmod(F.xxhash64("rep"), F.lit(size))
+
+    def fill(batches):
+        import pyarrow as pa
+
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for k in np.unique(at >> FILTER_PART):
+                bits = parts.setdefault(int(k), np.zeros(1 << FILTER_PART, bool))
+                bits[at[(at >> FILTER_PART) == k] & ((1 << FILTER_PART) - 1)] = True
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(b).tobytes() for b in parts.values()], pa.binary())], names=["part", "bits"])
+
+    spread = ids.select(place.alias("at")).distinct().repartition(F.shiftright("at", FILTER_PART))
+    out = np.zeros(size // 8, np.uint8)
+    step = (1 << FILTER_PART) // 8
+    for r in spread.mapInArrow(fill, "part long, bits binary").collect():
+        out[r["part"] * step : (r["part"] + 1) * step] |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _member_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The shingle sets of wanted(rep, region, f1, f2), from the texts that pass the filter; no text is shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+
+    def sets(batches):
+        import pyarrow as pa
+
+        from askloom.llm.token_store import batches_of
+
+        for batch in batches:
+            at = batch.column(2).to_numpy() & (8 * len(bits.value) - 1)
+            passed = batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            for a, b in batches_of(passed.column(1)):
+                found = list(shingle_sets(passed.column(1).slice(a, b - a), width))
+                prints = [fingerprint(s) for s in found]
+                columns = [passed.column(0).slice(a, b - a), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "f1", "f2", "shingles"])
+
+    ids = F.col("doc_id").cast("long")
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(ids.alias("rep"), "text", F.xxhash64(ids).alias("h"))
+    found = texts.mapInArrow(sets, "rep long, f1 long, f2 long, shingles binary")
+    return found.join(wanted.hint("merge"), ["rep", "f1", "f2"]).select("region", F.lit(True).alias("here"), F.col("rep").alias("doc_id"), "shingles")
+
+
 def links(docs: DataFrame, described_: DataFrame, width: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep) of all sets, and pairs (a, b) of representatives that span the groups of linked sets."""
     reps = described_.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
@@ -288,24 +436,8 @@ def links(docs: DataFrame, described_: DataFrame, width: int, percent: int, bloc
     several = member.groupBy("region").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("region")
     wanted = materialize(member.join(several, "region").select("rep", "region", "f1", "f2"), "region-members")
 
-    def sets(batches):
-        import pyarrow as pa
-
-        from askloom.llm.token_store import batches_of
-
-        for batch in batches:
-            for a, b in batches_of(batch.column(4)):
-                part = batch.slice(a, b - a)
-                region, rep, f1, f2 = (part.column(k).to_pylist() for k in range(4))
-                rows = [(r, True, d, s.tobytes()) for r, d, p, q, s in zip(region, rep, f1, f2, shingle_sets(part.column(4), width), strict=True) if fingerprint(s) == (p, q)]
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["region", "here", "doc_id", "shingles"])
-
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    members = materialize(text.join(wanted, "rep").select("region", "rep", "f1", "f2", "text").mapInArrow(sets, MEMBERS), "regions")
-    split = _split(members, percent, block)
+    members = materialize(_member_sets(docs, wanted, width), "regions")
+    split = _split(_refined(members, percent, min(block, LARGE)), percent, block)
     blocks = split.filter("here").groupBy("region").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = split.join(blocks, "region").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # a member passes the blocks before its own; a visitor passes all
