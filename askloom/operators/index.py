@@ -47,6 +47,11 @@ def delete_documents(table: DataFrame, ids: DataFrame, key: str = "doc_id") -> D
     return table.join(ids.select(key), key, "left_anti")
 
 
+def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows with these keys, keys that have no row)."""
+    return table.join(ids.select(key), key, "left_semi"), ids.select(key).distinct().join(table.select(key), key, "left_anti")
+
+
 def replaced_documents(registry: DataFrame, uploads: DataFrame) -> DataFrame:
     """Registry rows that an upload with the same content and name replaces."""
     return registry.join(uploads.select("fingerprint", "filename").distinct(), ["fingerprint", "filename"], "left_semi")

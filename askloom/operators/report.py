@@ -41,6 +41,15 @@ def registry_listing(registry: DataFrame) -> DataFrame:
     return registry.orderBy(F.desc("uploaded_at"), "id")
 
 
+def by_status(registry: DataFrame, status: str) -> DataFrame:
+    return registry.filter(F.col("status") == status)
+
+
+def listed_chunks(registry: DataFrame) -> DataFrame:
+    """Chunks of the documents that a listing shows."""
+    return registry.agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("long").alias("chunks"))
+
+
 def registry_totals(registry: DataFrame) -> DataFrame:
     ready = F.col("status") == "ready"
     return registry.agg(

@@ -177,6 +177,20 @@ def flatten_blocks(spark, d):
     return readers.flatten_blocks(blocks)
 
 
+@query
+def format_dispatch(spark, d):
+    """A third of the documents as text files, a third as pages, the rest as blocks or an unknown format."""
+    docs = documents(spark, d)
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "pdf", "docx", "md"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = docs.select("doc_id", "filename", kind.alias("extension"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("text").cast("binary").alias("content"))
+    lines = F.split("text", "\n")
+    blocks = docs.select("doc_id", F.posexplode(lines).alias("seq", "text"), F.lit("paragraph").alias("kind"), F.lit("Normal").alias("style"), F.array().cast("array<string>").alias("cells"))
+    segments_, rejects = readers.dispatch(files, paged(spark, d).select("doc_id", "page", "text"), blocks)
+    counted = segments_.groupBy("filename").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("text")).alias("chars"), F.max("page").alias("pages"))
+    refused = rejects.select("filename", F.lit(0).cast("long").alias("segments"), F.lit(0).cast("long").alias("chars"), F.lit(None).cast("int").alias("pages"))
+    return counted.union(refused)
+
+
 # --- chunks and vectors ---------------------------------------------------------------------------------------------
 
 
@@ -496,6 +510,20 @@ def delete_documents(spark, d):
     return index.delete_documents(table(spark, d, "documents").select("doc_id", "source"), incoming(spark, d))
 
 
+@query
+def id_lookup(spark, d):
+    """Labelled numbers asked of the pages table: those found, and those missing."""
+    ids = table(spark, d, "labels").select(F.col("doc_id").alias("page_id"))
+    found, missing = index.lookup(table(spark, d, "pages").select("page_id"), ids, "page_id")
+    return found.select("page_id", F.lit(True).alias("found")).union(missing.select("page_id", F.lit(False)))
+
+
+@query
+def ready_documents(spark, d):
+    ready = report.by_status(records(spark, d), "ready")
+    return report.listed_chunks(ready).crossJoin(ready.agg(F.count(F.lit(1)).alias("documents")))  # one row each
+
+
 @query
 def replace_reupload(spark, d):
     """Every fifth document comes again under its own name and a new id: the old row goes."""

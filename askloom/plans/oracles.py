@@ -157,6 +157,14 @@ ORACLES = {
         SELECT doc_id, page::INT AS page, string_agg(part, {_NL} || {_NL} ORDER BY col) AS text FROM parts GROUP BY doc_id, page""",
     "flatten_blocks": f"""WITH lines AS (SELECT conv_id AS doc_id, turn AS seq, CASE WHEN turn % 4 = 3 THEN trim(role) || ' |  | ' || turn WHEN role = 'user' AND {_strip('text')} <> '' THEN '## ' || {_strip('text')} ELSE {_strip('text')} END AS line FROM conversations)
         SELECT doc_id, string_agg(line, {_NL} || {_NL} ORDER BY seq) AS text FROM lines WHERE line <> '' GROUP BY doc_id""",
+    "format_dispatch": f"""WITH {_PAGES}, named AS (SELECT doc_id, source || '_' || doc_id || '.txt' AS filename, text, doc_id % 4 AS kind FROM documents),
+        flat AS (SELECT doc_id, string_agg(line, {_NL} || {_NL} ORDER BY i) AS text FROM (SELECT doc_id, {_strip('l')} AS line, i FROM (SELECT doc_id, unnest(string_split(text, {_NL})) AS l, generate_subscripts(string_split(text, {_NL}), 1) AS i FROM documents)) WHERE line <> '' GROUP BY doc_id)
+        SELECT filename, 1::BIGINT AS segments, length(text)::BIGINT AS chars, NULL::INT AS pages FROM named WHERE kind = 0 AND strlen(text) > 0
+        UNION ALL SELECT filename, count(*), sum(length(p.text))::BIGINT, max(page)::INT FROM named n JOIN paged p USING (doc_id) WHERE kind = 1 AND strlen(n.text) > 0 GROUP BY filename
+        UNION ALL SELECT filename, 1, length(f.text)::BIGINT, NULL FROM named n JOIN flat f USING (doc_id) WHERE kind = 2 AND strlen(n.text) > 0
+        UNION ALL SELECT filename, 0, 0, NULL FROM named WHERE kind = 3 OR strlen(text) = 0 OR text IS NULL""",
+    "id_lookup": "SELECT page_id, true AS found FROM pages WHERE page_id IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, false FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)",
+    "ready_documents": f"WITH {_RECORDS} SELECT coalesce(sum(chunk_count), 0)::BIGINT AS chunks, count(*) AS documents FROM records WHERE status = 'ready'",
     "chunk_invariants": "SELECT doc_id FROM documents WHERE false",
     "chunk_stats": f"""SELECT conv_id, count(*) AS chunks, min(length(text))::INT AS smallest, max(length(text))::INT AS largest, round(avg(length(text)), 1) AS average,
         sum({_words('text')})::BIGINT AS words, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""",

@@ -113,6 +113,21 @@ def flatten_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "seq", line.alias("line")).filter("line <> ''").groupBy("doc_id").agg(F.expr("listagg(line, '\n\n') WITHIN GROUP (ORDER BY seq)").alias("text"))
 
 
+def dispatch(files: DataFrame, pages: DataFrame, blocks: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(segments, rejects) of files(doc_id, filename, extension, size_bytes, content) of all formats.
+
+    Plain text is decoded; paged formats take their texts from pages(doc_id, page, text) and structured ones from blocks,
+    which other tools extract. Unknown formats are rejected.
+    """
+    good, rejects = split_rejects(files, reject_code(F.col("extension"), F.col("size_bytes"), config=config))
+    of = lambda kind: good.filter(F.lower("extension") == kind)
+    plain = text_segments(of("txt"))
+    paged = of("pdf").select("doc_id", "filename").join(pages, "doc_id").select("doc_id", "filename", F.col("page").cast("int").alias("page"), F.col("page").cast("int").alias("seq"), "text")
+    whole = flatten_blocks(blocks.join(of("docx").select("doc_id"), "doc_id", "left_semi"))
+    structured = of("docx").select("doc_id", "filename").join(whole, "doc_id").select("doc_id", "filename", F.lit(None).cast("int").alias("page"), F.lit(0).alias("seq"), "text")
+    return plain.unionByName(paged).unionByName(structured), rejects
+
+
 # --- stores ---------------------------------------------------------------------------------------------------------
 
 
