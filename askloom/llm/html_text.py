@@ -57,7 +57,8 @@ def _is_dropped(name: str, attrs: str, in_article: bool) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-        if key in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
+        words = re.split(r"[^a-z]+", value)
+        if key in ("class", "id", "role") and (not MARKS.isdisjoint(words) or ("header" in words and not in_article)):
             return True
     return False
 

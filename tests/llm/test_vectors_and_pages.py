@@ -79,6 +79,8 @@ def test_article():
     [
         (None, ""), ("", ""), ("plain text", "plain text"), ("<p>x &lt;b&gt; y &amp z", "x <b> y & z"), ("<article><p>cut off here <b>and", "cut off here and"), ("<script>alert(1)", ""),
         ("<article><p>Is.</p><p>Of it.</p></article>", "Is.\nOf it."), ("<div class='cookie-notice'>We use</div><p>Body of text.</p>", "Body of text."), ("a < b and c > d", "a < b and c > d"),
+        ("<div class='site-header'>Site</div><p>Body of text.</p>", "Body of text."), ("<article><div class='post-header'><h1>Title</h1></div><p>Body.</p></article>", "Title\nBody."),
+        ("<main><p>Body.</p><div id=user_comments><p>Nice.</p></div></main><aside>x</aside>", "Body."),
     ],
 )
 def test_pages(page, text):
