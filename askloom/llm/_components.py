@@ -1,18 +1,56 @@
-"""Connected components of an edge table: alternating large-star and small-star steps, each written out."""
+"""Connected components of an edge table: tasks join their own edges to stars, then large-star and small-star steps join
+the tasks' stars, each round written out."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askloom.llm._shared import materialize
 
+#: Edges that a task joins at once.
+AT_ONCE = 1 << 20
+
+
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id that it reaches by these edges), for those that reach a smaller one."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = place[: len(a)], place[len(a) :], np.arange(len(ids))
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, a, label[b])
+        np.minimum.at(lower, b, label[a])
+        np.minimum.at(lower, label, lower)
+        lower = lower[lower]
+        if (lower == label).all():
+            return ids[label < np.arange(len(ids))], ids[label[label < np.arange(len(ids))]]
+        label = lower
+
+
+def _joined(batches):
+    import pyarrow as pa
+
+    def flush(held):
+        u, v = local_stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(tuple(c.to_numpy() for c in batch.columns))
+        n += len(batch)
+        if n >= AT_ONCE:
+            yield flush(held)
+            held, n = [], 0
+    if n:
+        yield flush(held)
+
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One round. edges(u, v) with u > v, distinct -> the same kind with every node nearer to its smallest."""
+    """One round. edges(u, v) with u > v -> the same kind, distinct, with every node nearer to its smallest."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
     lower = large.groupBy("u").agg(F.min("v").alias("m"))
     small = large.join(lower, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.union(lower.select("u", F.col("m").alias("v"))).distinct()
@@ -20,12 +58,12 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def connected(pairs: DataFrame) -> DataFrame:
     """pairs(a, b) -> id, component: the smallest id that links reach. Nodes without a link to another are left out."""
-    edges = pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = materialize(edges, "edges"), None
+    edges = pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges, before = materialize(edges.mapInArrow(_joined, "u long, v long").distinct(), "edges"), None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first()
         if now == before or now[0] == 0:
             break
         before = now
-        edges = materialize(_stars(edges), "edges")
+        edges = materialize(_stars(edges.mapInArrow(_joined, "u long, v long")), "edges")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
