@@ -52,7 +52,7 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word: a polynomial over its bytes, by differences of one running sum."""
     global _powers
     if len(_powers[0]) <= len(raw):
-        n = max(len(raw) + 1, 1 << 21)
+        n = max(len(raw) + 1, 1 << 20)
         steps = [np.full(n, b, _U) for b in (_BASE, pow(_BASE, -1, 2**64))]
         for s in steps:
             s[0] = 1

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from askloom.llm import _words
 
-WINDOW, BLOCK_WORDS, SHARD_BYTES = 10, 2_000_000, 4 << 20
+WINDOW, BLOCK_WORDS, SHARD_BYTES = 10, 2_000_000, 2 << 20
 
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_from", T.IntegerType()), T.StructField("doc_from", T.IntegerType()), T.StructField("words", T.IntegerType())]))
 

@@ -134,7 +134,7 @@ class Encoder:
         return out, stops
 
 
-def batches_of(texts, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def batches_of(texts, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows of about most_bytes of text; a longer text is a run of its own."""
     import pyarrow.compute as pc
 
