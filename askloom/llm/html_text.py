@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one a block element. A line weighs its text outside links; a line of an element that is
 never article text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts) weighs nothing,
-and neither does one outside the article element where a page has one. Sums of WINDOW neighbouring weights surge where
+and neither does one outside the article element where a page has one. An article element in a form counts; so does one
+in a wrapper that a class or id marks, and a form without one, if it outweighs all other text. Sums of WINDOW neighbouring weights surge where
 text begins and dive to nothing where it ends; the text between surge and dive is kept, without the weightless lines.
 In pages without an article element only runs that carry a share of the heaviest run's text are kept.
 
@@ -30,9 +31,13 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Start tags that leave the head open; others open the body.
+IN_HEAD = frozenset("base basefont bgsound html head link meta".split())
 DROPPED = frozenset("nav footer aside form button select datalist dialog menu head object svg math canvas audio video map".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|noembed|noframes|xmp"
-#: Words in class, id or role that mark what is not article text.
+#: Words of a class, id or role token that mark what is not article text. A token counts if all its words are among these
+#: and QUALIFIERS: cookie-notice and site-header count, no-sidebar and related-work don't.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices alert popup modal overlay sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs "
@@ -40,6 +45,13 @@ MARKS = frozenset(
     "subscription signup login footer masthead pagination pager toolbar complementary contentinfo search".split()
 )
 
+QUALIFIERS = frozenset(
+    "site page main global left right top bottom upper lower inner outer primary secondary first last user reader box block area "
+    "container wrapper wrap list bar section links icons buttons".split()
+)
+#: Marks of other people's or other pages' text: article elements inside are not this page's.
+OTHERS = frozenset("comment comments commentlist respond disqus reply replies related recommended".split())
+
 _TOKEN = re.compile(
     rf"<(?:!--.*?(?:-->|\Z)|(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+)>|/?[a-z][^<>]*(?:>|\Z)|[!?/][^>]*(?:>|\Z))""",
@@ -48,19 +60,34 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 
-def _is_dropped(name: str, attrs: str, in_article: bool) -> bool:
+def _kind(name: str, attrs: str, in_article: bool) -> str:
+    """Why an element is dropped: `hard`, `form`, `mark` (a class, id or role), or not at all: an empty string."""
+    if name == "form":
+        return "form"
     if name in DROPPED or (name == "header" and not in_article):
-        return True
+        return "hard"
     if not attrs.strip() or name in ("html", "body", "article", "main"):
-        return False
+        return ""
+    kind = ""
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        words = re.split(r"[^a-z]+", value)
-        if key in ("class", "id", "role") and (not MARKS.isdisjoint(words) or ("header" in words and not in_article)):
-            return True
-    return False
+            return "hard"
+        if key not in ("class", "id", "role") or (key == "id" and name in HEADINGS):
+            continue
+        for token in value.split():
+            words = set(re.split(r"[^a-z]+", token)) - {""}
+            marks = words & MARKS
+            if "header" in words and not in_article and name not in HEADINGS:
+                marks.add("header")
+            if not marks or words - marks - MARKS - QUALIFIERS:
+                continue
+            if marks & OTHERS:
+                return "hard"
+            # the id of a section in an article is usually made from its heading
+            if not (key == "id" and name == "section" and in_article):
+                kind = "mark"
+    return kind
 
 
 def lines_of(page: str) -> tuple[list[str], np.ndarray, bool]:
@@ -69,34 +96,41 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, bool]:
     weights: list[int] = []
     parts: list[str] = []
     state = {"links": 0, "link": False}
-    stack: list[tuple[str, bool]] = []  # open blocks, and whether they are dropped
-    dropped, article, articles, inside_flags = 0, 0, False, []
+    stack: list[tuple[str, str, tuple[int, int] | None]] = []  # open blocks, why they are dropped, and what an article set aside
+    count = {"": 0, "hard": 0, "form": 0, "mark": 0}
+    article, flags = 0, []  # flags: (hard, form, mark, article) of each line
 
     def flush() -> None:
         text = "".join(parts)
         text = " ".join((html.unescape(text) if "&" in text else text).split())
         parts.clear()
         lines.append(text)
-        weights.append(-1 if dropped else max(0, len(text) - state["links"]))
-        inside_flags.append(article > 0)
+        weights.append(max(0, len(text) - state["links"]))
+        flags.append((count["hard"] > 0, count["form"] > 0, count["mark"] > 0, article > 0))
         state["links"] = 0
 
     def close(depth: int) -> None:
-        nonlocal dropped, article
+        nonlocal article
         while len(stack) > depth:
-            name, off = stack.pop()
-            dropped -= off
-            article -= name in ("article", "main")
+            name, kind, aside = stack.pop()
+            count[kind] -= 1
+            if aside is not None:
+                article -= 1
+                count["form"] = aside[0]
+                count["mark"] = aside[1]
 
     at = 0
     for token in _TOKEN.finditer(page):
         text = page[at : token.start()]
         at = token.end()
+        name = (token["name"] or "").lower()
+        if stack and stack[-1][0] == "head" and ((text and not text.isspace()) or (name and not token["end"] and name not in IN_HEAD)):
+            flush()
+            close(len(stack) - 1)
         if text:
             parts.append(text)
             if state["link"]:
                 state["links"] += len(text)
-        name = (token["name"] or "").lower()
         if not name:
             continue
         if name == "a":
@@ -116,21 +150,37 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, bool]:
                 close(len(stack) - 1)
             if name == "li" and stack and stack[-1][0] == "li":
                 close(len(stack) - 1)
-            off = _is_dropped(name, token["attrs"], article > 0)
-            if name in BLOCKS or off:
-                if off and name not in BLOCKS:
+            kind = _kind(name, token["attrs"], article > 0)
+            if name in BLOCKS or kind:
+                if kind and name not in BLOCKS:
                     flush()
-                stack.append((name, off))
-                dropped += off
+                aside = None
                 if name in ("article", "main"):
+                    aside = (count["form"], count["mark"])
                     article += 1
-                    articles = articles or not dropped
+                    count["form"] = 0
+                count[kind] += 1
+                stack.append((name, kind, aside))
+    if stack and stack[-1][0] == "head" and page[at:].strip():
+        close(len(stack) - 1)
     parts.append(page[at:])
     flush()
-    out = np.array(weights)
-    if articles:
-        out[~np.array(inside_flags)] = -1
-    return lines, out, articles
+    return lines, *_weighed(np.array(weights), np.array(flags, bool))
+
+
+def _weighed(weights: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The weights with -1 for what is never article text, and whether an article element marks the text."""
+    hard, form, mark, article = flags.T
+    clear = ~hard & ~form & ~mark
+    wrapped = ~hard & ~form & mark & article
+    if (clear & article).any():
+        keep, marked = clear & article, True
+    elif weights[wrapped].sum() > weights[clear].sum():
+        keep, marked = wrapped, True
+    else:
+        inside = ~hard & ~mark & form
+        keep, marked = (clear | inside if weights[inside].sum() > weights[clear].sum() else clear), False
+    return np.where(keep, weights, -1), marked
 
 
 def main_lines(lines: list[str], weights: np.ndarray, marked: bool) -> list[str]:

@@ -87,6 +87,28 @@ def test_pages(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="page no-sidebar"><article><p>Body.</p></article></div>', "Body."),
+        ('<div class="has-comments"><p>Body of text.</p></div>', "Body of text."),
+        ('<div class="banner"><p>x</p><article><p>Body of text.</p></article></div>', "Body of text."),
+        ('<div class="sidebar"><article><p>Tease</p></article></div><p>A longer body of text.</p>', "A longer body of text."),
+        ('<div class="sidebar"><article><p>A teaser of some length</p></article></div><article><p>Body.</p></article>', "Body."),
+        ('<p>Body.</p><div id="comments"><article><p>A much longer comment</p></article></div>', "Body."),
+        ('<article><h2 id="related-work">Related work</h2><p>One.</p><section id="social-history"><p>Two.</p></section><h2 id="search">Search</h2></article>', "Related work\nOne.\nTwo.\nSearch"),
+        ("<body><form action=x><article><p>Body.</p></article></form></body>", "Body."),
+        ("<body><form action=x><div><p>Body of text.</p></div></form><p><a href=/>home</a></p></body>", "Body of text."),
+        ("<p>A body of text.</p><form><label>Mail</label></form>", "A body of text."),
+        ("<html><head><title>T</title><meta charset=x><body><p>Body.</p></body></html>", "Body."),
+        ("<head><title>T</title><p>Body.</p>", "Body."),
+        ("<head><title>T</title>Body.", "Body."),
+    ],
+)
+def test_wrappers_keep_their_article(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_surge_and_dive():
     menu = "".join(f"<div><a href='/{k}'>entry {k}</a></div>" for k in range(20))
     page = menu + "".join(f"<p>{'A long line of the text. ' * 5}</p>" for _ in range(5)) + menu
