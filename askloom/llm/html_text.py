@@ -1,11 +1,12 @@
 """Operator 8: main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one a block element. A line weighs its text outside links; a line of an element that is
-never article text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts) weighs nothing,
-and neither does one outside the article element where a page has one. An article element in a form counts; so does one
-in a wrapper that a class or id marks, and a form without one, if it outweighs all other text. Sums of WINDOW neighbouring weights surge where
-text begins and dive to nothing where it ends; the text between surge and dive is kept, without the weightless lines.
-In pages without an article element only runs that carry a share of the heaviest run's text are kept.
+Markup is stripped into lines, one a block element; empty ones are left out. A line weighs its text outside links, a h1
+its whole text; a line of an element that is never article text (menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments, scripts) weighs nothing, and neither does one outside the article element where a page has one. An
+article element in a form counts; so does one in a wrapper that a class or id marks, and a form without one, if it
+outweighs all other text. An article element is kept whole, without the weightless lines. In pages without one, sums of
+WINDOW neighbouring weights surge where text begins and dive to nothing where it ends; the text between surge and dive is
+kept, with the lines of links between its lines, but without those at its ends. No run is dropped for its size.
 
 Defined results: null or empty HTML gives an empty text; markup that is cut off ends with the page; repeated rows each
 get their text; an empty table gives an empty result.
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 3
-#: A run without an article element counts if it has this share of the heaviest run's weight.
-RUN_SHARE = 0.25
 
 # HTML element names by role.
 BLOCKS = frozenset(
@@ -95,19 +94,27 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, bool]:
     lines: list[str] = []
     weights: list[int] = []
     parts: list[str] = []
-    state = {"links": 0, "link": False}
+    plain: list[str] = []  # the parts outside links
+    link = False
     stack: list[tuple[str, str, tuple[int, int] | None]] = []  # open blocks, why they are dropped, and what an article set aside
     count = {"": 0, "hard": 0, "form": 0, "mark": 0}
     article, flags = 0, []  # flags: (hard, form, mark, article) of each line
 
+    def folded(pieces: list[str]) -> str:
+        text = "".join(pieces)
+        return " ".join((html.unescape(text) if "&" in text else text).split())
+
     def flush() -> None:
-        text = "".join(parts)
-        text = " ".join((html.unescape(text) if "&" in text else text).split())
+        nonlocal link
+        text = folded(parts)
+        if text:
+            whole = len(plain) == len(parts) or (stack and stack[-1][0] == "h1")
+            lines.append(text)
+            weights.append(len(text if whole else folded(plain)))
+            flags.append((count["hard"] > 0, count["form"] > 0, count["mark"] > 0, article > 0))
         parts.clear()
-        lines.append(text)
-        weights.append(max(0, len(text) - state["links"]))
-        flags.append((count["hard"] > 0, count["form"] > 0, count["mark"] > 0, article > 0))
-        state["links"] = 0
+        plain.clear()
+        link = False
 
     def close(depth: int) -> None:
         nonlocal article
@@ -129,14 +136,15 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, bool]:
             close(len(stack) - 1)
         if text:
             parts.append(text)
-            if state["link"]:
-                state["links"] += len(text)
+            if not link:
+                plain.append(text)
         if not name:
             continue
         if name == "a":
-            state["link"] = not token["end"]
+            link = not token["end"]
         elif name in ("br", "td", "th", "img", "input"):
             parts.append(" ")
+            plain.append(" ")
         if name in BLOCKS:
             flush()
         if name in VOID:
@@ -163,9 +171,12 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, bool]:
                 stack.append((name, kind, aside))
     if stack and stack[-1][0] == "head" and page[at:].strip():
         close(len(stack) - 1)
-    parts.append(page[at:])
+    if page[at:]:
+        parts.append(page[at:])
+        if not link:
+            plain.append(page[at:])
     flush()
-    return lines, *_weighed(np.array(weights), np.array(flags, bool))
+    return lines, *_weighed(np.array(weights, np.int64), np.array(flags, bool).reshape(-1, 4))
 
 
 def _weighed(weights: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -184,16 +195,19 @@ def _weighed(weights: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, bool]:
 
 
 def main_lines(lines: list[str], weights: np.ndarray, marked: bool) -> list[str]:
-    """The lines between surge and dive points of the sums over WINDOW lines."""
+    """The lines of the article element, or those between surge and dive points of the sums over WINDOW lines."""
+    if marked:
+        return [line for line, weight in zip(lines, weights, strict=True) if weight >= 0]
     plain = np.maximum(weights, 0)
     total = np.concatenate([[0], np.cumsum(plain)])
     middle, half = np.arange(len(plain)), WINDOW // 2
     sums = total[np.minimum(middle + half + 1, len(plain))] - total[np.maximum(middle - half, 0)]
     live = np.concatenate([[False], sums > 0, [False]])
-    surge, dive = np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1])
-    mass = np.array([plain[a:b].sum() for a, b in zip(surge, dive, strict=True)])
-    keep = [k for k in range(len(mass)) if marked or mass[k] >= RUN_SHARE * mass.max()]
-    return [lines[i] for k in keep for i in range(surge[k], dive[k]) if weights[i] >= 0 and lines[i]]
+    out: list[str] = []
+    for surge, dive in zip(np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1]), strict=True):
+        heavy = surge + np.flatnonzero(plain[surge:dive])
+        out.extend(lines[i] for i in range(heavy[0], heavy[-1] + 1) if weights[i] >= 0)
+    return out
 
 
 def extract(page: str | None) -> str:

@@ -109,6 +109,25 @@ def test_wrappers_keep_their_article(page, text):
     assert html_text.extract(page) == text
 
 
+LONG = "A long line of text. " * 50
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h1><a href=/t>Title</a></h1><p>Body</p><ul><li><a href=/1>Ref 1<li><a href=/2>Ref 2</a></ul></article>", "Title\nBody\nRef 1\nRef 2"),
+        ("<p>One.</p><p><a href=/>A link</a></p><p>Two.</p>", "One.\nA link\nTwo."),
+        ("<h1><a href=/t>Title</a></h1><p>Body</p>", "Title\nBody"),
+        (f"<div><p>{LONG}</p></div><div><p>Short.</p></div><p>x</p><figure><img></figure><p>y</p>", f"{LONG.strip()}\nShort.\nx\ny"),
+        (f"<section><h2>A</h2><p>Short.</p></section><ul>{'<li><a href=/>m</a>' * 9}</ul><section><h2>B</h2><p>{LONG}</p></section>", f"A\nShort.\nB\n{LONG.strip()}"),
+        ("<p>Tea <a href=/>&eacute;&eacute;&eacute;&eacute;&eacute;    x</a></p>", "Tea ééééé x"),
+        ("<p><a name=top></p><p>Body of text.</p>", "Body of text."),
+    ],
+)
+def test_no_run_is_dropped(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_surge_and_dive():
     menu = "".join(f"<div><a href='/{k}'>entry {k}</a></div>" for k in range(20))
     page = menu + "".join(f"<p>{'A long line of the text. ' * 5}</p>" for _ in range(5)) + menu
