@@ -82,15 +82,18 @@ def sanitize_metadata(metadata: Column) -> Column:
 
 # --- search ---------------------------------------------------------------------------------------------------------
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """An Arrow list column -> (unit rows, which rows have the full width and no null)."""
-    sizes = np.diff(column.offsets.to_numpy())
-    width = int(sizes.max(initial=0))
-    ok = (sizes == width) & (width > 0) & column.is_valid().to_numpy(zero_copy_only=False)
+def _sizes(column) -> np.ndarray:
+    """The widths of an Arrow list column; 0 for null."""
+    return np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
+
+
+def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow list column -> (unit rows, which rows have this width and no null)."""
+    sizes = _sizes(column)
+    ok = (sizes == width) & (width > 0)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     out = np.zeros((len(sizes), width))
-    mask = np.repeat(sizes == width, sizes)
-    out[sizes == width] = flat[mask].reshape(-1, width)
+    out[ok] = flat[np.repeat(ok, sizes)].reshape(-1, width)
     norm = np.sqrt((out * out).sum(axis=1))
     return out / np.where(norm > 0, norm, 1)[:, None], ok & np.isfinite(norm)
 
@@ -106,14 +109,18 @@ def _best(hits: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.n
 
 
 def _query_blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, list, np.ndarray]]:
-    ids, filters, rows = [], [], []
+    """Blocks of queries of one width."""
+    blocks: dict[int, tuple[list, list, list]] = {}
     for r in queries.select("question_id", "document_id", "embedding").toLocalIterator():
-        if r["embedding"]:
-            ids.append(r["question_id"]), filters.append(r["document_id"]), rows.append(r["embedding"])
+        if not r["embedding"]:
+            continue
+        width = len(r["embedding"])
+        ids, filters, rows = blocks.setdefault(width, ([], [], []))
+        ids.append(r["question_id"]), filters.append(r["document_id"]), rows.append(r["embedding"])
         if len(ids) == size:
             yield ids, filters, np.array(rows, np.float64)
-            ids, filters, rows = [], [], []
-    if ids:
+            del blocks[width]
+    for ids, filters, rows in blocks.values():
         yield ids, filters, np.array(rows, np.float64)
 
 
@@ -121,7 +128,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", d
     """Exact cosine top-k: (question_id, key, score, distance, rank) for queries(question_id, document_id or null, embedding).
 
     Queries go out in blocks; a task multiplies its vectors with a block and keeps k hits a query, so that tasks * k rows a
-    query are shuffled. Vectors of another width than the queries match nothing. Ties go to the smaller key.
+    query are shuffled. A query meets the vectors of its own width, and no others. Ties go to the smaller key.
     """
     q_type, k_type = queries.schema["question_id"].dataType, vectors.schema[key].dataType
     schema = T.StructType([T.StructField("question_id", q_type), T.StructField(key, k_type), T.StructField("score", T.DoubleType())])
@@ -143,8 +150,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", d
             for batch in batches:
                 for at in range(0, len(batch), VECTORS_AT_ONCE):
                     part = batch.slice(at, VECTORS_AT_ONCE)
-                    x, ok = _matrix(part.column(2))
-                    if not ok.any() or x.shape[1] != q.shape[1]:
+                    x, ok = _matrix(part.column(2), q.shape[1])
+                    if not ok.any():
                         continue
                     keys, docs = np.array(part.column(0).to_pylist())[ok], np.array([d or "" for d in part.column(1).to_pylist()])[ok]
                     scores = np.round(q @ x[ok].T, 6)
@@ -174,33 +181,37 @@ def batch_types(schema: T.StructType) -> list:
 
 
 def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", bands: int = 24, bits: int = 6, seed: int = 11) -> DataFrame:
-    """Approximate top-k: signs against random directions, banded; candidates that share a band are scored exactly."""
-    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, width)).astype(np.float32)
-    shared = vectors.sparkSession.sparkContext.broadcast(planes)
+    """Approximate top-k: signs against random directions, banded; candidates that share a band are scored exactly.
+
+    Directions are drawn for each width; a query meets the vectors of its own width, and no others.
+    """
 
     def bands_of(name: str, id_type: T.DataType):
         def run(batches):
             import pyarrow as pa
 
+            planes: dict[int, np.ndarray] = {}
             for batch in batches:
-                x, ok = _matrix(batch.column(1))
-                if not len(x) or x.shape[1] != shared.value.shape[1]:
-                    continue
-                sign = (x @ shared.value.T > 0).reshape(len(x), bands, bits)
-                code = (sign * (1 << np.arange(bits))).sum(axis=2) + (np.arange(bands) << bits)
-                rows = np.repeat(np.flatnonzero(ok), bands)
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(code[ok].ravel().astype(np.int32))], names=[name, "embedding", "band"])
+                for width in np.unique(_sizes(batch.column(1))).tolist():
+                    if not width:
+                        continue
+                    if width not in planes:
+                        planes[width] = np.random.default_rng(seed).standard_normal((bands * bits, width)).astype(np.float32)
+                    x, ok = _matrix(batch.column(1), width)
+                    sign = (x[ok] @ planes[width].T > 0).reshape(-1, bands, bits)
+                    code = (sign * (1 << np.arange(bits))).sum(axis=2) + (np.arange(bands) << bits)
+                    taken = batch.take(pa.array(np.repeat(np.flatnonzero(ok), bands)))
+                    columns = [*taken.columns, pa.array(code.ravel().astype(np.int32)), pa.array(np.full(code.size, width, np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[name, "embedding", "band", "width"])
 
         return run
 
     def banded(df: DataFrame, name: str) -> DataFrame:
-        return df.mapInArrow(bands_of(name, df.schema[0].dataType), T.StructType([T.StructField(name, df.schema[0].dataType), T.StructField("embedding", df.schema[1].dataType), T.StructField("band", T.IntegerType())]))
+        return df.mapInArrow(bands_of(name, df.schema[0].dataType), T.StructType([T.StructField(name, df.schema[0].dataType), T.StructField("embedding", df.schema[1].dataType), T.StructField("band", T.IntegerType()), T.StructField("width", T.IntegerType())]))
 
     v = banded(vectors.select(key, "embedding"), key)
     q = banded(queries.select("question_id", "embedding"), "question_id").withColumnRenamed("embedding", "q")
-    near = v.select(key, "band").join(q.select("question_id", "band"), "band").select("question_id", key).distinct()
+    near = v.select(key, "band", "width").join(q.select("question_id", "band", "width"), ["band", "width"]).select("question_id", key).distinct()
     pairs = near.join(vectors.select(key, l2_normalize(F.col("embedding")).alias("x")), key).join(queries.select("question_id", l2_normalize(F.col("embedding")).alias("y")), "question_id")
     score = F.round(F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z), 6)
     ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), key)

@@ -64,6 +64,17 @@ def test_other_widths_match_nothing(spark, vectors):
     assert index.knn(vectors.filter("chunk_id = 'w'"), ask(spark, (1, None, VECTORS[0][2])), 5, document="doc_id").count() == 0
 
 
+def test_a_longer_vector_hides_nothing(spark):
+    rows = [(k, [1.0, k / 10, -0.5]) for k in range(6)] + [(90, [1.0] * 5), (91, [1.0, 2.0]), (92, None)]
+    rows = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    asked = ask(spark, (1, None, [1.0, 0.2, -0.5]), (2, None, [1.0] * 5), (3, None, [1.0, 2.0])).coalesce(1)
+    for search in (index.knn, index.knn_lsh):
+        got = sorted((r["question_id"], r["rank"], r["vec_id"]) for r in search(rows, asked, 1, "vec_id").collect())
+        assert got == [(1, 1, 2), (2, 1, 90), (3, 1, 91)]
+    exact = {r["vec_id"] for r in index.knn(rows, asked.filter("question_id = 1"), 9, "vec_id").collect()}
+    assert exact == set(range(6))
+
+
 def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((700, 8)).round(1)
