@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.llm import _words
@@ -80,11 +80,11 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in (np.add.reduce(mixed, dtype=_U, keepdims=True)[0], np.add.reduce(_words.mix(mixed ^ _U(0xA5A5A5A5)), dtype=_U, keepdims=True)[0]))
 
 
-SETS = "doc_id long, n long, f1 long, f2 long, cells array<long>"
+SETS = "doc_id long, n long, f1 long, f2 long, cells array<long>, text_hash long"
 
 
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n, fingerprint of the set, cells."""
+    """docs(doc_id, text) -> doc_id, n, fingerprint of the set, cells, hash of the text."""
     from askloom.llm.token_store import batches_of
 
     def run(batches):
@@ -99,9 +99,9 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     where.append(cells(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(w) for w in where])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, np.concatenate(where))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], names=["doc_id", "n", "f1", "f2", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, batch.column(2).slice(a, b - a)], names=["doc_id", "n", "f1", "f2", "cells", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(run, SETS)
 
 
 def _same_cell(batches):
@@ -450,18 +450,50 @@ def links(docs: DataFrame, described_: DataFrame, width: int, percent: int, bloc
     return reps, ordered.mapInArrow(_joined(percent), "a long, b long")
 
 
-def groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, a row for each row of docs."""
+def _grouped(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n, f1, f2, text_hash, component (null for empty sets and groups without an id)."""
     table = materialize(described(docs, width, percent), "shingles")
     reps, pairs = links(docs, table, width, percent, block)
     roots = connected(pairs).withColumnRenamed("id", "rep")
     named = reps.join(roots, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     # a doc_id with several texts belongs to the groups of all of them
-    rows = table.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")))
+    rows = table.select("doc_id", "n", "f1", "f2", "text_hash").join(named, ["f1", "f2"], "left")
+    return rows.withColumn("component", F.when(F.col("n") > 0, F.col("component")))
+
+
+def groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, a row for each row of docs."""
+    rows = _grouped(docs, width, percent, block)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest doc_id of their group, with all their columns; equal rows stay once."""
-    extra = groups(docs, width, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(extra, "copies"), "doc_id", "left_anti").select(docs.columns)
+    """One row, with all its columns, of each group: with the smallest doc_id, then the smallest hash of the text.
+
+    Rows with an empty set all stay. Rows without doc_id are apart: one of those in a group stays beside the group's row
+    with a doc_id, and one of those with equal sets where there is none.
+    """
+    marks = _grouped(docs, width, percent, BLOCK).filter("n > 0").select("doc_id", "component", "text_hash", *(F.when(F.col("component").isNull(), F.col(f)).alias(f) for f in ("f1", "f2")))
+    marks = materialize(marks, "marks")
+    group = ["doc_id", "component", "f1", "f2"]
+    texts = marks.filter("doc_id IS NULL OR doc_id = component").groupBy(*group, "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    first = texts.groupBy(*group).agg(F.min("text_hash").alias("first"), F.sum("rows").alias("all")).filter(F.col("all") > 1)
+    both = texts.alias("t").join(first.alias("f"), [F.col(f"t.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group])
+    repeated = materialize(both.select("t.doc_id", "text_hash", (F.col("text_hash") == F.col("first")).alias("stays"), "rows"), "repeated")
+    extra = marks.filter("doc_id <> component").select("doc_id", "text_hash").distinct().union(repeated.filter("NOT stays").select("doc_id", "text_hash"))
+
+    def same(other: DataFrame) -> list:
+        return [F.col("doc_id").cast("long").eqNullSafe(other["_id"]), F.xxhash64("text") == other["_hash"]]
+
+    def keys(df: DataFrame) -> DataFrame:
+        return df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+
+    gone = materialize(keys(extra), "copies")
+    out = docs.join(gone, same(gone), "left_anti").select(docs.columns)
+    once = keys(repeated.filter("stays AND rows > 1"))
+    if once.isEmpty():
+        return out
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    of_text = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*hashed))
+    single = out.join(once, same(once), "left_semi").withColumn("_k", F.row_number().over(of_text)).filter("_k = 1")
+    return out.join(once, same(once), "left_anti").select(docs.columns).union(single.select(docs.columns))

@@ -78,6 +78,21 @@ def test_jaccard_keeps_one(spark):
     assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.groups(docs).collect()} == {(1, 1), (2, 1), (5, 5), (None, 1)}
 
 
+def test_jaccard_keeps_one_of_repeated_rows(spark):
+    body = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty more"
+    other = "an unlike text of some eight or nine words"
+    rows = [
+        (1, body, "x"), (1, body, "x"), (1, body, "y"), (1, body + " yet", "x"), (2, body, "x"), (3, body + " yet", "x"),  # one group
+        (4, other, "x"), (4, other + " that differ", "x"),  # an id of a group, twice
+        (2, "text of another group under the id of a copy", "x"),
+        (None, body, "n"), (None, body, "n"), (None, "rows without any number at all here", "n"), (None, "rows without any number at all here", "n"),
+        (5, "", "x"), (5, "", "x"),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA + ", source string").repartition(3)
+    kept = [(r["doc_id"], (r["text"] or "")[:4]) for r in jaccard_join.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "one "), (4, "an u"), (2, "text"), (None, "one "), (None, "rows"), (5, ""), (5, "")], key=str)
+
+
 def test_quality(spark):
     rng = random.Random(5)
     rows, labels = [], []
