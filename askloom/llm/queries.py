@@ -35,7 +35,7 @@ def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98, reach=1.0)
 
 
 def op5_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

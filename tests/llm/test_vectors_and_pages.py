@@ -62,6 +62,17 @@ def test_components(spark):
     assert got == {k: r for k, r in root.items() if k != r}
 
 
+def test_query_links_along_few_directions(spark, tmp_path, monkeypatch):
+    from askloom.llm import queries
+
+    monkeypatch.setattr(near_vectors, "LIST_SIZE", 4)
+    angle = np.sort(np.random.default_rng(8).uniform(0, 2 * np.pi, 240))
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["n_links"] for r in queries.op4_pq_near_vectors(spark, str(tmp_path)).collect()}
+    assert got == {k: int(n) - 1 for k, n in enumerate((x @ x.T >= 0.98).sum(axis=1))}
+
+
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href=/a>Menu</a></li></ul></nav><div class="ad">Buy &amp; save</div><!-- no <p>x</p> -->
 <article><h1>A title &amp; more</h1><p><b>First</b>
