@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else one made here (local sessions, tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir; else, in local sessions only, one made here."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("askloom.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="askloom-")
         spark.conf.set("askloom.shared.dir", found)
     return found.rstrip("/")

@@ -3,6 +3,8 @@ the same as runs of characters for classes that hold all or none of the bytes ab
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Any byte but space and 0x09 to 0x0D; the same with A-Z lower-cased first.
@@ -13,8 +15,9 @@ LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.ui
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SALT = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
-_powers = np.ones(1, _U), np.ones(1, _U)
+#: Bytes that are looked at at once, and the length from which a word is hashed on its own.
+PIECE, LONG = 1 << 22, 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def flat(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -29,17 +32,19 @@ def flat(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, offsets of the texts' words) of the words in all texts."""
-    inside = kind[raw]
-    begins, stops = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    stops[:-1] &= ~inside[1:]
-    edges = offsets[:-1][offsets[:-1] < len(raw)]
-    begins[edges] = inside[edges]
-    edges = offsets[1:][offsets[1:] > 0] - 1
-    stops[edges] = inside[edges]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    """(starts, ends, offsets of the texts' words) of the words in all texts, a piece of the bytes at a time."""
+    starts, ends, last = [], [], False
+    for a in range(0, len(raw), PIECE):
+        inside = kind[raw[a : a + PIECE]]
+        before = np.concatenate([[last], inside[:-1]])
+        last = inside[-1]
+        joined = before & inside
+        joined[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + len(inside))] - a] = False
+        starts.append(np.flatnonzero(inside & ~joined) + a)
+        ends.append(np.flatnonzero(before & ~joined) + a)
+    ends.append(np.full(int(last), len(raw)))
+    starts, ends = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+    return starts, ends.astype(np.int64), np.searchsorted(starts, offsets)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,17 +54,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: a polynomial over its bytes, by differences of one running sum."""
-    global _powers
-    if len(_powers[0]) <= len(raw):
-        n = max(len(raw) + 1, 1 << 20)
-        steps = [np.full(n, b, _U) for b in (_BASE, pow(_BASE, -1, 2**64))]
-        for s in steps:
-            s[0] = 1
-        _powers = np.cumprod(steps[0]), np.cumprod(steps[1])
-    total = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_SALT[raw] * _powers[0][: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _powers[1][starts] + (ends - starts).astype(_U))
+    """64-bit hash of each word, of its bytes eight at a time. What it holds grows with the words, and nothing stays."""
+    size = ends - starts
+    out = size.astype(_U)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw), "<u8", padded, strides=(1,))
+    live = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        out[live] = mix(out[live] * _U(_BASE) + (eight[starts[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def runs(words: np.ndarray, width: int) -> np.ndarray:

@@ -9,9 +9,10 @@ not learned from; of several labels of a document the highest counts; without bo
 the share of label 1 (0.5 without labels); an empty table gives an empty result.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,9 +47,10 @@ def features(texts) -> np.ndarray:
     n = len(offsets) - 1
     size = np.diff(offsets).astype(np.float64)
 
-    def per_text(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return (total[offsets[1:]] - total[offsets[:-1]]).astype(np.float64)
+    counts = np.zeros((n, 256))
+    for k in range(n):
+        for at in range(offsets[k], offsets[k + 1], _words.PIECE):
+            counts[k] += np.bincount(raw[at : min(at + _words.PIECE, offsets[k + 1])], minlength=256)
 
     def share(a: np.ndarray, b: np.ndarray, usual: float, weight: float) -> np.ndarray:
         """Log odds of a of b; `weight` counts of the usual share keep short texts from being extreme."""
@@ -78,7 +80,7 @@ def features(texts) -> np.ndarray:
             own_lines[k] = len(np.unique(l_code[l_first[k] : l_first[k + 1]]))
     lengths = ends - starts
     out = [np.log1p(words), np.log((by_text(lengths) + 100) / (words + 20))]
-    out += [share(per_text(c[raw]), size, usual, 100) for c, usual in zip(_CLASSES, USUAL, strict=True)]
+    out += [share(counts @ c, size, usual, 100) for c, usual in zip(_CLASSES, USUAL, strict=True)]
     out += [np.log((size + 200) / (lines + 1)), share(by_text(same_next), words, 0.01, 20), share(distinct, words, 0.8, 20), share(top, words, 0.05, 20), share(own_lines, lines, 0.9, 2), share(by_text(lengths <= 2), words, 0.2, 20)]
     return np.stack(out, axis=1)
 
@@ -184,24 +186,18 @@ def score(docs: DataFrame, labels: DataFrame, limit: float = 0.3, folds: int = 5
 def keep_good(docs: DataFrame, labels: DataFrame, limit: float = 0.3, folds: int = 5) -> DataFrame:
     """The documents that the classifier accepts, with all their columns; texts are not shuffled."""
     vectors = materialize(with_features(docs, ["doc_id"]), "quality")
-    model = train(vectors, labels, folds)
-    name = "score" if "score" not in docs.columns else "quality_score_"
-    return scored_documents(docs, model, name).filter(F.col(name) >= limit).drop(name)
-
+    return docs.filter(scorer(train(vectors, labels, folds))(F.col("text")) >= limit)
 
-def scored_documents(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
-    """docs with their score beside all their columns, in one pass over the texts."""
 
-    def run(batches):
-        import pyarrow as pa
+def scorer(model: dict):
+    """A column function: texts to scores. Only texts go to Python, and only scores come back."""
 
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from askloom.llm.token_store import batches_of
 
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for a, b in batches_of(batch.column(at)):
-                part = batch.slice(a, b - a)
-                score = probability(features(part.column(at)), model)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*batch.schema.names, name])
+        for texts in batches:
+            found = [probability(features(texts.slice(a, b - a)), model) for a, b in batches_of(texts)]
+            yield pa.array(np.concatenate([np.zeros(0), *found]))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return score
