@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,9 +153,30 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(basename(name), r"(?<=[^.])\.[^.]+$", "")
 
 
+def _letters() -> dict[str, str]:
+    """Characters whose compatibility form is one ASCII character and marks, by the Unicode data: e-acute to e."""
+    found = {}
+    for code in range(0x80, 0x10000):
+        form = unicodedata.normalize("NFKD", chr(code))
+        if form[0] < "\x80" and all(unicodedata.combining(c) for c in form[1:]):
+            found[chr(code)] = form[0]
+    return found
+
+
+_LETTERS = _letters()
+
+
+def plain_letters(text: Column, mark: str = "") -> Column:
+    """Letters without their accents, and wide or raised ones as plain ones; `mark` follows each that is replaced."""
+    other = "[" + "".join(rf"\u{ord(c):04X}" for c in _LETTERS) + "]"
+    marked = F.regexp_replace(text, f"({other})", "$1" + mark) if mark else text
+    return F.translate(marked, "".join(_LETTERS), "".join(_LETTERS.values()))
+
+
 def safe_filename(name: Column, fallback: str = "upload") -> Column:
-    """Base name of safe characters. Names are taken as they are: letters with accents become underscores."""
-    base = F.regexp_replace(strip(basename(name)), r"[^A-Za-z0-9._-]+", "_")
+    """Base name of safe characters. Accents part from their letters, as in the decomposed form, and become underscores;
+    of characters that decompose into several (ligatures, fractions) nothing is kept."""
+    base = F.regexp_replace(plain_letters(strip(basename(name)), "\u0301"), r"[^A-Za-z0-9._-]+", "_")
     base = F.regexp_replace(F.regexp_replace(base, "_{2,}", "_"), r"^[._]+|[._]+$", "")
     base = F.substring(base, 1, 180)
     return F.when(F.length(base) > 0, base).otherwise(F.lit(fallback))
@@ -188,7 +211,8 @@ def human_size(size: Column) -> Column:
 
 
 def slugify(value: Column, limit: int = 64) -> Column:
-    slug = F.lower(F.regexp_replace(F.regexp_replace(value, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
+    ascii_ = F.regexp_replace(plain_letters(value), r"[^\x00-\x7F]", "")
+    slug = F.lower(F.regexp_replace(F.regexp_replace(ascii_, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
     slug = F.substring(slug, 1, limit)
     return F.regexp_replace(F.when(slug == "", F.lit("item")).otherwise(slug), "_+$", "")
 

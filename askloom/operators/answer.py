@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from askloom.functions import text as tx
 from askloom.operators import retrieve
-from askloom.schemas import DEFAULT, EMPTY_CORPUS, INSTRUCTION, NO_ANSWER, Config
+from askloom.schemas import DEFAULT, EMPTY_CORPUS, INSTRUCTION, NO_ANSWER, SOURCE, Config
 
 
 def flags(page: Column, is_reference: Column) -> Column:
@@ -34,9 +34,11 @@ def contexts(retrieved: DataFrame) -> DataFrame:
 
 
 def prompts(answers: DataFrame) -> DataFrame:
-    """answers(question, context) with the text to give to a model."""
-    body = F.concat(F.lit(INSTRUCTION + "Context:\n"), F.col("context"), F.lit("\n\nQuestion:\n"), tx.strip(F.col("question")), F.lit("\n\nAnswer:"))
-    return answers.withColumn("prompt", body)
+    """answers(question, context) with what to give to a model: its instruction (`system`), the task (`user`), both in one
+    text (`prompt`), and the beginning of the task to show to people (`preview`)."""
+    user = F.concat(F.lit("Context:\n"), F.col("context"), F.lit("\n\nQuestion:\n"), tx.strip(F.col("question")), F.lit("\n\nAnswer:"))
+    out = answers.withColumn("system", F.lit(INSTRUCTION)).withColumn("user", user)
+    return out.withColumn("prompt", F.concat("system", "user")).withColumn("preview", tx.truncate(F.col("user"), DEFAULT.preview_chars))
 
 
 def citations(retrieved: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -173,3 +175,12 @@ def answer(questions: DataFrame, retrieved: DataFrame, corpus_size: int, config:
         "confidence_breakdown", "coverage", "returned", "top_score", "average_score",
         F.when(F.col("grounded"), F.col("sources")).otherwise(F.filter("sources", lambda s: F.lit(False))).alias("sources"),
     )
+
+
+def history_rows(answers: DataFrame, created_at: Column, llm_model: Column, response_time_ms: Column) -> DataFrame:
+    """Answers as entries of the history; append them with readers.append_history."""
+    entry = tx.generated_id("ans_", F.col("question_id").cast("string"), created_at.cast("string"))
+    return answers.select(
+        entry.alias("id"), "question", "answer", "confidence", "confidence_label", response_time_ms.cast("double").alias("response_time_ms"), created_at.alias("created_at"),
+        llm_model.alias("llm_model"), "top_score", F.transform(F.coalesce("sources", F.array()), lambda s: s.cast(SOURCE)).alias("sources"),
+    )

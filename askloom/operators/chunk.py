@@ -7,6 +7,7 @@ one before it, from a word's end on, if both fit.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ from askloom.schemas import DEFAULT, Config
 # Separators from coarse to fine; below them, single characters.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
 
-WINDOW = "struct<chunk_index:int,text:string,char_start:int,char_end:int>"
+#: Texts whose chunks become one Arrow batch.
+ROWS_AT_ONCE = 64
 
 
 def _pieces(text: str, low: int, high: int, size: int, level: int = 0) -> Iterator[tuple[int, int]]:
@@ -76,24 +78,49 @@ def windows(text: str, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.ch
 
 
 def chunk_texts(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """docs(clean_text, anything else) -> the other columns and chunk_index, text, char_start, char_end; one task a text."""
-    others = [f for f in docs.schema.fields if f.name != "clean_text"]
+    """docs(clean_text, anything else) -> the other columns and chunk_index, text, char_start, char_end; one task a text.
+
+    A column `pages` (spans of the text's pages, in order) becomes `page`: the page in which a chunk starts.
+    """
+    paged = "pages" in docs.columns
+    others = [f for f in docs.schema.fields if f.name not in ("clean_text", "pages")]
     size, overlap = config.chunk_size, config.chunk_overlap
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32())
+        names = [f.name for f in others] + ["chunk_index", "text", "char_start", "char_end"] + ["page"] * paged
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
         for batch in batches:
-            for k, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                found = [(i, text[a:b], a, b) for i, (a, b) in enumerate(windows(text or "", size, overlap))]
-                if found:
-                    rest = batch.slice(k, 1).take(pa.array([0] * len(found)))
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                texts = part.column(len(others)).to_pylist()
+                spans = part.column(len(others) + 1).to_pylist() if paged else [None] * len(texts)
+                rows, found = [], []
+                for k, (text, pages) in enumerate(zip(texts, spans, strict=True)):
+                    place = page_finder(pages or [])
+                    for i, (a, b) in enumerate(windows(text or "", size, overlap)):
+                        rows.append(k)
+                        found.append((i, text[a:b], a, b, place(a)))
+                if rows:
+                    rest = pa.RecordBatch.from_arrays(part.columns[: len(others)], names=names[: len(others)]).take(pa.array(rows)).columns if others else []
                     new = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*rest.columns[:-1], *new], names=[*batch.schema.names[:-1], "chunk_index", "text", "char_start", "char_end"])
+                    yield pa.RecordBatch.from_arrays([*rest, *new[: 4 + paged]], names=names)
 
     new = [T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())]
-    return docs.select(*[f.name for f in others], "clean_text").mapInArrow(run, T.StructType([*others, *new]))
+    schema = T.StructType([*others, *new, *[T.StructField("page", T.IntegerType())] * paged])
+    return docs.select(*[f.name for f in others], "clean_text", *["pages"] * paged).mapInArrow(run, schema)
+
+
+def page_finder(pages: list[dict]):
+    """A function: offset to the page whose span holds it, else the last page; None without pages."""
+    starts = [p["start"] for p in pages]
+
+    def place(at: int) -> int | None:
+        k = bisect_right(starts, at) - 1
+        return pages[k]["page"] if k >= 0 and at < pages[k]["end"] else pages[-1]["page"] if pages else None
+
+    return place
 
 
 def register(spark: SparkSession, name: str = "chunks_of", config: Config = DEFAULT) -> None:
@@ -112,16 +139,29 @@ def chunk_id(doc_id, index):
     return F.format_string("%s::%05d", doc_id, index)
 
 
+def assembled(segments: DataFrame) -> DataFrame:
+    """segments(doc_id, filename, page, seq, text) -> doc_id, filename, segments in order: the one shuffle of texts."""
+    row = F.struct("seq", "page", "text")
+    return segments.groupBy("doc_id").agg(F.any_value("filename").alias("filename"), F.array_sort(F.collect_list(row)).alias("segments"))
+
+
+def as_documents(files: DataFrame) -> DataFrame:
+    """files(doc_id, filename, text) of one segment and no pages each, in the form of assembled(): no shuffle."""
+    row = F.struct(F.lit(0).alias("seq"), F.lit(None).cast("int").alias("page"), "text")
+    return files.select("doc_id", "filename", F.array(row).alias("segments"))
+
+
 def chunk_documents(segments: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """segments(doc_id, filename, page, seq, text) -> chunks: cleaned, cut, with pages and bibliography flags."""
-    names = segments.groupBy("doc_id").agg(F.any_value("filename").alias("filename"))
-    whole = clean.documents(clean.clean_segments(segments.drop("filename"), config.min_occurrences))
-    starts = clean.reference_start(whole.select("doc_id", F.col("clean_text").alias("text")))
-    docs = whole.join(starts, "doc_id", "left").join(names, "doc_id", "left")
-    cut = chunk_texts(docs, config)
+    """segments(doc_id, filename, page, seq, text), or documents with an array of `segments` (one row each; they are not
+    shuffled) -> chunks: cleaned, cut, with pages and bibliography flags. Texts are read once."""
+    docs = segments if "segments" in segments.columns else assembled(segments)
+    return cut_documents(clean.whole_documents(docs.select("doc_id", "filename", "segments"), config.min_occurrences), config)
+
+
+def cut_documents(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Cleaned documents(doc_id, filename, clean_text, pages, ref_start) -> chunks."""
     middle = (F.col("char_start") + F.col("char_end")) / 2
-    return cut.select(
+    return chunk_texts(docs, config).select(
         chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "filename", "chunk_index", "text", "char_start", "char_end",
-        F.length("text").alias("char_count"), clean.page_of(F.col("char_start"), F.col("pages")).alias("page"),
-        F.coalesce(middle >= F.col("ref_start"), F.lit(False)).alias("is_reference"),
+        F.length("text").alias("char_count"), "page", F.coalesce(middle >= F.col("ref_start"), F.lit(False)).alias("is_reference"),
     )

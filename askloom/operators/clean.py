@@ -1,7 +1,8 @@
-"""Corpus cleaning as line-table jobs: furniture, page spans and the start of the bibliography.
+"""Corpus cleaning: furniture, page spans and the start of the bibliography.
 
 Segments are rows (doc_id, page, seq, text). Detection runs on lines that are already repaired (characters, hyphens,
-blanks), so a line that repair changes is still recognised.
+blanks), so a line that repair changes is still recognised. There are line-table jobs for segments wherever they are, and
+column functions for documents that are one row each: `whole_documents` cleans those without a shuffle.
 """
 
 from __future__ import annotations
@@ -97,3 +98,57 @@ def reference_start(docs: DataFrame, sample_lines: int = 40, ratio: float = 0.15
     hits = looked.filter(tx.is_reference_heading(F.col("line")) & (F.col("ahead") >= 3) & (F.col("share") >= ratio))
     found = hits.groupBy("doc_id").agg(F.max("offset").cast("int").alias("ref_start"))
     return docs.select("doc_id").join(found, "doc_id", "left")
+
+
+# --- documents that are one row each --------------------------------------------------------------------------------
+
+
+def furniture_of(sorted_lines: Column, n_lines: Column, min_occurrences: int = DEFAULT.min_occurrences) -> Column:
+    """The furniture of one document, from its stripped, non-blank lines in order: equal lines are neighbours, so a line
+    that occurs k times stands k - 1 places further, too. Both arguments should be columns, not computations."""
+    k = F.greatest(F.lit(min_occurrences), F.floor(n_lines * 0.05).cast("int"))
+    often = F.filter(sorted_lines, lambda x, i: (F.get(sorted_lines, i + k - 1) == x) & ((F.length(x) < 90) | tx.is_rule(x)))
+    markers = F.array_distinct(F.filter(sorted_lines, tx.is_page_marker))
+    found = F.array_union(often, F.when(F.size(markers) >= 3, markers).otherwise(F.array().cast("array<string>")))
+    return F.when(n_lines >= min_occurrences, found).otherwise(F.array().cast("array<string>"))
+
+
+def reference_start_of(text: Column, sample_lines: int = 40, ratio: float = 0.15) -> Column:
+    """As reference_start, for one text; should be a column, not a computation."""
+    lines = F.split(text, "\n")
+    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda r: tx.strip(r["line"]) != "")
+
+    def starts(rows: Column) -> Column:
+        ahead = lambda i: F.slice(rows, i + 2, F.lit(sample_lines))
+        share = lambda x: F.size(F.filter(x, lambda r: tx.is_citation_entry(r["line"]))) / F.size(x)
+        marked = F.transform(rows, lambda r, i: F.when(tx.is_reference_heading(r["line"]) & (F.size(ahead(i)) >= 3) & (share(ahead(i)) >= ratio), r["i"]))
+        last = F.array_max(marked)
+        return F.when(last == 0, F.lit(0)).when(last > 0, F.length(F.array_join(F.slice(lines, F.lit(1), last), "\n")) + 1)
+
+    # the rows are bound once, by a transform over an array of one
+    return F.when(text.rlike("(?m)" + tx.REFERENCE_HEADING), F.get(F.transform(F.array(numbered), starts), F.lit(0))).cast("int")
+
+
+def whole_documents(docs: DataFrame, min_occurrences: int = DEFAULT.min_occurrences) -> DataFrame:
+    """docs(segments: array of (seq, page, text) in order, anything else) -> the other columns, clean_text, pages and
+    ref_start: the same as clean_segments, documents and reference_start, in one pass over the rows."""
+    others = [c for c in docs.columns if c != "segments"]
+    repaired = F.transform("segments", lambda s: F.struct(s["page"].alias("page"), tx.clean_basic(F.coalesce(s["text"], F.lit(""))).alias("text")))
+    lines = F.flatten(F.transform("repaired", lambda s: F.split(s["text"], "\n")))
+    solid = F.array_sort(F.filter(F.transform("lines", tx.strip), lambda x: x != ""))
+    out = docs.withColumn("repaired", repaired).withColumn("lines", lines).withColumn("n_lines", F.size("lines")).withColumn("sorted", solid)
+    out = out.withColumn("furniture", furniture_of(F.col("sorted"), F.col("n_lines"), min_occurrences))
+
+    def without(text: Column) -> Column:
+        kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("furniture"), tx.strip(x)))
+        return F.when(F.size("furniture") == 0, text).otherwise(tx.collapse_whitespace(F.array_join(kept, "\n")))
+
+    kept = F.filter(F.transform("repaired", lambda s: F.struct(s["page"].alias("page"), tx.strip(without(s["text"])).alias("text"))), lambda s: s["text"] != "")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,page:int>>").alias("spans"))
+    span = lambda s, x: F.struct(s["at"].alias("start"), (s["at"] + F.length(x["text"])).alias("end"), x["page"].alias("page"))
+    placed = F.aggregate("kept", start, lambda s, x: F.struct((s["at"] + F.length(x["text"]) + 2).alias("at"), F.concat(s["spans"], F.array(span(s, x))).alias("spans")))
+    out = out.withColumn("kept", kept).withColumn("clean_text", F.array_join(F.transform("kept", lambda s: s["text"]), "\n\n"))
+    out = out.withColumn("pages", F.array_sort(F.filter(placed["spans"], lambda p: p["page"].isNotNull())))
+    # a generator of one row: the filter stays above it, where it finds the text made, and is not pushed into its making
+    made = out.select(*others, F.inline(F.array(F.struct("clean_text", "pages"))))
+    return made.filter("clean_text <> ''").withColumn("ref_start", reference_start_of(F.col("clean_text")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,8 +9,9 @@ from pyspark.sql import types as T
 
 from askloom.operators.vectorize import l2_normalize
 from askloom.schemas import VECTORS
+from askloom.sources import storage
 
-#: Queries that are sent to all vectors at once: a block's matrix is the only thing that is broadcast.
+#: Queries that meet the vectors at once: a task holds one block's matrix.
 QUERY_BLOCK = 4096
 VECTORS_AT_ONCE = 1024
 
@@ -20,14 +19,31 @@ VECTORS_AT_ONCE = 1024
 # --- set operations -------------------------------------------------------------------------------------------------
 
 
+def one_per_key(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """One row a key: the first by `order`, and then by a hash of the row (maps left out), the same in every run."""
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = Window.partitionBy(key).orderBy(*order, F.xxhash64(*hashed))
+    return rows.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+
+
 def upsert(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Incoming rows replace those with their key."""
+    """Incoming rows replace those with their key; of incoming rows with the same key, one_per_key takes one."""
+    incoming = one_per_key(incoming, key)
     return table.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
 def insert_ignore(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Only incoming rows with a new key are added."""
-    return table.unionByName(incoming.join(table.select(key), key, "left_anti"))
+    """Only incoming rows with a new key are added, one a key."""
+    return table.unionByName(new_rows(table, incoming, key))
+
+
+def new_rows(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    return one_per_key(incoming, key).join(table.select(key), key, "left_anti")
+
+
+def number_added(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows insert_ignore adds."""
+    return new_rows(table, incoming, key).agg(F.count(F.lit(1)).alias("added"))
 
 
 def append(table: DataFrame, incoming: DataFrame, key: str = "chunk_id", mode: str = "upsert") -> DataFrame:
@@ -39,8 +55,7 @@ def append(table: DataFrame, incoming: DataFrame, key: str = "chunk_id", mode: s
 def merge_latest(incoming: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """One row a key, incoming before current."""
     both = incoming.withColumn("_age", F.lit(0)).unionByName(current.withColumn("_age", F.lit(1)))
-    first = Window.partitionBy(key).orderBy("_age")
-    return both.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k", "_age")
+    return one_per_key(both, key, F.col("_age")).drop("_age")
 
 
 def delete_documents(table: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -76,6 +91,28 @@ def reset(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], VECTORS).write.mode("overwrite").parquet(path)
 
 
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """Vectors and records as one table, so that they cannot part."""
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table, its vectors of length one."""
+    stored = spark.read.parquet(path)
+    kind = stored.schema["embedding"].dataType
+    return stored.withColumn("embedding", l2_normalize(F.col("embedding")).cast(kind))
+
+
+def metadata_of(rows: DataFrame, *names: str) -> Column:
+    """The named columns as one map of strings: nulls left out, nested values as JSON."""
+
+    def shown(name: str) -> Column:
+        nested = isinstance(rows.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType))
+        return F.to_json(F.col(name)) if nested else F.col(name).cast("string")
+
+    return sanitize_metadata(F.create_map(*[x for n in names for x in (F.lit(n), shown(n))]))
+
+
 def sanitize_metadata(metadata: Column) -> Column:
     return F.map_filter(metadata, lambda _, v: v.isNotNull())
 
@@ -108,42 +145,50 @@ def _best(hits: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.n
     return tuple(h[order] for h in hits)
 
 
-def _query_blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, list, np.ndarray]]:
-    """Blocks of queries of one width."""
-    blocks: dict[int, tuple[list, list, list]] = {}
-    for r in queries.select("question_id", "document_id", "embedding").toLocalIterator():
-        if not r["embedding"]:
-            continue
-        width = len(r["embedding"])
-        ids, filters, rows = blocks.setdefault(width, ([], [], []))
-        ids.append(r["question_id"]), filters.append(r["document_id"]), rows.append(r["embedding"])
-        if len(ids) == size:
-            yield ids, filters, np.array(rows, np.float64)
-            del blocks[width]
-    for ids, filters, rows in blocks.values():
-        yield ids, filters, np.array(rows, np.float64)
+def _query_blocks(queries: DataFrame, size: int) -> list[str]:
+    """Queries as folders of about `size` queries of one width in the shared folder, written by tasks; their paths."""
+    path = storage.work_folder(queries.sparkSession, "queries")
+    rows = queries.withColumn("width", F.size("embedding")).filter("width > 0").select("question_id", "document_id", "embedding", "width")
+    blocks = max(1, -(-rows.count() // size))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int"))
+    ordered = dealt.repartition(blocks, "block").sortWithinPartitions("width", "block", "question_id")
+    ordered.write.partitionBy("width", "block").parquet(path)
+    names = queries.sparkSession.read.parquet(path).select("width", "block").distinct().collect()  # one row a block
+    return sorted(f"{path}/width={r['width']}/block={r['block']}" for r in names)
+
+
+def _load_block(path: str):
+    """(ids, document ids, unit rows) of a folder of queries, read by a task."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    rows = pq.read_table(place, filesystem=system, partitioning=None)
+    vectors = rows.column("embedding").combine_chunks()
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    norm = np.sqrt((x * x).sum(axis=1))
+    return rows.column("question_id").to_pylist(), rows.column("document_id").to_pylist(), x / np.where(norm > 0, norm, 1)[:, None]
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", document: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top-k: (question_id, key, score, distance, rank) for queries(question_id, document_id or null, embedding).
 
-    Queries go out in blocks; a task multiplies its vectors with a block and keeps k hits a query, so that tasks * k rows a
-    query are shuffled. A query meets the vectors of its own width, and no others. Ties go to the smaller key.
+    Queries are written in blocks; a task reads a block, multiplies its vectors with it and keeps k hits a query, so that
+    tasks * k rows a query are shuffled. The driver holds the blocks' names only. A query meets the vectors of its own width,
+    and no others. Ties go to the smaller key.
     """
     q_type, k_type = queries.schema["question_id"].dataType, vectors.schema[key].dataType
     schema = T.StructType([T.StructField("question_id", q_type), T.StructField(key, k_type), T.StructField("score", T.DoubleType())])
     slim = vectors.select(key, (F.col(document) if document else F.lit(None)).cast("string").alias("document_id"), "embedding")
-    sc, found = vectors.sparkSession.sparkContext, None
+    found = None
     queries = queries.withColumn("document_id", F.col("document_id").cast("string") if "document_id" in queries.columns else F.lit(None).cast("string"))
 
-    for ids, filters, rows in _query_blocks(queries, block):
-        norm = np.sqrt((rows * rows).sum(axis=1))
-        shared = sc.broadcast((ids, filters, rows / np.where(norm > 0, norm, 1)[:, None]))
+    for name in _query_blocks(queries, block):
 
-        def run(batches, shared=shared):
+        def run(batches, name=name):
             import pyarrow as pa
 
-            ids, filters, q = shared.value
+            ids, filters, q = _load_block(name)
             wanted = np.array([f or "" for f in filters])
             only = np.array([f is not None for f in filters])
             bar, kept = np.full(len(ids), -np.inf), None

@@ -10,11 +10,11 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions import text as tx
-from askloom.operators import chunk, index, vectorize
+from askloom.operators import chunk, clean, index, vectorize
 from askloom.schemas import DEFAULT, STAGE_METRICS, Config
 from askloom.sources import readers
 
@@ -29,35 +29,52 @@ class Corpus:
     rejects: DataFrame
 
 
-def records(segments: DataFrame, vectors: DataFrame, now) -> DataFrame:
-    """Registry rows: ready with counts, or error where cleaning left no chunk."""
-    raw = segments.groupBy("doc_id").agg(
-        F.any_value("filename").alias("filename"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).cast("long").alias("size_bytes"),
-        F.max("page").alias("page_count"), F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY seq)").alias("whole"),
-    )
-    chunks = vectors.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.max("char_end").cast("long").alias("char_count"), F.sum(tx.word_count(F.col("text"))).cast("long").alias("word_count"))
-    joined = raw.join(chunks, "doc_id", "left")
+def records(docs: DataFrame, chunks: DataFrame, now) -> DataFrame:
+    """docs(doc_id, filename, segments), chunks -> registry rows: ready with counts, or error where cleaning left no chunk."""
+    raw = docs.select("doc_id", "filename", size_of("segments").alias("size_bytes"), F.array_max(F.transform("segments", lambda s: s["page"])).alias("page_count"), tx.fingerprint(F.array_join(F.transform("segments", lambda s: s["text"]), "\n\n")).alias("fingerprint"))
+    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.max("char_end").cast("long").alias("char_count"), F.sum(tx.word_count(F.col("text"))).cast("long").alias("word_count"))
+    joined = raw.join(counts, "doc_id", "left")
     return joined.select(
         F.col("doc_id").alias("id"), "filename", tx.file_extension(F.col("filename")).alias("extension"), "size_bytes", tx.human_size(F.col("size_bytes")).alias("size_display"),
         F.when(F.col("chunk_count") > 0, "ready").otherwise("error").alias("status"), now.alias("uploaded_at"), now.alias("updated_at"),
         F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "page_count", F.coalesce("char_count", F.lit(0)).cast("long").alias("char_count"), F.coalesce("word_count", F.lit(0)).cast("long").alias("word_count"),
-        tx.fingerprint(F.coalesce("whole", F.lit(""))).alias("fingerprint"), F.when(F.col("chunk_count").isNull(), "processing_failed").alias("error"),
+        "fingerprint", F.when(F.col("chunk_count").isNull(), "processing_failed").alias("error"),
     )
 
 
+def size_of(segments: str) -> Column:
+    return F.aggregate(segments, F.lit(0).cast("long"), lambda n, s: n + F.octet_length(F.coalesce(s["text"], F.lit(""))))
+
+
+def checked(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """docs(doc_id, filename, segments) with the code of those that are refused."""
+    fullest = F.array_max(F.transform("segments", lambda s: tx.strip(F.coalesce(s["text"], F.lit("")))))
+    return docs.withColumn("code", readers.reject_code(tx.file_extension(F.col("filename")), size_of("segments"), fullest, config))
+
+
+def documents_of(segments: DataFrame) -> DataFrame:
+    """Rows of segments, or documents with an array of them, as documents (the latter are not shuffled)."""
+    return segments if "segments" in segments.columns else chunk.assembled(segments)
+
+
 def ingest(segments: DataFrame, config: Config = DEFAULT, model: Callable = vectorize.HashingModel, now=None) -> Corpus:
-    """Validates, cleans, cuts and embeds; documents that fail become rejects, not exceptions."""
+    """Validates, cleans, cuts and embeds; documents that fail become rejects, not exceptions: those that are refused, and
+    those of which cleaning leaves nothing. segments: rows, or documents with an array of them."""
     now = F.current_timestamp() if now is None else now
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    per = segments.groupBy("doc_id").agg(F.any_value("filename").alias("filename"), F.sum(size).alias("size"), F.max(tx.strip(F.coalesce("text", F.lit("")))).alias("some"))
-    code = readers.reject_code(tx.file_extension(F.col("filename")), F.col("size"), F.col("some"), config)
-    _, rejects = readers.split_rejects(per, code)
-    refused = per.filter(code.isNotNull()).select("doc_id")
-    good = segments.join(refused, "doc_id", "left_anti")
+    docs = checked(documents_of(segments), config)
+    good = docs.filter("code IS NULL").select("doc_id", "filename", "segments")
     chunks = chunk.chunk_documents(good, config)
+    registry = records(good, chunks, now)
+    failed = registry.filter("status = 'error'").select("filename", F.col("error").alias("code"))
+    rejects = readers.with_reasons(docs.filter("code IS NOT NULL").select("filename", "code").union(failed), config)
+    rows = good.select("doc_id", "filename", F.inline("segments")).select("doc_id", "filename", "page", "seq", "text")
+    return Corpus(rows, embedded(chunks, model), registry, rejects)
+
+
+def embedded(chunks: DataFrame, model: Callable = vectorize.HashingModel) -> DataFrame:
+    """Chunks with the vectors of their titles and texts."""
     source = vectorize.title_aware(F.col("text"), F.col("filename"))
-    vectors = vectorize.embed(chunks.withColumn("embed_text", source), "embed_text", model).drop("embed_text")
-    return Corpus(good, vectors, records(good, vectors, now), rejects)
+    return vectorize.embed(chunks.withColumn("embed_text", source), "embed_text", model).drop("embed_text")
 
 
 def upload(corpus: Corpus, segments: DataFrame, **options) -> Corpus:
@@ -122,5 +139,63 @@ class Trace:
             self.rows.append((self.run_id, None, name, status, (time.perf_counter() - began) * 1000, detail, got))
         return self.spark.read.parquet(path)
 
+    def check(self, name: str, df: DataFrame) -> None:
+        """A stage that finds its rows in place: counts them."""
+        began = time.perf_counter()
+        rows = df.count()
+        self.rows.append((self.run_id, None, name, "completed", (time.perf_counter() - began) * 1000, "", {"rows": str(rows)}))
+
     def table(self) -> DataFrame:
         return self.spark.createDataFrame(self.rows, STAGE_METRICS)
+
+
+# The stages of a run, in order; the last two are those of questions.
+STAGES = ("ingest", "extraction", "cleaning", "chunking", "embedding", "vector_store", "retrieval", "generation")
+
+
+def traced_ingest(segments: DataFrame, folder: str, run_id: str, config: Config = DEFAULT, model: Callable = vectorize.HashingModel, now=None) -> tuple[Corpus, DataFrame]:
+    """ingest() with a table written after each stage, and the metrics of the stages: of the run, and of each document.
+
+    A document's duration is its share of the stage's wall time by characters, as a stage handles all documents at once.
+    """
+    now = F.current_timestamp() if now is None else now
+    spark, trace = segments.sparkSession, Trace(segments.sparkSession, run_id)
+    docs = trace.stage("ingest", checked(documents_of(segments), config), f"{folder}/documents", refused=F.count("code"))
+    good = docs.filter("code IS NULL")
+    read = trace.stage("extraction", good.select("doc_id", "filename", "segments"), f"{folder}/extracted", segments=F.sum(F.size("segments")), bytes=F.sum(size_of("segments")))
+    cleaned = trace.stage("cleaning", clean.whole_documents(read, config.min_occurrences), f"{folder}/cleaned", chars=F.sum(F.length("clean_text")))
+    chunks = trace.stage("chunking", chunk.cut_documents(cleaned, config), f"{folder}/chunks", longest=F.max(F.length("text")))
+    stored = trace.stage("embedding", embedded(chunks, model), f"{folder}/vectors", dimension=F.max(F.size("embedding")))
+    trace.check("vector_store", stored)
+    registry = records(read, chunks, now)
+    rejects = readers.with_reasons(docs.filter("code IS NOT NULL").select("filename", "code").union(registry.filter("status = 'error'").select("filename", F.col("error").alias("code"))), config)
+    rows = read.select("doc_id", "filename", F.inline("segments")).select("doc_id", "filename", "page", "seq", "text")
+    took = {row[2]: row[4] for row in trace.rows}
+    per = document_stages(docs, cleaned, chunks, run_id, took)
+    return Corpus(rows, stored, registry, rejects), trace.table().unionByName(per)
+
+
+def document_stages(docs: DataFrame, cleaned: DataFrame, chunks: DataFrame, run_id: str, took: dict[str, float]) -> DataFrame:
+    """Stage metrics of each of docs(doc_id, filename, segments, code): success, failed at the stage that refused it or left
+    nothing of it, skipped after that. took: the milliseconds of the stages."""
+    chars = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.length(F.coalesce(s["text"], F.lit(""))))
+    slim = docs.select("doc_id", "code", F.size("segments").alias("segments"), chars.alias("chars"))
+    total = slim.agg(F.sum("chars").alias("all_chars"))  # one row
+    sizes = cleaned.select("doc_id", F.length("clean_text").alias("clean_chars"))
+    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("char_count").alias("longest"))
+    joined = slim.join(sizes, "doc_id", "left").join(counts, "doc_id", "left").crossJoin(F.broadcast(total))
+    share = F.when(F.col("code").isNull(), F.col("chars") / F.greatest(F.lit(1), F.col("all_chars"))).otherwise(F.lit(0.0))
+    ends = F.when(F.col("code").isNotNull(), 1).when(F.col("clean_chars").isNull(), 3).when(F.col("chunks").isNull(), 4).otherwise(99)
+    text = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    metrics = {
+        "ingest": ("code", F.coalesce("code", F.lit("accepted"))), "extraction": ("segments", text(F.col("segments"))), "cleaning": ("chars", text(F.col("clean_chars"))),
+        "chunking": ("chunks", text(F.col("chunks"))), "embedding": ("vectors", text(F.col("chunks"))), "vector_store": ("rows", text(F.col("chunks"))),
+    }
+    rows = []
+    for place, name in enumerate(STAGES[:6], 1):
+        status = F.when(ends < place, "skipped").when(ends == place, "failed").otherwise("completed")
+        key, value = metrics[name]
+        duration = F.when(ends >= place, share * float(took.get(name, 0.0)))
+        rows.append(F.struct(F.lit(name).alias("stage"), status.alias("status"), duration.cast("double").alias("duration_ms"), F.when(ends == place, F.coalesce("code", F.lit("processing_failed"))).otherwise("").alias("detail"), F.create_map(F.lit(key), value).alias("metrics")))
+    per = joined.select("doc_id", F.explode(F.array(*rows)).alias("s"))
+    return per.select(F.lit(run_id).alias("run_id"), F.col("doc_id").cast("string").alias("doc_id"), "s.stage", "s.status", "s.duration_ms", "s.detail", "s.metrics")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -30,29 +32,51 @@ def features(text: str, n: int = DEFAULT.ngram) -> Counter:
 
 
 class HashingModel:
-    """Texts to unit vectors. Each distinct feature of a task is hashed once, up to `remember` of them."""
+    """Texts to unit vectors. Each distinct feature of a task is hashed once, up to `remember` of them: a word is a list of
+    the numbers of its features, and a text's features are counted as numbers."""
 
     def __init__(self, dimension: int = DEFAULT.dimension, remember: int = 1 << 20) -> None:
-        self.dimension, self.remember, self.known = dimension, remember, {}
+        self.dimension, self.remember = dimension, remember
         self.name = f"hashing-ngram-{dimension}d"
+        self.forget()
 
-    def place(self, feature: str) -> tuple[int, float]:
-        if (found := self.known.get(feature)) is None:
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.buckets, self.signs = array("i"), array("d")
+        self.words: dict[str, list[int]] = {}
+        self.pairs: dict[tuple[str, str], int] = {}
+
+    def number(self, feature: str) -> int:
+        if (found := self.numbers.get(feature)) is None:
             value = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-            if len(self.known) >= self.remember:
-                self.known.clear()
-            found = self.known[feature] = (value % self.dimension, 1.0 if value >> 63 else -1.0)
+            self.buckets.append(value % self.dimension)
+            self.signs.append(1.0 if value >> 63 else -1.0)
+            found = self.numbers[feature] = len(self.numbers)
         return found
 
+    def of_words(self, words: list[str]) -> list[list[int]]:
+        for word in set(words) - self.words.keys():
+            self.words[word] = [self.number(f) for f in features(word).elements()]
+        return [self.words[w] for w in words]
+
+    def of_pairs(self, words: list[str]) -> list[int]:
+        pairs = list(zip(words, words[1:]))
+        for a, b in set(pairs) - self.pairs.keys():
+            self.pairs[a, b] = self.number(f"b:{a}_{b}")
+        return [self.pairs[p] for p in pairs]
+
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
-        for row, text in zip(out, texts, strict=True):
-            if found := features(text):
-                places = [self.place(f) for f in found]
-                weight = 1.0 + np.log(np.fromiter(found.values(), float, len(found)))
-                np.add.at(row, [b for b, _ in places], weight * [s for _, s in places])
-            norm = np.sqrt(row @ row)
-            row[:] = row / norm if norm else np.eye(1, self.dimension)[0]
+        for k, text in enumerate(texts):
+            if len(self.numbers) > self.remember:
+                self.forget()
+            if words := _TOKEN.findall(text.lower()):
+                found = np.fromiter(chain(chain.from_iterable(self.of_words(words)), self.of_pairs(words)), np.int64)
+                which, n = np.unique(found, return_counts=True)
+                weight = np.frombuffer(self.signs)[which] * (1.0 + np.log(n))
+                out[k] = np.bincount(np.frombuffer(self.buckets, np.int32)[which], weight, self.dimension)
+            norm = np.sqrt(out[k] @ out[k])
+            out[k] = out[k] / norm if norm else np.eye(1, self.dimension)[0]
         return out
 
 

@@ -5,6 +5,8 @@ The shared tables hold little dirt, so cleaning queries first add some with expr
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def query(f):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return storage.spread_out(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -35,13 +37,26 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").withColumn("filename", name)
 
 
+#: Dirt that cleaning repairs: odd blanks, quotes, dashes, invisible characters, ligatures, carriage returns, control
+#: characters, page markers and rules.
+DIRT = (
+    "\r\nodd\u2007blanks\u202fhere, \u201cquotes\u201d and \u2018more\u2019, a \u2013 b \u2014 c \u2212 d, in\u00advis\u200bible\ufeff, e\ufb00ort \ufb01nds \ufb02ow\r"
+    "bro-\r\nken \x07words\x1f \x0b\x0c\t and\n\n\n\n   blanks  \n-----\nPage 3 of 9\nPage 4 of 9\n5 / 9\n-----\n-----\n-----\nlast\n"
+)
+
+
 def dirty(text: Column) -> Column:
-    """Broken words at line ends and non-breaking spaces."""
-    return F.replace(F.replace(text, F.lit("tion "), F.lit("ti-\non  ")), F.lit(" the "), F.lit("\u00a0the\u00a0"))
+    """Words broken at line ends, non-breaking spaces, and DIRT at the end."""
+    return F.concat(F.replace(F.replace(text, F.lit("tion "), F.lit("ti-\non  ")), F.lit(" the "), F.lit("\u00a0the\u00a0")), F.lit(DIRT))
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    """One segment a document."""
+    """Documents of one segment each, in the form that needs no shuffle."""
+    return chunk.as_documents(documents(spark, d).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def segment_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same as rows of segments, which are assembled first."""
     docs = documents(spark, d)
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "filename", F.lit(None).cast("int").alias("page"), F.lit(0).alias("seq"), "text")
 
@@ -56,9 +71,9 @@ def paged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    """The first twelve words of every benchmark item as a question."""
-    words = F.slice(F.split("text", " "), 1, 12)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(words, " ").alias("question"))
+    """Every benchmark item as a question, whole; those that the check of questions refuses are left out."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return retrieve.validate(questions)[0]
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
@@ -199,6 +214,39 @@ def chunks(spark, d):
     return chunk.chunk_documents(segments(spark, d)).select("chunk_id", "doc_id", "chunk_index", "text", "char_start", "char_end", "page", "is_reference")
 
 
+@query
+def clean_documents(spark, d):
+    """The whole pass over documents with dirt."""
+    docs = documents(spark, d).withColumn("text", dirty(F.col("text")))
+    return clean.whole_documents(chunk.as_documents(docs)).select("doc_id", "clean_text")
+
+
+@query
+def paged_chunks(spark, d):
+    """Documents of pages of 20 lines, assembled, cleaned and cut."""
+    rows = paged(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("a.txt").alias("filename"), F.col("page").cast("int").alias("page"), F.col("seq").cast("int").alias("seq"), "text")
+    return chunk.chunk_documents(rows).select("doc_id", "chunk_index", "char_start", "page")
+
+
+@query
+def page_totals(spark, d):
+    return readers.page_counts(paged(spark, d))
+
+
+@query
+def decoded_texts(spark, d):
+    """Texts as files of UTF-8, marked UTF-8, UTF-16 and, where they fit, Latin-1; decoded again."""
+    text = F.col("text")
+    narrow = ~text.rlike("[^\\x00-\\x7F\\xA0-\\xFF]")
+    kind = F.col("doc_id") % 4
+    content = (
+        F.when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(kind == 2, F.encode(text, "UTF-16"))
+        .when((kind == 3) & narrow, F.encode(F.when(narrow, text).otherwise(""), "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    )
+    files = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.lit("a.txt").alias("filename"), content.alias("content"))
+    return readers.text_segments(files).select("doc_id", F.length("text").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
 @query
 def chunk_invariants(spark, d):
     """Documents whose chunks break a rule (none should): exact offsets, size, dense numbering."""
@@ -281,6 +329,31 @@ def knn_lsh(spark, d):
     return index.knn_lsh(vectors, vector_queries(spark, d), 5, "vec_id").select("question_id", "vec_id", "rank", "score")
 
 
+@query
+def width_guard(spark, d):
+    """Queries of which every other one is cut to half its width: those meet no vector."""
+    half = F.when(F.col("question_id") % 100 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    found = index.knn(table(spark, d, "embeddings"), vector_queries(spark, d).withColumn("embedding", half), 3, "vec_id")
+    return found.select("question_id", "vec_id", "rank", "score")
+
+
+@query
+def metadata_maps(spark, d):
+    """Hits' fields as maps of strings."""
+    rows = turns(spark, d).withColumn("both", F.array("doc_id", "filename"))
+    found = index.metadata_of(rows, "doc_id", "chunk_index", "page", "is_reference", "both")
+    return rows.select("question_id", "rank", F.array_join(F.array_sort(F.transform(F.map_entries(found), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("metadata"))
+
+
+@query
+def question_rejects(spark, d):
+    """Turns as questions: some blank, some too long, some with a number of hits that is not allowed."""
+    text = F.when(F.col("turn") % 7 == 3, F.lit(" \t\n")).when(F.col("turn") % 7 == 5, F.repeat("text", F.lit(100))).otherwise(F.col("text"))
+    asked_ = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), text.alias("question"), F.when(F.col("turn") % 2 == 0, (F.col("conv_id") % 25).cast("int")).alias("top_k"))
+    good, bad = retrieve.validate(asked_)
+    return good.select("question_id", F.lit("accepted").alias("code")).union(bad)
+
+
 @query
 def rerank_demoted(spark, d):
     return demoted_hits(spark, d).select("question_id", "chunk_id", "rank", "score", "is_reference")
@@ -386,6 +459,39 @@ def extractive_answers(spark, d):
     return an.extract(turns(spark, d).join(asked_, "question_id"))
 
 
+def conversation_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The answer job over each conversation: its first turn asked, its turns as the hits."""
+    asked_ = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
+    found = turns(spark, d).join(asked_, "question_id")
+    return an.answer(asked_, found, table(spark, d, "documents").count())
+
+
+@query
+def grounded_answers(spark, d):
+    out = conversation_answers(spark, d)
+    return out.select("question_id", "answer", "grounded", "abstained", "reason", "confidence", "confidence_label", "coverage", "returned", "top_score", "average_score", F.size("sources").alias("n_sources"))
+
+
+@query
+def prose_sentences(spark, d):
+    """Sentences of turns that are set with headings and rules."""
+    body = F.concat(F.lit("2.1 Related Work\n"), F.col("text"), F.lit("\n----\n\nResults and more\n"), F.col("doc_id"))
+    rows = turns(spark, d).withColumn("text", body).withColumn("question", F.lit(""))
+    return an.sentence_rows(rows).select("question_id", "rank", "pos", "sentence", "filename")
+
+
+@query
+def answer_budget(spark, d):
+    return table(spark, d, "documents").select("doc_id", an.within_budget(F.col("text"), DEFAULT.max_answer_chars).alias("answer"))
+
+
+@query
+def prompt_parts(spark, d):
+    questions = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
+    made = an.prompts(questions.join(an.contexts(turns(spark, d)).select("question_id", "context"), "question_id"))
+    return made.select("question_id", "system", F.sha2(F.col("user").cast("binary"), 256).alias("user_digest"), "preview")
+
+
 @query
 def retrieved_chunks(spark, d):
     return hits_of_items(spark, d).select("question_id", "rank", "chunk_id", "score", "is_reference", "token_estimate", "snippet")
@@ -500,6 +606,13 @@ def insert_ignore(spark, d):
     return index.append(known(spark, d), incoming(spark, d), "doc_id", "ignore")
 
 
+@query
+def number_added(spark, d):
+    """Incoming rows come twice each, and count once."""
+    twice = incoming(spark, d).union(incoming(spark, d).withColumn("version", F.lit("again")))
+    return index.number_added(known(spark, d), twice, "doc_id")
+
+
 @query
 def merge_latest(spark, d):
     return index.merge_latest(incoming(spark, d), known(spark, d), "doc_id")
@@ -542,8 +655,9 @@ def preview_chunks(spark, d):
 def rebuild_equals_ingest(spark, d):
     """Chunks that a rebuild makes and the first ingest did not, or the other way round (none)."""
     rows = segments(spark, d)
-    first = chunk.chunk_documents(rows).select("chunk_id", "text")
-    again = chunk.chunk_documents(rows.repartition(7, "filename")).select("chunk_id", "text")
+    first = lifecycle.ingest(rows, model=Nothing)
+    again = lifecycle.rebuild(first, model=Nothing).vectors.select("chunk_id", "text")
+    first = first.vectors.select("chunk_id", "text")
     return first.exceptAll(again).union(again.exceptAll(first))
 
 
@@ -553,13 +667,110 @@ def ingest_records(spark, d):
     return made.registry.select("id", "filename", "status", "chunk_count", "char_count", "word_count", "size_bytes", "fingerprint")
 
 
+class Nothing:
+    """A model of one number a text, for jobs whose vectors are not looked at."""
+
+    name = "nothing"
+
+    def __call__(self, texts):
+        return [[1.0]] * len(texts)
+
+
 @query
 def stage_metrics(spark, d):
-    trace = lifecycle.Trace(spark, "run")
-    folder = storage.work_folder(spark, "trace")
-    made = trace.stage("chunking", chunk.chunk_documents(segments(spark, d)), f"{folder}/chunks", longest=F.max(F.length("text")))
-    trace.stage("embedding", vectorize.embed(made), f"{folder}/vectors", dimension=F.max(F.size("embedding")))
-    return trace.table()
+    return lifecycle.traced_ingest(segments(spark, d), storage.work_folder(spark, "trace"), "run")[1]
+
+
+@query
+def document_stages(spark, d):
+    """The stages of each document, without their times; every ninth document is of a kind that is refused."""
+    rows = segments(spark, d).withColumn("filename", F.when(F.col("doc_id").cast("long") % 9 == 4, F.lit("notes.md")).otherwise(F.col("filename")))
+    made = lifecycle.traced_ingest(rows, storage.work_folder(spark, "trace"), "run", model=Nothing)[1]
+    return made.filter("doc_id IS NOT NULL").select("doc_id", "stage", "status", "detail", F.array_join(F.map_values("metrics"), ",").alias("metrics"))
+
+
+@query
+def processing_times(spark, d):
+    stages = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_id") % 9 > 0, F.col("value")).alias("duration_ms"))
+    return report.processing_time(stages)
+
+
+@query
+def rebuilt_corpus(spark, d):
+    """A rebuild after every fifth document was deleted: the chunks of the others, the same as before."""
+    gone = table(spark, d, "documents").filter("doc_id % 5 = 2").select(F.col("doc_id").cast("string").alias("doc_id"))
+    left = lifecycle.delete(lifecycle.ingest(segment_rows(spark, d), model=Nothing), gone)
+    return lifecycle.rebuild(left, model=Nothing).vectors.select("doc_id", "chunk_index", "text")
+
+
+@query
+def reindexed_corpus(spark, d):
+    """Every fourth document cut anew to 300 characters, the others as they were: chunks and longest chunk of each."""
+    chosen = table(spark, d, "documents").filter("doc_id % 4 = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
+    made = lifecycle.ingest(segments(spark, d), model=Nothing)
+    again = lifecycle.reindex(made, chosen, config=replace(DEFAULT, chunk_size=300, chunk_overlap=60), model=Nothing)
+    return again.vectors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("text")).alias("longest"))
+
+
+@query
+def uploaded_corpus(spark, d):
+    """Every sixth document comes again under its own name and a new id, which takes its place."""
+    rows = segments(spark, d)
+    again = rows.filter(F.col("doc_id").cast("long") % 6 == 0).withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    both = lifecycle.upload(lifecycle.ingest(rows, model=Nothing, now=now), again, model=Nothing, now=now)
+    return both.registry.select("id", "filename", "status", "chunk_count")
+
+
+@query
+def reset_counts(spark, d):
+    made = lifecycle.Corpus(segments(spark, d), table(spark, d, "embeddings"), records(spark, d), documents(spark, d).limit(0))
+    empty, counts = lifecycle.reset(made)
+    left = empty.registry.agg(F.count(F.lit(1)).alias("documents_left")).crossJoin(empty.vectors.agg(F.count(F.lit(1)).alias("chunks_left")))  # one row each
+    return left.select(F.lit(counts["documents"]).cast("long").alias("documents"), F.lit(counts["chunks"]).cast("long").alias("chunks"), "documents_left", "chunks_left")
+
+
+@query
+def recovered_names(spark, d):
+    """Stored files back to ids and names: every third was stored without an id."""
+    prefix = F.concat(F.lit("doc_"), F.substring(F.md5(F.col("filename").cast("binary")), 1, 12), F.lit("_"))
+    stored = documents(spark, d).select(F.col("doc_id").alias("number"), F.when(F.col("doc_id") % 3 > 0, F.concat(prefix, "filename")).otherwise(F.col("filename")).alias("filename"))
+    return lifecycle.recover_names(stored).select("number", "doc_id", "filename")
+
+
+@query
+def stored_registry(spark, d):
+    """The registry written, read, some records updated and others removed."""
+    folder = storage.work_folder(spark, "registry")
+    rows = records(spark, d).withColumn("id", F.col("id").cast("string"))
+    readers.write_registry(rows, folder)
+    known_ = readers.read_registry(spark, folder)
+    changed = known_.filter(F.col("id").cast("long") % 5 == 0).withColumn("status", F.lit("error")).withColumn("chunk_count", F.lit(0))
+    gone = known_.filter(F.col("id").cast("long") % 7 == 3).select("id")
+    return index.delete_documents(index.upsert(known_, changed, "id"), gone, "id").select("id", "filename", "status", "chunk_count", "size_bytes", "fingerprint")
+
+
+@query
+def stored_vectors(spark, d):
+    """The vector table stored with vectors of any length, and loaded."""
+    folder = storage.work_folder(spark, "vectors")
+    scaled = F.transform("embedding", lambda v: (v * (F.col("vec_id") % 5 + 1)).cast("float"))
+    index.save_vectors(table(spark, d, "embeddings").withColumn("embedding", scaled), folder)
+    loaded = index.load_vectors(spark, folder)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
+    return loaded.select("vec_id", F.round(norm, 4).alias("norm"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first"), F.round(F.get("embedding", F.lit(63)).cast("double"), 4).alias("last"))
+
+
+@query
+def stored_history(spark, d):
+    """Answers to the conversations' first turns, appended to a stored history in two parts, read back."""
+    folder = storage.work_folder(spark, "history")
+    made = storage.materialize(conversation_answers(spark, d), "answers")
+    for part in (0, 1):
+        rows = made.filter(F.col("question_id") % 2 == part)
+        readers.append_history(an.history_rows(rows, F.lit("2024-01-01").cast("timestamp"), F.lit("extractive"), F.col("question_id") * 1.0), folder)
+    read = readers.read_history(spark, folder)
+    return read.select(F.col("response_time_ms").cast("long").alias("question_id"), "question", "answer", "confidence", "confidence_label", "top_score", "llm_model", F.size("sources").alias("n_sources"))
 
 
 # --- streams --------------------------------------------------------------------------------------------------------
@@ -577,6 +788,18 @@ def stream_ingest(spark, d):
     return jobs.latest(spark, f"{folder}/table", running)
 
 
+@query
+def stream_chunks(spark, d):
+    """Documents as a stream of files, chunked and embedded; the newest chunks of each document."""
+    folder = storage.work_folder(spark, "stream")
+    source = jobs.read_parquet_stream(spark, f"{d}/documents.parquet*", table(spark, d, "documents").schema)
+    named = source.withColumn("filename", F.format_string("%s_%d.txt", F.col("source"), F.col("doc_id"))).withColumn("doc_id", F.col("doc_id").cast("string"))
+    work = lambda rows: lifecycle.embedded(chunk.chunk_documents(chunk.as_documents(rows)))
+    running = jobs.ingest_stream(named, work, f"{folder}/table", f"{folder}/checkpoint", "doc_id")
+    running.awaitTermination()
+    return jobs.latest(spark, f"{folder}/table", running).select("chunk_id", "text", F.size("embedding").alias("width"))
+
+
 @query
 def stream_latency(spark, d):
     folder = storage.work_folder(spark, "stream")

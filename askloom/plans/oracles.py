@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from askloom.schemas import INSTRUCTION, STOP_WORDS
+from askloom.plans import chunk_oracle
+from askloom.plans.chunk_oracle import collapse as _collapse
+from askloom.plans.chunk_oracle import strip as _strip
+from askloom.schemas import EMPTY_CORPUS, INSTRUCTION, NO_ANSWER, STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _NL = "chr(10)"
@@ -12,17 +15,6 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
-
-
-def _collapse(x: str) -> str:
-    out = rf"regexp_replace({x}, '[ \t\f\v]+', ' ', 'g')"
-    out = rf"regexp_replace({out}, '(^|\n)[^\S\n]+', '\1', 'g')"
-    out = rf"regexp_replace({out}, '[^\S\n]+(\n|$)', '\1', 'g')"
-    return rf"regexp_replace({out}, '\n{{3,}}', {_NL} || {_NL}, 'g')"
-
-
 def _tokens(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-z0-9]+(?:''[a-z]+)?')"
 
@@ -47,10 +39,13 @@ def _sentences(x: str) -> str:
     return rf"string_split(regexp_replace({x}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 
 
-_ASKED = "asked AS (SELECT item_id AS question_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS question FROM benchmark)"
-_PAIRED = f"{_ASKED}, paired AS (SELECT d.doc_id, d.text, a.question_id, a.question FROM documents d JOIN asked a ON d.doc_id % (SELECT count(*) FROM benchmark) = a.question_id)"
+_ASKED = f"asked AS (SELECT item_id AS question_id, text AS question FROM benchmark WHERE {_strip("coalesce(text, '')")} <> '' AND length(text) <= 2000)"
+_PAIRED = f"{_ASKED}, paired AS (SELECT d.doc_id, d.text, a.question_id, a.question FROM documents d JOIN asked a ON d.doc_id % (SELECT count(*) FROM asked) = a.question_id)"
 _COVER = f"CASE WHEN len({_terms('question')}) = 0 THEN 1.0 ELSE len(list_intersect({_terms('question')}, {_terms('text')}))::DOUBLE / len({_terms('question')}) END"
 
+# Fixed value: the shape of a heading line.
+HEADING = r"^(?:\d+(?:\.\d+)*[.)]?\s+|[#*\x{2022}\-]\s*)?[A-Z][\w &/''-]{0,58}$"
+
 _PAGES = rf"""paged AS (
   SELECT doc_id, s + 1 AS page, s AS seq, array_to_string(lines[s * 20 + 1 : s * 20 + 20], {_NL}) AS text
   FROM (SELECT doc_id, lines, unnest(range(0, (len(lines) - 1) // 20 + 1)) AS s FROM (SELECT doc_id, string_split(text, {_NL}) AS lines FROM documents WHERE text IS NOT NULL))),
@@ -96,6 +91,68 @@ _RECORDS = """records AS (
   SELECT doc_id AS id, source || '_' || doc_id || '.txt' AS filename, n_chars AS size_bytes, CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE 'ready' END AS status,
          n_chars // 400 AS chunk_count, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS uploaded_at, substr(sha256(text), 1, 16) AS fingerprint FROM documents)"""
 
+# Dirt as the catalogue adds it, character by character where SQL has no escape.
+_C = lambda *parts: " || ".join(f"chr({c})" if isinstance(c, int) else f"'{c}'" for c in parts)
+_DIRT = _C(
+    13, 10, "odd", 8199, "blanks", 8239, "here, ", 8220, "quotes", 8221, " and ", 8216, "more", 8217, ", a ", 8211, " b ", 8212, " c ", 8722, " d, in", 173, "vis", 8203, "ible", 65279, ", e", 64256, "ort ", 64257, "nds ", 64258, "ow", 13,
+    "bro-", 13, 10, "ken ", 7, "words", 31, " ", 11, 12, 9, " and", 10, 10, 10, 10, "   blanks  ", 10, "-----", 10, "Page 3 of 9", 10, "Page 4 of 9", 10, "5 / 9", 10, "-----", 10, "-----", 10, "-----", 10, "last", 10,
+)
+
+
+def _dirty(x: str) -> str:
+    return f"replace(replace({x}, 'tion ', 'ti-' || chr(10) || 'on  '), ' the ', chr(160) || 'the' || chr(160)) || {_DIRT}"
+
+
+_CLEAN = f"{chunk_oracle.cleaned('documents')}, {chunk_oracle.references()}"
+_CHUNKS = f"WITH RECURSIVE {_CLEAN}, {chunk_oracle.chunks()}"
+_CHUNK_COUNTS = f"""counted AS (SELECT d.doc_id, d.source || '_' || d.doc_id || '.txt' AS filename, d.text, count(c.doc_id)::INT AS n, max(c.char_end)::BIGINT AS chars, sum({_words('c.text')})::BIGINT AS words
+  FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id WHERE {_strip("coalesce(d.text, '')")} <> '' GROUP BY ALL)"""
+
+# The answer job over conversations: the first turn asked, the turns as hits.
+_ANSWERS = rf"""{_CONTEXTS},
+questions AS (SELECT conv_id AS question_id, text AS question FROM conversations WHERE turn = 0),
+facts AS (
+  SELECT question_id, count(*)::INT AS returned, max(score) AS top_score, round(avg(score), 4) AS average_score, max(score) - coalesce((sum(score) - max(score)) / nullif(count(*) - 1, 0), 0.0) AS margin
+  FROM (SELECT conv_id AS question_id, round(1::DOUBLE / (turn + 1), 4) AS score FROM conversations) GROUP BY question_id),
+covered AS (
+  SELECT q.question_id, q.question, f.returned, f.top_score, f.average_score, f.margin, {_COVER.replace("tokens", "tokens").replace(_terms("text"), _terms("coverage_text"))} AS raw
+  FROM questions q JOIN facts f USING (question_id) JOIN contexts USING (question_id)),
+gated AS (
+  SELECT *, CASE WHEN (SELECT count(*) FROM documents) = 0 THEN 'empty corpus' WHEN raw < 0.18 THEN 'context did not cover the question' ELSE 'answered' END AS reason,
+         round(greatest(0, least(1, 0.45::DOUBLE * round(greatest(0, least(1, top_score / 0.75::DOUBLE)), 4) + 0.35::DOUBLE * round(greatest(0, least(1, raw)), 4) + 0.20::DOUBLE * round(greatest(0, least(1, margin / 0.25::DOUBLE)), 4))), 4) AS blended
+  FROM covered),
+hit_prose AS (
+  SELECT question_id, rank, filename, array_to_string(list_transform(list_filter(list_transform(string_split(text, {_NL}), lambda l: {_strip('l')}), lambda l: l <> '' AND NOT regexp_matches(l, '^[-=_*~]{{3,}}$')),
+         lambda l: CASE WHEN regexp_matches(l, '{HEADING}') THEN l || '.' ELSE l END), ' ') AS body FROM turns WHERE NOT is_reference),
+hit_sentences AS (
+  SELECT question_id, rank, filename, pos, sentence, list_distinct({_tokens('sentence')}) AS tokens FROM (
+    SELECT question_id, rank, filename, {_strip('s')} AS sentence, i - 1 AS pos FROM (SELECT question_id, rank, filename, unnest({_sentences('body')}) AS s, generate_subscripts({_sentences('body')}, 1) AS i FROM hit_prose))
+  WHERE length(sentence) > 25),
+stacked AS (
+  SELECT question_id, list([{{'rank': rank, 'pos': pos, 'sentence': sentence, 'tokens': tokens, 'filename': filename}}] ORDER BY rank, pos) AS rows FROM hit_sentences WHERE len(tokens) > 0 GROUP BY question_id),
+distinct_rows AS (
+  SELECT question_id, list_reduce(rows, lambda kept, row: CASE WHEN len(list_filter(kept, lambda k: list_has_all(k.tokens, row[1].tokens) OR list_has_all(row[1].tokens, k.tokens))) > 0 THEN kept ELSE list_concat(kept, row) END) AS rows FROM stacked),
+scored AS (
+  SELECT question_id, place, r.sentence AS sentence, {_terms('r.sentence')} AS body, {_terms('r.filename')} AS label, terms
+  FROM (SELECT question_id, unnest(rows) AS r, generate_subscripts(rows, 1) AS place, terms FROM distinct_rows JOIN (SELECT question_id, {_terms('question')} AS terms FROM gated WHERE reason = 'answered') USING (question_id))),
+rated AS (
+  SELECT *, len(list_intersect(terms, body)) + 0.5::DOUBLE * len(list_intersect(list_filter(terms, lambda t: NOT list_contains(body, t)), label)) + len(list_intersect(terms, body))::DOUBLE / greatest(len(body), 1) AS score FROM scored),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, place) AS r FROM rated WHERE score > 0) WHERE r <= 3),
+quoted AS (SELECT question_id, string_agg(sentence, ' ' ORDER BY place) AS made FROM chosen GROUP BY question_id),
+fitted AS (
+  SELECT question_id, CASE WHEN length(made) <= 900 THEN made ELSE (SELECT string_agg(p.part, ' ' ORDER BY p.i) FROM (
+      SELECT part, i, sum(length(part) + 1) OVER (ORDER BY i) AS used FROM (SELECT unnest({_sentences('made')}) AS part, generate_subscripts({_sentences('made')}, 1) AS i)) p WHERE p.i = 1 OR p.used <= 900) END AS made FROM quoted),
+final AS (
+  SELECT g.*, CASE WHEN reason = 'empty corpus' THEN {_q(EMPTY_CORPUS)} WHEN reason <> 'answered' THEN {_q(NO_ANSWER)} ELSE coalesce(nullif({_strip('made')}, ''), {_q(NO_ANSWER)}) END AS answer,
+         (SELECT least(3, count(DISTINCT (doc_id, chunk_index)))::INT FROM turns t WHERE t.question_id = g.question_id) AS n_hits
+  FROM gated g LEFT JOIN fitted USING (question_id)),
+judged AS (SELECT *, reason <> 'answered' OR contains(lower(answer), {_q(NO_ANSWER.lower())}) AS abstained FROM final),
+told AS (
+  SELECT question_id, question, answer, NOT abstained AS grounded, abstained, reason, CASE WHEN abstained THEN round(blended * 0.5, 4) ELSE blended END AS confidence, round(raw, 4) AS coverage, returned, top_score, average_score,
+         CASE WHEN abstained THEN 0 ELSE n_hits END AS n_sources FROM judged),
+labelled AS (
+  SELECT *, CASE WHEN NOT grounded THEN 'Not grounded in documents' WHEN confidence >= 0.70 THEN 'High confidence' WHEN confidence >= 0.45 THEN 'Moderate confidence' WHEN confidence >= 0.25 THEN 'Low confidence' ELSE 'Very low confidence' END AS confidence_label FROM told)"""
+
 _LATENCY = """SELECT count(*) AS questions_asked, coalesce(round(avg(value), 2), 0.0) AS average_response_time_ms, round(min(value), 2) AS fastest_response_ms,
 round(max(value), 2) AS slowest_response_ms, max(ts) AS last_question_at FROM events"""
 
@@ -120,9 +177,8 @@ ORACLES = {
     "upload_outcome": f"""WITH codes AS (SELECT CASE WHEN doc_id % 5 = 3 THEN 1 WHEN n_chars > 26214400 THEN 1 WHEN n_chars = 0 OR {_strip("coalesce(text, '')")} = '' THEN 1 END AS code FROM documents),
         counted AS (SELECT count(*) - count(code) AS created, count(code) AS failed FROM codes)
         SELECT created, failed, created || ' document(s) processed' || CASE WHEN failed > 0 THEN ', ' || failed || ' failed' ELSE '' END AS message FROM counted""",
-    "clean_text": rf"""WITH dirty AS (SELECT doc_id, replace(replace(text, 'tion ', 'ti-' || {_NL} || 'on  '), ' the ', chr(160) || 'the' || chr(160)) AS text FROM documents),
-        joined AS (SELECT doc_id, text, regexp_replace(replace(text, chr(160), ' '), '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS body FROM dirty),
-        cleaned AS (SELECT doc_id, text, {_strip(_collapse('body'))} AS clean_text FROM joined)
+    "clean_text": rf"""WITH dirty AS (SELECT doc_id, {_dirty('text')} AS text FROM documents),
+        cleaned AS (SELECT doc_id, text, {_strip(chunk_oracle.basic('text'))} AS clean_text FROM dirty)
         SELECT doc_id, clean_text, CASE WHEN length(text) > 0 THEN round((length(text) - length(clean_text))::DOUBLE / length(text) * 100, 2) ELSE 0.0 END AS noise_percent FROM cleaned""",
     "boilerplate_lines": f"WITH {_BOILER} SELECT doc_id, line FROM furniture",
     "drop_furniture": f"""WITH {_BOILER}, sets AS (SELECT doc_id, list(line) AS furniture FROM furniture GROUP BY doc_id),
@@ -248,4 +304,46 @@ ORACLES = {
     "rebuild_equals_ingest": "SELECT ''::VARCHAR AS chunk_id, ''::VARCHAR AS text WHERE false",
     "stream_ingest": f"SELECT doc_id, ({_words('text')})::INT AS words, substr(sha256(text), 1, 16) AS fingerprint FROM documents",
     "stream_latency": _LATENCY,
+    "clean_documents": f"WITH dirty AS (SELECT doc_id, {_dirty('text')} AS text FROM documents), {chunk_oracle.cleaned('dirty')} SELECT doc_id, t AS clean_text FROM cleaned",
+    "chunks": f"{_CHUNKS} SELECT doc_id || '::' || lpad(chunk_index::VARCHAR, 5, '0') AS chunk_id, doc_id::VARCHAR AS doc_id, chunk_index, text, char_start, char_end, NULL::INT AS page, is_reference FROM chunks",
+    "paged_chunks": f"""WITH RECURSIVE {_PAGES.replace("spans AS (", "raw_spans AS (")}, {chunk_oracle.cleaned_pages('paged')}, {chunk_oracle.references()}, {chunk_oracle.chunks()},
+        last AS (SELECT doc_id, arg_max(page, start) AS page FROM spans GROUP BY doc_id)
+        SELECT c.doc_id::VARCHAR AS doc_id, c.chunk_index, c.char_start, coalesce(s.page, l.page)::INT AS page FROM chunks c JOIN last l ON l.doc_id = c.doc_id
+        LEFT JOIN spans s ON s.doc_id = c.doc_id AND c.char_start >= s.start AND c.char_start < s.stop""",
+    "page_totals": f"WITH {_PAGES} SELECT doc_id, count(*)::INT AS page_count, bool_and({_strip('text')} = '') AS blank FROM paged GROUP BY doc_id",
+    "decoded_texts": "SELECT doc_id, length(text)::INT AS chars, sha256(text) AS digest FROM documents WHERE text IS NOT NULL",
+    "width_guard": f"WITH {_HITS} SELECT question_id, vec_id, rank::INT AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored WHERE question_id % 100 <> 0) WHERE rank <= 3",
+    "metadata_maps": f"""WITH {_TURNS} SELECT question_id, rank, array_to_string(list_filter(['both=["' || doc_id || '","' || filename || '"]', 'chunk_index=' || chunk_index, 'doc_id=' || doc_id, 'is_reference=' || is_reference, 'page=' || page], lambda x: x IS NOT NULL), ';') AS metadata FROM turns""",
+    "question_rejects": f"""WITH rows AS (SELECT conv_id * 1000 + turn AS question_id, CASE WHEN turn % 7 = 3 THEN ' ' WHEN turn % 7 = 5 THEN repeat(text, 100) ELSE text END AS question, CASE WHEN turn % 2 = 0 THEN conv_id % 25 END AS top_k FROM conversations)
+        SELECT question_id, CASE WHEN {_strip("coalesce(question, '')")} = '' OR length(question) > 2000 OR coalesce(top_k NOT BETWEEN 1 AND 20, false) THEN 'invalid_question' ELSE 'accepted' END AS code FROM rows""",
+    "prose_sentences": rf"""WITH {_ANSWERS.replace("FROM turns WHERE NOT is_reference", "FROM (SELECT * REPLACE ('2.1 Related Work' || chr(10) || text || chr(10) || '----' || chr(10) || chr(10) || 'Results and more' || chr(10) || doc_id AS text) FROM turns) WHERE NOT is_reference")}
+        SELECT question_id, rank, pos::INT AS pos, sentence, filename FROM hit_sentences""",
+    "answer_budget": f"""SELECT doc_id, CASE WHEN length(text) <= 900 THEN text ELSE (SELECT string_agg(p.part, ' ' ORDER BY p.i) FROM (
+          SELECT part, i, sum(length(part) + 1) OVER (ORDER BY i) AS used FROM (SELECT unnest({_sentences('text')}) AS part, generate_subscripts({_sentences('text')}, 1) AS i)) p WHERE p.i = 1 OR p.used <= 900) END AS answer FROM documents""",
+    "prompt_parts": f"""WITH {_CONTEXTS}, made AS (SELECT c.question_id, 'Context:' || {_NL} || c.context || {_NL} || {_NL} || 'Question:' || {_NL} || {_strip('t.text')} || {_NL} || {_NL} || 'Answer:' AS task FROM contexts c JOIN conversations t ON t.conv_id = c.question_id AND t.turn = 0)
+        SELECT question_id, {_q(INSTRUCTION)} AS system, sha256(task) AS user_digest, {_truncate('task', 4000)} AS preview FROM made""",
+    "grounded_answers": f"WITH {_ANSWERS} SELECT * EXCLUDE (question) FROM labelled",
+    "stored_history": f"WITH {_ANSWERS} SELECT question_id, question, answer, confidence, confidence_label, top_score, 'extractive' AS llm_model, n_sources FROM labelled",
+    "number_added": f"WITH {_VERSIONS} SELECT count(*) AS added FROM incoming WHERE doc_id NOT IN (SELECT doc_id FROM known)",
+    "processing_times": "SELECT user_id AS doc_id, round(sum(CASE WHEN event_id % 9 > 0 THEN coalesce(value, 0.0) ELSE 0.0 END), 2) AS processing_ms FROM events GROUP BY user_id",
+    "ingest_records": f"""{_CHUNKS}, {_CHUNK_COUNTS} SELECT doc_id::VARCHAR AS id, filename, CASE WHEN n > 0 THEN 'ready' ELSE 'error' END AS status, n AS chunk_count, coalesce(chars, 0) AS char_count, coalesce(words, 0) AS word_count,
+        strlen(text)::BIGINT AS size_bytes, substr(sha256(text), 1, 16) AS fingerprint FROM counted""",
+    "document_stages": f"""{_CHUNKS}, {_CHUNK_COUNTS},
+        codes AS (SELECT d.doc_id, CASE WHEN d.doc_id % 9 = 4 THEN 'unsupported_file_type' WHEN {_strip("coalesce(d.text, '')")} = '' THEN 'empty_file' END AS code, coalesce(c.n, 0) AS n, length(k.t) AS chars
+                  FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN cleaned k ON k.doc_id = d.doc_id),
+        ended AS (SELECT *, CASE WHEN code IS NOT NULL THEN 1 WHEN chars IS NULL THEN 3 WHEN n = 0 THEN 4 ELSE 99 END AS ends FROM codes),
+        stages AS (SELECT * FROM (VALUES (1, 'ingest'), (2, 'extraction'), (3, 'cleaning'), (4, 'chunking'), (5, 'embedding'), (6, 'vector_store')) s(place, stage))
+        SELECT doc_id::VARCHAR AS doc_id, stage, CASE WHEN ends < place THEN 'skipped' WHEN ends = place THEN 'failed' ELSE 'completed' END AS status, CASE WHEN ends = place THEN coalesce(code, 'processing_failed') ELSE '' END AS detail,
+          CASE place WHEN 1 THEN coalesce(code, 'accepted') WHEN 2 THEN '1' WHEN 3 THEN CASE WHEN code IS NULL THEN coalesce(chars, 0) ELSE 0 END::VARCHAR ELSE CASE WHEN code IS NULL THEN n ELSE 0 END::VARCHAR END AS metrics FROM ended, stages""",
+    "rebuilt_corpus": f"{_CHUNKS} SELECT doc_id::VARCHAR AS doc_id, chunk_index, text FROM chunks WHERE doc_id % 5 <> 2",
+    "reindexed_corpus": f"""{_CHUNKS}, s_cleaned AS (SELECT * FROM cleaned WHERE doc_id % 4 = 1), s_refs AS (SELECT * FROM refs), {chunk_oracle.chunks("s_", 300, 60)}
+        SELECT doc_id::VARCHAR AS doc_id, count(*) AS chunks, max(length(text))::INT AS longest FROM (SELECT doc_id, text FROM chunks WHERE doc_id % 4 <> 1 UNION ALL SELECT doc_id, text FROM s_chunks) GROUP BY doc_id""",
+    "uploaded_corpus": f"""{_CHUNKS}, {_CHUNK_COUNTS} SELECT CASE WHEN doc_id % 6 = 0 THEN 'n' ELSE '' END || doc_id AS id, filename, CASE WHEN n > 0 THEN 'ready' ELSE 'error' END AS status, n AS chunk_count FROM counted""",
+    "reset_counts": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS chunks, 0::BIGINT AS documents_left, 0::BIGINT AS chunks_left",
+    "recovered_names": """WITH named AS (SELECT doc_id AS number, source || '_' || doc_id || '.txt' AS filename FROM documents)
+        SELECT number, CASE WHEN number % 3 > 0 THEN 'doc_' || substr(md5(filename), 1, 12) ELSE 'doc_' || substr(sha256(filename), 1, 12) END AS doc_id, filename FROM named""",
+    "stored_registry": f"""WITH {_RECORDS} SELECT id::VARCHAR AS id, filename, CASE WHEN id % 5 = 0 THEN 'error' ELSE status END AS status, CASE WHEN id % 5 = 0 THEN 0 ELSE chunk_count END::INT AS chunk_count, size_bytes, fingerprint FROM records WHERE id % 7 <> 3""",
+    "stored_vectors": """WITH lengths AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+        SELECT vec_id, round(sqrt(list_dot_product(e, e)) / n, 4) AS norm, round(e[1] / n, 4) AS first, round(e[64] / n, 4) AS last FROM lengths""",
+    "stream_chunks": f"{_CHUNKS} SELECT doc_id || '::' || lpad(chunk_index::VARCHAR, 5, '0') AS chunk_id, text, 384 AS width FROM chunks",
 }

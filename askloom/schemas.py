@@ -30,6 +30,7 @@ class Config:
     max_sentences: int = 3
     max_answer_chars: int = 900
     min_sentence_chars: int = 25
+    preview_chars: int = 4000
 
 
 DEFAULT = Config()
@@ -53,9 +54,10 @@ EMPTY_CORPUS = (
     "No documents have been uploaded yet, so there is nothing to search. "
     "Upload a PDF, DOCX or TXT file and ask your question again."
 )
+#: What a model is told; only the message in it is fixed.
 INSTRUCTION = (
-    "You are a document assistant.\n\nAnswer ONLY from the provided context.\n"
-    f'If the answer is not found in the context, reply:\n"{NO_ANSWER}"\n\n'
+    "Use nothing but the numbered sources below, and name those that you use.\n"
+    f"Where they do not hold the answer, say exactly this and no more:\n{NO_ANSWER}\n\n"
 )
 
 _S, _I, _L, _D, _B, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()

@@ -41,6 +41,17 @@ def split_rejects(files: DataFrame, code: Column) -> tuple[DataFrame, DataFrame]
     return marked.filter(F.col("code").isNull()).drop("code"), marked.filter(F.col("code").isNotNull()).select("filename", "code")
 
 
+def with_reasons(rejects: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """rejects(filename, code) with a sentence for people, in the form of the reject table."""
+    allowed = ", ".join("." + e for e in config.extensions)
+    reason = (
+        F.when(F.col("code") == "unsupported_file_type", F.concat(F.lit("Files of type '."), tx.file_extension(F.col("filename")), F.lit(f"' are not read, only {allowed}.")))
+        .when(F.col("code") == "file_too_large", F.lit(f"The file has more than {config.max_upload_bytes // 1024**2} MB."))
+        .when(F.col("code") == "empty_file", F.lit("The file holds no text.")).when(F.col("code") == "processing_failed", F.lit("No text was left after cleaning."))
+    )
+    return rejects.select("filename", "code", reason.alias("reason"))
+
+
 def decode_text(content: Column) -> Column:
     """Bytes to text: UTF-8 with or without mark, UTF-16 with a mark, else windows-1252, else ISO-8859-1."""
     raw = content.cast("string")
@@ -138,3 +149,14 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).option("mode", "DROPMALFORMED").json(path)
+
+
+def write_registry(registry: DataFrame, path: str) -> None:
+    """The registry as JSON lines, newest first: files in order, each in order."""
+    in_order = registry.select([f.name for f in REGISTRY if f.name in registry.columns])
+    in_order.orderBy(F.desc("uploaded_at"), "id").write.mode("overwrite").json(path)
+
+
+def append_history(entries: DataFrame, path: str) -> None:
+    """Adds answered questions to the stored history; what is there stays."""
+    entries.select([f.name for f in HISTORY]).write.mode("append").json(path)

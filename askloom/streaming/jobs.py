@@ -1,36 +1,42 @@
-"""Streams: continuous ingest into a versioned vector table, and the live latency dashboard."""
+"""Streams: continuous ingest into a table of batches, and the live latency dashboard."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askloom.operators import index
 from askloom.operators.report import latency_stats
-from askloom.sources import storage
 
 
 def ingest_stream(source: DataFrame, work: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, key: str):
-    """Applies `work` to each micro-batch and upserts its rows by `key` into the table's next version.
+    """Applies `work` to each micro-batch and writes its rows, and only them, as a batch of the table.
 
-    Versions are numbered by batch: a replayed batch starts from the version before it and writes the same one again.
+    Batches are folders by number: a replayed one replaces itself. `latest` shows the newest batch's rows of each key;
+    `compact` writes what it shows as one batch.
     """
-    spark = source.sparkSession
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = work(batch)
-        if number:
-            rows = index.upsert(spark.read.parquet(f"{table}/v{number - 1:08d}"), rows, key)
-        storage.write_version(rows, table, number)
+    def add(batch: DataFrame, number: int) -> None:
+        work(batch).withMetadata(key, {"key": True}).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, table: str, query) -> DataFrame:
-    """The version that the query's last batch wrote."""
-    return spark.read.parquet(f"{table}/v{query.lastProgress['batchId']:08d}")
+def latest(spark: SparkSession, table: str, query=None) -> DataFrame:
+    """The rows of each key from its newest batch (of several with one key in a batch, all), up to the query's last one."""
+    rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
+    if query is not None and query.lastProgress:
+        rows = rows.filter(F.col("batch") <= query.lastProgress["batchId"])
+    key = next(f.name for f in rows.schema if f.metadata.get("key"))
+    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [key, "batch"], "left_semi").drop("batch")
+
+
+def compact(spark: SparkSession, table: str, to: str) -> None:
+    """Writes the newest rows of all keys as the first batch of another table."""
+    latest(spark, table).write.mode("overwrite").parquet(f"{to}/batch=0")
 
 
 def latency_stream(history: DataFrame, name: str, checkpoint: str):
