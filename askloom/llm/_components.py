@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm._shared import materialize
+from askloom.llm._shared import materialize, release
 
 #: Edges that a task joins at once.
 AT_ONCE = 1 << 20
@@ -47,23 +47,37 @@ def _joined(batches):
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One round. edges(u, v) with u > v -> the same kind, distinct, with every node nearer to its smallest."""
+    """One round. edges(u, v) with u > v -> the same kind, distinct, with every node nearer to its smallest; written."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-    lower = large.groupBy("u").agg(F.min("v").alias("m"))
+    # the smallest neighbours are written, so that Spark sees plain shuffles on both sides of the joins and splits a node of
+    # many links
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v"), "large")
+    lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
     small = large.join(lower, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.union(lower.select("u", F.col("m").alias("v"))).distinct()
+    out = materialize(small.union(lower.select("u", F.col("m").alias("v"))).distinct().mapInArrow(_joined, "u long, v long"), "edges")
+    release(least, large, lower)
+    return out
 
 
 def connected(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b) -> id, component: the smallest id that links reach. Nodes without a link to another are left out."""
+    """pairs(a, b) -> id, component: the smallest id that links reach. Nodes without a link to another are left out.
+
+    Rounds of stars go on until nothing changes, or what is left are no more edges than a task joins at once.
+    """
     edges = pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges, before = materialize(edges.mapInArrow(_joined, "u long, v long").distinct(), "edges"), None
+    # all edges of a node from above meet in one task, so that a task leaves little more than its nodes
+    edges, before = materialize(edges.repartition("u").mapInArrow(_joined, "u long, v long").distinct(), "edges"), None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first()
-        if now == before or now[0] == 0:
+        if now == before:
+            break
+        before, last = now, edges
+        few = now[0] <= AT_ONCE
+        edges = materialize(last.coalesce(1).mapInArrow(_joined, "u long, v long"), "edges") if few else _stars(last)
+        release(last)
+        if few:
             break
-        before = now
-        edges = materialize(_stars(edges.mapInArrow(_joined, "u long, v long")), "edges")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out.askloom_path = edges.askloom_path
+    return out

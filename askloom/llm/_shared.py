@@ -32,7 +32,18 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends at a table that outlives executors."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.askloom_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes written tables that no later step reads: what was made of them is itself written."""
+    for table in tables:
+        if path := getattr(table, "askloom_path", None):
+            jvm, session = table.sparkSession._jvm, table.sparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:

@@ -9,15 +9,23 @@ first regions have sets of shingles as pivots, and whole documents are the pivot
    in at most D classes: a text sent to the cells of its first D + 1 classes, in one order for all texts (fullest first,
    then by hash), meets every text that it links with. K follows the size; a text near a step of K is sent for both.
 2. Regions. Texts that share a cell, directly or in steps, form a region; others cannot link. Equal sets are one member.
-3. Voronoi recursion. A region of more than BLOCK members is split: pivots drawn from its members by hash, each member
-   goes to its nearest pivot, and also to every pivot not farther than that by more than twice the limit (Jaccard
-   distance), until regions are small or stop shrinking. What stays large is cut into blocks that all members pass.
-4. Join. In a block, counts of common shingles over posting lists give every exact similarity; links join members, and
+3. Voronoi recursion. Inside a region, pivots are drawn from its members by hash. A member goes to its nearest pivot, or to
+   the outer region if all are farther than 1 - r (r: the largest Jaccard distance of a link). By the triangle inequality
+   it also visits every pivot that is not farther than the nearest by more than 2 r, if it shares a shingle with it, and the
+   outer region if no pivot is nearer than 1 - 2 r. Regions of more than BLOCK members are split so by Spark; every task
+   splits its own regions on, until they have LEAF members or stop shrinking. Regions of more than LARGE members are first
+   taken apart by cells and sketches of their sets (parities of classes), which lose no link. A region that Spark cannot shrink is cut into
+   blocks that all its members pass.
+4. Join. In what is left, counts of common shingles over posting lists give every exact similarity; links join members, and
    only one row a member leaves the task.
 
+Hot cells: those of many texts, found in a sample, are joined by an aggregate and a broadcast of their leaders (at most
+2 * SAMPLED / HOT of them); what the sample misses takes the common path. Neither path leaves a row out.
+
 Shingles are 64-bit hashes of word runs. Defined results: a text with fewer words than a shingle is one shingle; a text
-without words (or null) has an empty set and links with nothing; equal texts link; rows without doc_id never stand for
-their group; repeated rows get the same result; an empty table gives an empty result.
+without words (or null) has an empty set and links with nothing; equal texts link; very long texts are taken whole, one at a
+time; rows without doc_id never stand for their group; repeated rows get the same result; other columns stay as they are; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +35,15 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askloom.llm import _words
 from askloom.llm._components import connected
-from askloom.llm._shared import materialize
+from askloom.llm._shared import materialize, release
 
-BLOCK, PIVOTS, SHRINKS, LARGE = 2048, 32, 0.8, 512
+BLOCK, LEAF, PIVOTS, SHRINKS, SPREAD, LARGE = 2048, 8, 32, 0.8, 2, 16_384
+#: Rows of cells that are sampled for hot ones, and how many of them make a cell hot.
+SAMPLED, HOT = 1_000_000, 500
 _U = np.uint64
 
 
@@ -134,15 +145,10 @@ COMPARED = 256
 
 
 def _compatible(percent: int):
-    """Rows (region, cell, n, doc_id, parities), in order -> pairs that join the members of a cell which may link.
-
-    In cells of more than COMPARED members, neighbours by size are joined whatever their parities.
-    """
+    """Rows (region, cell, n, doc_id, parities), in order, of cells of COMPARED members at most -> pairs that join the
+    members of a cell which may link."""
 
     def joined(n: np.ndarray, ids: np.ndarray, odd: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(ids) > COMPARED:
-            near = 100 * n[:-1] >= percent * n[1:]
-            return ids[1:][near], ids[:-1][near]
         bits = np.frombuffer(b"".join(odd), _U).reshape(len(ids), -1)
         label = np.arange(len(ids))
         for k in range(len(ids) - 1):
@@ -181,23 +187,76 @@ def _compatible(percent: int):
     return run
 
 
+def _crowded(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs that join the members of crowded cells whose sizes allow a link, whatever their parities: sizes fall into
+    buckets so that only neighbouring ones can link, and members join the smallest doc_id of their bucket."""
+    bucket = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9)
+    placed = rows.select("region", "cell", bucket.alias("bucket"), "doc_id")
+    first = materialize(placed.groupBy("region", "cell", "bucket").agg(F.min("doc_id").alias("first")), "cell-buckets")
+    members = placed.join(first, ["region", "cell", "bucket"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    above = first.select("region", "cell", (F.col("bucket") - 1).alias("bucket"), F.col("first").alias("next"))
+    return members.union(first.join(above, ["region", "cell", "bucket"]).select("first", "next")).filter("a <> b")
+
+
 # --- the join in a block --------------------------------------------------------------------------------------------
 
 
-class Block:
-    """Sets with posting lists, and the groups that links have formed."""
+class Postings:
+    """Posting lists of some sets."""
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int) -> None:
-        self.ids, self.sets, self.percent = ids, sets, percent
+    def __init__(self, sets: list[np.ndarray]) -> None:
         self.size = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.size)
         every = np.concatenate(sets) if sets else np.zeros(0, _U)
         order = np.argsort(every, kind="stable")
-        self.owner = owner[order]
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
         self.shingle, self.at = np.unique(every[order], return_index=True)
         self.at = np.append(self.at, len(every))
+
+    def common(self, shingles: np.ndarray) -> np.ndarray:
+        """How many shingles each set shares with the given one."""
+        if not len(self.shingle):
+            return np.zeros(len(self.size), np.int64)
+        place = np.searchsorted(self.shingle, shingles)
+        place = place[(place < len(self.shingle)) & (self.shingle[np.minimum(place, len(self.shingle) - 1)] == shingles)]
+        count = self.at[place + 1] - self.at[place]
+        entries = np.repeat(self.at[place] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return np.bincount(self.owner[entries], minlength=len(self.size))
+
+    def distances(self, shingles: np.ndarray) -> np.ndarray:
+        both = self.common(shingles)
+        return 1 - both / np.maximum(self.size + len(shingles) - both, 1)
+
+    def linked(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        both = self.common(shingles)
+        return np.flatnonzero(100 * both >= percent * (self.size + len(shingles) - both)) if len(shingles) else np.zeros(0, np.int64)
+
+
+def visits(distance: np.ndarray, percent: int) -> np.ndarray:
+    """Distances to pivots (rows: members) -> the regions that each member visits, the outer one last.
+
+    If y links with x and lives at the pivot p, then d(x, p) <= d(y, p) + r < 1 and d(x, p) <= d(y, q) + r <= d(x, q) + 2 r
+    for every pivot q; if y lives outside, then d(x, p) >= d(y, p) - r >= 1 - 2 r for all pivots. A nearest pivot of which
+    the member is no neighbour is visited only on these grounds.
+    """
+    r, eps = 1 - percent / 100, 1e-9
+    nearest = distance.min(axis=1, keepdims=True)
+    inner = (distance - nearest <= 2 * r + eps) & (distance < 1 - eps)
+    return np.concatenate([inner, nearest >= 1 - 2 * r - eps], axis=1)
+
+
+def homes(distance: np.ndarray, percent: int) -> np.ndarray:
+    """The region where each member lives: that of its nearest pivot, or the outer one (the number of pivots)."""
+    return np.where(distance.min(axis=1) < percent / 100, distance.argmin(axis=1), distance.shape[1])
+
+
+class Block:
+    """Some sets, and the groups that links have formed."""
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int) -> None:
+        self.ids, self.sets, self.percent = ids, sets, percent
         self.parent = list(range(len(sets)))
         self.visitors: list[tuple[int, int]] = []
+        self.all: Postings | None = None
 
     def find(self, k: int) -> int:
         while self.parent[k] != k:
@@ -205,24 +264,29 @@ class Block:
             k = self.parent[k]
         return k
 
-    def common(self, shingles: np.ndarray) -> np.ndarray:
-        """How many shingles each member shares with the given set."""
-        place = np.searchsorted(self.shingle, shingles)
-        place = place[(place < len(self.shingle)) & (self.shingle[np.minimum(place, len(self.shingle) - 1)] == shingles)] if len(self.shingle) else place[:0]
-        count = self.at[place + 1] - self.at[place]
-        if not len(place):
-            return np.zeros(len(self.ids), np.int64)
-        entries = np.repeat(self.at[place] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return np.bincount(self.owner[entries], minlength=len(self.ids))
+    def join(self) -> None:
+        self._near(np.arange(len(self.sets)))
+
+    def _near(self, members: np.ndarray) -> None:
+        """Joins the linked sets among members: by Voronoi regions, or by counts where they are few or don't part."""
+        if len(members) > LEAF:
+            drawn = np.argsort(_words.mix(self.ids[members].astype(_U)))[: min(PIVOTS, -(-len(members) // LEAF))]
+            pivots = Postings([self.sets[k] for k in members[drawn]])
+            distance = np.stack([pivots.distances(self.sets[k]) for k in members])
+            seen = visits(distance, self.percent)
+            seen[np.arange(len(members)), homes(distance, self.percent)] = True
+            if seen.sum(axis=0).max() <= SHRINKS * len(members) and seen.sum() <= SPREAD * len(members):
+                for k in range(len(drawn) + 1):
+                    self._near(members[seen[:, k]])
+                return
+        lists = Postings([self.sets[k] for k in members])
+        for k in members:
+            for other in lists.linked(self.sets[k], self.percent):
+                self._unite(int(k), int(members[other]))
 
     def linked(self, shingles: np.ndarray) -> np.ndarray:
-        both = self.common(shingles)
-        return np.flatnonzero(100 * both >= self.percent * (self.size + len(shingles) - both)) if len(shingles) else np.zeros(0, np.int64)
-
-    def join(self) -> None:
-        for k, s in enumerate(self.sets):
-            for other in self.linked(s):
-                self._unite(k, int(other))
+        self.all = self.all or Postings(self.sets)
+        return self.all.linked(shingles, self.percent)
 
     def pass_by(self, doc: int, shingles: np.ndarray) -> None:
         hits = self.linked(shingles)
@@ -280,95 +344,123 @@ def _joined(percent: int):
 
 # --- regions --------------------------------------------------------------------------------------------------------
 
-MEMBERS = "region long, here boolean, doc_id long, shingles binary"
+def _refined(docs: DataFrame, part: DataFrame, width: int, percent: int) -> DataFrame:
+    """Takes the regions of part(rep, region, f1, f2) apart by cells and parities: (rep, part) of the members that may link
+    with another."""
 
+    def levels(shingles: np.ndarray) -> list[dict]:
+        return [{"names": names.view(np.int64), "odd": parities(shingles, level)} for level, names in cells_by_level(shingles, percent)]
 
-def _refined(members: DataFrame, percent: int, above: int) -> DataFrame:
-    """Takes regions of more than `above` members apart by cells and parities; members that can link with none go."""
-    big = materialize(members.groupBy("region").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > above).select("region"), "big-regions")
+    rows = _member_rows(docs, part, width, "levels", "array<struct<names: array<long>, odd: binary>>", levels)
+    cells = rows.select("region", F.col("rep").alias("doc_id"), "n", F.explode("levels").alias("l")).select("region", "doc_id", "n", "l.odd", F.explode("l.names").alias("cell"))
+    crowded = materialize(cells.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > COMPARED).select("region", "cell"), "crowded-cells")
+    few = cells.join(crowded, ["region", "cell"], "left_anti").select("region", "cell", "n", "doc_id", "odd")
+    pairs = few.repartition("region", "cell").sortWithinPartitions("region", "cell", "n", "doc_id").mapInArrow(_compatible(percent), "a long, b long")
+    found = connected(pairs.union(_crowded(cells.drop("odd").join(crowded, ["region", "cell"], "left_semi"), percent)))
+    named = materialize(found.union(found.select("component", "component").distinct()).select(F.col("id").alias("rep"), F.col("component").alias("part")), "parts")
+    release(rows, crowded, found)
+    return named
 
-    def described_again(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                regions, docs, where, sizes, odd = [], [], [], [], []
-                part = batch.slice(at, 256)
-                for region, doc, body in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    shingles = np.frombuffer(body, _U)
-                    for level, names in cells_by_level(shingles, percent):
-                        regions += [region] * len(names)
-                        docs += [doc] * len(names)
-                        sizes += [len(shingles)] * len(names)
-                        odd += [parities(shingles, level)] * len(names)
-                        where.append(names.view(np.int64))
-                if where:
-                    yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(np.concatenate(where)), pa.array(sizes, pa.int64()), pa.array(docs, pa.int64()), pa.array(odd, pa.binary())], names=["region", "cell", "n", "doc_id", "odd"])
-
-    of = members.join(big, "region", "left_semi")
-    rows = of.select("region", "doc_id", "shingles").mapInArrow(described_again, "region long, cell long, n long, doc_id long, odd binary")
-    pairs = rows.repartition("region", "cell").sortWithinPartitions("region", "cell", "n", "doc_id").mapInArrow(_compatible(percent), "a long, b long")
-    found = connected(pairs)
-    named = found.union(found.select(F.col("component"), F.col("component")).distinct()).select(F.col("id").alias("doc_id"), F.col("component").alias("part"))
-    parts = of.join(named, "doc_id").select(F.col("part").alias("region"), "here", "doc_id", "shingles")
-    return materialize(members.join(big, "region", "left_anti").select("region", "here", "doc_id", "shingles").union(parts), "regions")
-
-
-def _voronoi(members: DataFrame, big: DataFrame, percent: int, block: int) -> DataFrame:
-    """Splits the regions in big(region, members) by pivots drawn from them; members(region, here, doc_id, shingles)."""
+PIVOTED = "region long, part long, here boolean, doc_id long, links array<long>"
+
+
+def _pivoted(members: DataFrame, big: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pivots of the regions big(region, members), drawn from members(region, here, doc_id, shingles): the Voronoi region
+    of each member, those that it visits, and the pivots that it links with."""
     of = members.join(big, "region")
     share = F.least(F.lit(float(PIVOTS)), F.ceil(4 * F.col("members") / block)) / F.col("members")
     drawn = of.filter(F.pmod(F.xxhash64("doc_id", "region"), F.lit(1 << 40)) < share * float(1 << 40))
     # each salt has its own copy of the region's pivots, so that a region's members are dealt to many tasks
     salts = F.ceil(F.col("members") / block).cast("int")
-    pivots = drawn.groupBy("region", "members").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("pivots"))
-    pivots = pivots.select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "pivots")
-    salted = of.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
-    window = 2 * (1 - percent / 100)
+    columns = ["region", "salt", "pivot", "doc_id", "shingles"]
+    pivots = drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("pivot", F.lit(0)).select(columns)
+    salted = of.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).withColumn("pivot", F.lit(1)).select(columns)
 
     def run(batches):
         import pyarrow as pa
 
+        at, ids, sets, lists = None, [], [], None
         for batch in batches:
-            rows, known = [], (None, None)
-            for region, doc, body, pivot_rows in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if known[0] != region:
-                    chosen = sorted(pivot_rows or [], key=lambda p: p["doc_id"])
-                    known = region, Block(np.array([p["doc_id"] for p in chosen], np.int64), [np.frombuffer(p["shingles"], _U) for p in chosen], percent)
-                pivot, shingles = known[1], np.frombuffer(body, _U)
-                if not len(pivot.ids):
-                    rows.append((region, True, doc, body))
-                    continue
-                both = pivot.common(shingles)
-                distance = 1 - both / np.maximum(pivot.size + len(shingles) - both, 1)
-                home = int(distance.argmin())
-                for k in np.flatnonzero(distance - distance[home] <= window + 1e-9):
-                    name = int(_words.mix(np.array([region, pivot.ids[k]]).astype(_U)).sum(dtype=_U).astype(np.int64))
-                    rows.append((name, bool(k == home), doc, body))
+            rows = []
+            for region, salt, member, doc, body in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (region, salt) != at:
+                    at, ids, sets, lists = (region, salt), [], [], None
+                shingles = np.frombuffer(body, _U)
+                if not member:
+                    ids.append(doc), sets.append(shingles)
+                elif not ids:
+                    rows.append((region, region, True, doc, []))
+                else:
+                    lists = lists or Postings(sets)
+                    distance = lists.distances(shingles)[None]
+                    linked = [ids[k] for k in lists.linked(shingles, percent)]
+                    home = int(homes(distance, percent)[0])
+                    seen = visits(distance, percent)[0]
+                    seen[home] = True
+                    for k in np.flatnonzero(seen):
+                        pivot = ids[k] if k < len(ids) else ~region
+                        name = int(_words.mix(np.array([region, pivot]).astype(_U)).sum(dtype=_U).astype(np.int64))
+                        rows.append((region, name, bool(k == home), doc, linked if k == home else []))
             if rows:
-                columns = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["region", "here", "doc_id", "shingles"])
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["region", "part", "here", "doc_id", "links"])
 
-    return salted.join(pivots, ["region", "salt"], "left").select("region", "doc_id", "shingles", "pivots").mapInArrow(run, MEMBERS)
+    ordered = pivots.union(salted).repartition("region", "salt").sortWithinPartitions("region", "salt", "pivot", "doc_id")
+    return materialize(ordered.mapInArrow(run, PIVOTED), "pivoted")
 
 
-def _split(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Voronoi recursion: all regions, none above block but those that no longer shrink."""
-    done, last = [], None
+def _split(members: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """Voronoi recursion: all regions, none above block but those that no longer shrink; and the links with pivots."""
+    done, edges = [], None
     while True:
         sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
         big = materialize(sizes.filter(F.col("members") > block), "big-regions")
-        largest = big.agg(F.max("members")).first()[0]
-        if largest is None or (last and largest > SHRINKS * last):
+        if big.isEmpty():
             done.append(members)
             break
         done.append(members.join(big.select("region"), "region", "left_anti"))
-        members, last = materialize(_voronoi(members, big, percent, block), "regions"), largest
+        seen = _pivoted(members, big, percent, block)
+        linked = seen.select(F.explode("links").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+        edges = linked if edges is None else edges.union(linked)
+        largest = seen.groupBy("region", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max("k").alias("k"), F.sum("k").alias("all"))
+        fine = (F.col("k") <= SHRINKS * F.col("members")) & (F.col("all") <= SPREAD * F.col("members"))
+        shrunk = materialize(big.join(largest, "region").filter(fine).select("region"), "shrunk-regions")
+        here = members.join(big.select("region"), "region", "left_semi").select("region", "here", "doc_id", "shingles")
+        done.append(here.join(shrunk, "region", "left_anti"))
+        parts = seen.join(shrunk, "region", "left_semi").select("region", "part", "here", "doc_id")
+        members = materialize(here.drop("here").join(parts, ["region", "doc_id"]).select(F.col("part").alias("region"), "here", "doc_id", "shingles"), "regions")
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
-    return out
+    return out, edges
+
+
+def _blocks(split: DataFrame, edges: DataFrame | None, block: int) -> DataFrame:
+    """Rows (region, block, visits, doc_id, shingles): the members that stay in a block, and those that pass it.
+
+    In a region above block, the largest group that links with pivots have formed is settled: its members need not meet
+    one another. They pass the blocks of the others, which pass one another.
+    """
+    slim = split.select("region", "here", "doc_id")
+    sizes = slim.groupBy("region").agg(F.count_if("here").alias("members"))
+    big = materialize(sizes.filter(F.col("members") > block).select("region"), "large-regions")
+    columns = ["region", "block", "visits", "doc_id", "shingles"]
+    small = split.join(big, "region", "left_anti").withColumn("block", F.lit(0)).withColumn("visits", ~F.col("here")).select(columns)
+    if big.isEmpty():
+        return small
+    formed = connected(edges)
+    named = materialize(formed.union(formed.select("component", "component").distinct()).select(F.col("id").alias("doc_id"), "component"), "formed")
+    inside = split.join(big, "region").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counts = inside.filter("here").groupBy("region", "component").agg(F.count(F.lit(1)).alias("k"))
+    top = counts.groupBy("region").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.sum("k").alias("all"), F.max("k").alias("settled"))
+    placed = inside.join(materialize(top.select("region", "top", F.ceil((F.col("all") - F.col("settled")) / block).cast("int").alias("blocks")), "tops"), "region")
+    open_ = F.col("here") & (F.col("component") != F.col("top"))
+    placed = placed.filter("blocks > 0").withColumn("open", open_).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    staying = placed.filter("open").withColumn("block", F.col("own")).withColumn("visits", F.lit(False)).select(columns)
+    stops = F.when(F.col("open"), F.col("own")).otherwise(F.col("blocks"))
+    passing = placed.filter(stops > 0).withColumn("block", F.explode(F.sequence(F.lit(0), stops - 1))).withColumn("visits", F.lit(True)).select(columns)
+    return small.union(staying).union(passing)
 
 
 #: Bits of the filter on member ids: 16 a member, in parts of 2^20, 2^29 (64 MB) at most. A full filter only lets more pass.
@@ -401,64 +493,86 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _member_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The shingle sets of wanted(rep, region, f1, f2), from the texts that pass the filter; no text is shuffled."""
+def _member_rows(docs: DataFrame, wanted: DataFrame, width: int, name: str, kind: str, make) -> DataFrame:
+    """rep, region, n and make(shingles) of wanted(rep, region, f1, f2), from the texts that pass the filter, written; no
+    text is shuffled."""
     bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
 
-    def sets(batches):
+    def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
         from askloom.llm.token_store import batches_of
 
+        value = to_arrow_type(schema[name].dataType)
         for batch in batches:
             at = batch.column(2).to_numpy() & (8 * len(bits.value) - 1)
             passed = batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             for a, b in batches_of(passed.column(1)):
                 found = list(shingle_sets(passed.column(1).slice(a, b - a), width))
                 prints = [fingerprint(s) for s in found]
-                columns = [passed.column(0).slice(a, b - a), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["rep", "f1", "f2", "shingles"])
+                columns = [passed.column(0).slice(a, b - a), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([make(s) for s in found], value)], names=["rep", "f1", "f2", "n", name])
 
     ids = F.col("doc_id").cast("long")
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(ids.alias("rep"), "text", F.xxhash64(ids).alias("h"))
-    found = texts.mapInArrow(sets, "rep long, f1 long, f2 long, shingles binary")
-    return found.join(wanted.hint("merge"), ["rep", "f1", "f2"]).select("region", F.lit(True).alias("here"), F.col("rep").alias("doc_id"), "shingles")
+    schema = T.StructType.fromDDL(f"rep long, f1 long, f2 long, n long, {name} {kind}")
+    found = texts.mapInArrow(run, schema).join(wanted, ["rep", "f1", "f2"]).select("rep", "region", "n", name)
+    out = materialize(found, name)
+    bits.unpersist()
+    return out
 
 
 def links(docs: DataFrame, described_: DataFrame, width: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of all sets, and pairs (a, b) of representatives that span the groups of linked sets."""
+    """(f1, f2, rep) of all sets, and pairs (a, b) of representatives that span the groups of linked sets."""
     reps = described_.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     sent = described_.filter("n > 0 AND doc_id IS NOT NULL").select(F.explode("cells").alias("cell"), "doc_id")
-    near = sent.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_same_cell, "a long, b long")
-    regions = connected(materialize(near, "cell-pairs"))
-    whole = regions.union(regions.select(F.col("component"), F.col("component")).distinct()).select(F.col("id").alias("doc_id"), F.col("component").alias("region"))
+    share = min(1.0, SAMPLED / max(1, described_.agg(F.sum(F.size("cells"))).first()[0] or 0))
+    hot = sent.sample(share, seed=1).groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= HOT).select("cell")
+    hot = materialize(hot, "hot-cells")
+    some = not hot.isEmpty()
+    hot = F.broadcast(hot)  # at most 2 * SAMPLED / HOT rows
+    others = sent.join(hot, "cell", "left_anti") if some else sent
+    near = others.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_same_cell, "a long, b long")
+    if some:
+        leaders = F.broadcast(materialize(sent.join(hot, "cell").groupBy("cell").agg(F.min("doc_id").alias("first")), "hot-leaders"))
+        near = near.union(sent.join(leaders, "cell").filter("doc_id <> first").select("doc_id", "first"))
+    regions = connected(near)
+    whole = regions.union(regions.select("component", "component").distinct()).select(F.col("id").alias("doc_id"), F.col("component").alias("region"))
     member = described_.filter("n > 0").select("doc_id", "f1", "f2").join(whole, "doc_id").groupBy("region", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     several = member.groupBy("region").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("region")
     wanted = materialize(member.join(several, "region").select("rep", "region", "f1", "f2"), "region-members")
-
-    members = materialize(_member_sets(docs, wanted, width), "regions")
-    split = _split(_refined(members, percent, min(block, LARGE)), percent, block)
-    blocks = split.filter("here").groupBy("region").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = split.join(blocks, "region").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a member passes the blocks before its own; a visitor passes all
-    stops = F.when(F.col("here"), F.col("own")).otherwise(F.col("blocks"))
-    passing = placed.filter(stops > 0).withColumn("block", F.explode(F.sequence(F.lit(0), stops - 1)))
-    staying = placed.filter("here")
-    columns = ["region", "block", "visits", "doc_id", "shingles"]
-    rows = staying.withColumn("block", F.col("own")).withColumn("visits", F.lit(False)).select(columns).union(passing.withColumn("visits", F.lit(True)).select(columns))
-    ordered = rows.repartition("region", "block").sortWithinPartitions("region", "block", "visits", "doc_id")
-    return reps, ordered.mapInArrow(_joined(percent), "a long, b long")
+    release(regions)
+
+    big = materialize(wanted.groupBy("region").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > LARGE).select("region"), "big-regions")
+    if not big.isEmpty():
+        part = materialize(wanted.join(big, "region", "left_semi").select("rep", "region", "f1", "f2"), "big-members")
+        named = _refined(docs, part, width, percent)
+        apart = part.join(named, "rep").select("rep", F.col("part").alias("region"), "f1", "f2")
+        before, wanted = wanted, materialize(wanted.join(big, "region", "left_anti").select("rep", "region", "f1", "f2").union(apart), "region-members")
+        release(before, part, named)
+    sets = _member_rows(docs, wanted, width, "shingles", "binary", lambda s: s.tobytes())
+    members = sets.select("region", F.lit(True).alias("here"), F.col("rep").alias("doc_id"), "shingles")
+    split, edges = _split(members, percent, block)
+    ordered = _blocks(split, edges, block).repartition("region", "block").sortWithinPartitions("region", "block", "visits", "doc_id")
+    pairs = ordered.mapInArrow(_joined(percent), "a long, b long")
+    pairs = materialize(pairs if edges is None else pairs.union(edges), "links")
+    release(wanted, big, sets)
+    return reps, pairs
 
 
 def _grouped(docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n, f1, f2, text_hash, component (null for empty sets and groups without an id)."""
     table = materialize(described(docs, width, percent), "shingles")
     reps, pairs = links(docs, table, width, percent, block)
-    roots = connected(pairs).withColumnRenamed("id", "rep")
-    named = reps.join(roots, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    roots = connected(pairs)
+    release(pairs)
+    named = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     # a doc_id with several texts belongs to the groups of all of them
     rows = table.select("doc_id", "n", "f1", "f2", "text_hash").join(named, ["f1", "f2"], "left")
-    return rows.withColumn("component", F.when(F.col("n") > 0, F.col("component")))
+    out = materialize(rows.withColumn("component", F.when(F.col("n") > 0, F.col("component"))), "grouped")
+    release(table, roots)
+    return out
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -473,8 +587,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Rows with an empty set all stay. Rows without doc_id are apart: one of those in a group stays beside the group's row
     with a doc_id, and one of those with equal sets where there is none.
     """
-    marks = _grouped(docs, width, percent, BLOCK).filter("n > 0").select("doc_id", "component", "text_hash", *(F.when(F.col("component").isNull(), F.col(f)).alias(f) for f in ("f1", "f2")))
+    grouped = _grouped(docs, width, percent, BLOCK)
+    marks = grouped.filter("n > 0").select("doc_id", "component", "text_hash", *(F.when(F.col("component").isNull(), F.col(f)).alias(f) for f in ("f1", "f2")))
     marks = materialize(marks, "marks")
+    release(grouped)
     group = ["doc_id", "component", "f1", "f2"]
     texts = marks.filter("doc_id IS NULL OR doc_id = component").groupBy(*group, "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     first = texts.groupBy(*group).agg(F.min("text_hash").alias("first"), F.sum("rows").alias("all")).filter(F.col("all") > 1)
@@ -489,6 +605,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         return df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
 
     gone = materialize(keys(extra), "copies")
+    release(marks)
     out = docs.join(gone, same(gone), "left_anti").select(docs.columns)
     once = keys(repeated.filter("stays AND rows > 1"))
     if once.isEmpty():
