@@ -180,7 +180,7 @@ def document_stages(docs: DataFrame, cleaned: DataFrame, chunks: DataFrame, run_
     nothing of it, skipped after that. took: the milliseconds of the stages."""
     chars = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.length(F.coalesce(s["text"], F.lit(""))))
     slim = docs.select("doc_id", "code", F.size("segments").alias("segments"), chars.alias("chars"))
-    total = slim.agg(F.sum("chars").alias("all_chars"))  # one row
+    total = slim.filter("code IS NULL").agg(F.sum("chars").alias("all_chars"))  # one row
     sizes = cleaned.select("doc_id", F.length("clean_text").alias("clean_chars"))
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("char_count").alias("longest"))
     joined = slim.join(sizes, "doc_id", "left").join(counts, "doc_id", "left").crossJoin(F.broadcast(total))

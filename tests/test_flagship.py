@@ -56,19 +56,24 @@ def test_retrieved_chunks(spark):
     assert sum(got[k][0] == want[k][0] for k in want) >= 0.99 * len(want)  # float sums may swap near ties
 
 
+def words_of(text):
+    return " ".join(re.findall("[^\\W_]+", text.lower()))
+
+
 def test_answers_quote_their_context(spark):
     """Answers of the flagship: quoted sentences are in the retrieved chunks, gates and labels fit the numbers."""
     hits = {}
     for r in catalogue.hits_of_items(spark, SMALL).select("question_id", "text", "is_reference").collect():
-        hits.setdefault(r["question_id"], []).append(" ".join(r["text"].split()))
+        hits.setdefault(r["question_id"], []).append(words_of(r["text"]))
     rows = catalogue.flagship(spark, SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SMALL}/benchmark.parquet").count()
     for r in rows:
         assert r["grounded"] != r["abstained"]
         if r["grounded"]:
             assert 1 <= len(r["sources"]) <= 3 and r["coverage"] >= 0.18
-            for sentence in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", r["answer"]):
-                assert any(sentence.strip().rstrip(".") in h for h in hits[r["question_id"]])
+            words = words_of(r["answer"]).split()  # runs of six words, but for those over the borders of three sentences
+            unknown = sum(not any(" ".join(words[k : k + 6]) in h for h in hits[r["question_id"]]) for k in range(len(words) - 5))
+            assert unknown <= 10
         else:
             assert not r["sources"] and r["confidence_label"] == "Not grounded in documents"
 
