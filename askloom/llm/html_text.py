@@ -1,28 +1,31 @@
 """Operator 8: main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one a block element; empty ones are left out. A line weighs its text outside links, a h1
-its whole text; a line of an element that is never article text (menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments, scripts) weighs nothing, and neither does one outside the article element where a page has one. An
-article element in a form counts; so does one in a wrapper that a class or id marks, and a form without one, if it
-outweighs all other text. An article element is kept whole, without the weightless lines. In pages without one, sums of
-WINDOW neighbouring weights surge where text begins and dive to nothing where it ends; the text between surge and dive is
-kept, with the lines of links between its lines, but without those at its ends. No run is dropped for its size.
-
-Defined results: null or empty HTML gives an empty text; markup that is cut off ends with the page; repeated rows each
-get their text; an empty table gives an empty result.
+Markup is stripped into lines, one a block element; empty ones are left out, and so are those of elements that hold no
+article text by their role (menus, headers, footers, sidebars, scripts, controls, hidden parts, reader comments). A line
+weighs its text outside links; a h1, and a line of an article element, weighs its whole text. Hints make weights smaller,
+by HINT each: a class, id or role that marks the line's element, a form around it, and lying outside the article element
+where the page has one. The lines with the same hints, in page order, are one distribution: sums over WINDOW neighbouring
+weights surge where text begins and dive to nothing where it ends, and the lines from the first to the last weighty line
+between surge and dive are kept, lines of links between them included. Text without hints surges at any weight; text with
+hints only if a sum reaches SURGE of the page's largest. So a marked or outer block goes beside an article, but stays where
+it holds the page's text.
+
+Defined results: null or empty HTML gives an empty text; markup that is cut off ends with the page; long pages are read
+whole; repeated rows each get their text; a column with the name of the result is replaced, others stay as they are; an
+empty table gives an empty result.
 """
 
-from __future__ import annotations
-
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW = 3
+WINDOW, HINT, SURGE = 3, 1 / 32, 1 / 4
 
 # HTML element names by role.
 BLOCKS = frozenset(
@@ -89,10 +92,11 @@ def _kind(name: str, attrs: str, in_article: bool) -> str:
     return kind
 
 
-def lines_of(page: str) -> tuple[list[str], np.ndarray, bool]:
-    """Lines of the stripped page, their weights (-1: never article text), and whether an article element marks the text."""
+def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Lines of the stripped page; their lengths (whole, and outside links: all of it in a h1); and whether they lie in an
+    element (hard) of a role without article text, in a form, in a marked element, in an article element."""
     lines: list[str] = []
-    weights: list[int] = []
+    lengths: list[tuple[int, int]] = []
     parts: list[str] = []
     plain: list[str] = []  # the parts outside links
     link = False
@@ -110,7 +114,7 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, bool]:
         if text:
             whole = len(plain) == len(parts) or (stack and stack[-1][0] == "h1")
             lines.append(text)
-            weights.append(len(text if whole else folded(plain)))
+            lengths.append((len(text), len(text if whole else folded(plain))))
             flags.append((count["hard"] > 0, count["form"] > 0, count["mark"] > 0, article > 0))
         parts.clear()
         plain.clear()
@@ -176,38 +180,42 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, bool]:
         if not link:
             plain.append(page[at:])
     flush()
-    return lines, *_weighed(np.array(weights, np.int64), np.array(flags, bool).reshape(-1, 4))
+    return lines, np.array(lengths, np.int64).reshape(-1, 2), np.array(flags, bool).reshape(-1, 4)
+
+
+def window_sums(weights: np.ndarray) -> np.ndarray:
+    """The sum of each weight and its neighbours, WINDOW in all."""
+    total = np.concatenate([[0], np.cumsum(weights)])
+    middle, half = np.arange(len(weights)), WINDOW // 2
+    return total[np.minimum(middle + half + 1, len(weights))] - total[np.maximum(middle - half, 0)]
 
 
-def _weighed(weights: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The weights with -1 for what is never article text, and whether an article element marks the text."""
+def distributions(lengths: np.ndarray, flags: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of hints, lines, their weights) of each kind of line that may be article text."""
     hard, form, mark, article = flags.T
-    clear = ~hard & ~form & ~mark
-    wrapped = ~hard & ~form & mark & article
-    if (clear & article).any():
-        keep, marked = clear & article, True
-    elif weights[wrapped].sum() > weights[clear].sum():
-        keep, marked = wrapped, True
-    else:
-        inside = ~hard & ~mark & form
-        keep, marked = (clear | inside if weights[inside].sum() > weights[clear].sum() else clear), False
-    return np.where(keep, weights, -1), marked
-
-
-def main_lines(lines: list[str], weights: np.ndarray, marked: bool) -> list[str]:
-    """The lines of the article element, or those between surge and dive points of the sums over WINDOW lines."""
-    if marked:
-        return [line for line, weight in zip(lines, weights, strict=True) if weight >= 0]
-    plain = np.maximum(weights, 0)
-    total = np.concatenate([[0], np.cumsum(plain)])
-    middle, half = np.arange(len(plain)), WINDOW // 2
-    sums = total[np.minimum(middle + half + 1, len(plain))] - total[np.maximum(middle - half, 0)]
-    live = np.concatenate([[False], sums > 0, [False]])
-    out: list[str] = []
-    for surge, dive in zip(np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1]), strict=True):
-        heavy = surge + np.flatnonzero(plain[surge:dive])
-        out.extend(lines[i] for i in range(heavy[0], heavy[-1] + 1) if weights[i] >= 0)
-    return out
+    whole, plain = lengths.T
+    clear, wrapped = ~hard & ~form & ~mark, ~hard & ~form & mark & article
+    # an article element bounds the text, unless it is in a marked wrapper and lighter than what is not
+    bounded = (clear & article).any() or plain[wrapped].sum() > plain[clear].sum()
+    outside = bounded & ~article
+    hints = form.astype(int) + mark + outside
+    weights = np.where(article, whole, plain) * HINT**hints
+    kind = np.where(hard, -1, form + 2 * mark + 4 * outside)
+    return [(int(hints[at[0]]), at, weights[at]) for k in range(8) if len(at := np.flatnonzero(kind == k))]
+
+
+def main_lines(lines: list[str], lengths: np.ndarray, flags: np.ndarray) -> list[str]:
+    """The lines between surge and dive points of their distributions, in page order."""
+    found = [(hints, at, weights, window_sums(weights)) for hints, at, weights in distributions(lengths, flags)]
+    least = SURGE * max((sums.max() for *_, sums in found), default=0)
+    keep = np.zeros(len(lines), bool)
+    for hints, at, weights, sums in found:
+        live = np.concatenate([[False], sums > 1e-9, [False]])
+        for surge, dive in zip(np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1]), strict=True):
+            heavy = surge + np.flatnonzero(weights[surge:dive])
+            if len(heavy) and (not hints or sums[surge:dive].max() >= least):
+                keep[at[heavy[0] : heavy[-1] + 1]] = True
+    return [line for line, k in zip(lines, keep, strict=True) if k]
 
 
 def extract(page: str | None) -> str:
@@ -216,16 +224,13 @@ def extract(page: str | None) -> str:
     return "\n".join(main_lines(*lines_of(page)))
 
 
-def extract_text(pages: DataFrame, column: str = "html", name: str = "text") -> DataFrame:
-    """pages(html, anything else) -> the other columns and the main text."""
-
-    def run(batches):
-        import pyarrow as pa
+@F.arrow_udf(T.StringType())
+def _extracted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for pages in batches:
+        yield pa.array([extract(x.as_py()) for x in pages], pa.string())
 
-        for batch in batches:
-            texts = pa.array([extract(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], name])
 
-    others = [f for f in pages.schema.fields if f.name not in (column, name)]
-    slim = pages.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{column}`"))
-    return slim.mapInArrow(run, T.StructType([*others, T.StructField(name, T.StringType())]))
+def extract_text(pages: DataFrame, column: str = "html", name: str = "text") -> DataFrame:
+    """pages(html, anything else) -> the other columns and the main text. Only the pages go to Python."""
+    others = [F.col(f"`{c}`") for c in pages.columns if c not in (column, name)]
+    return pages.select(*others, _extracted(F.col(f"`{column}`")).alias(name))
