@@ -1,17 +1,19 @@
 """Operator 4: near-duplicate vectors by product quantisation.
 
-Equal vectors are one point with a count. A coarse quantiser deals the points into inverted lists within their label; a
-point is also sent to every list whose border is within `reach` of it, which finds a pair unless its difference points
-along that border's normal more than `reach` (reach = the whole radius finds every pair; the default is 0.6 of it, about
-five standard deviations for differences without a direction in 64 dimensions). In a list, codes of the residuals in
-eight subspaces give table-lookup distances; as the error of each code is stored, no pair within the radius is lost
-there. Exact cosines in double precision decide.
+Equal vectors are one point with a count. A coarse quantiser deals the points of a label into inverted lists of about
+LIST_SIZE, so that a label has as many as its size needs (a power of FOUR, MAX_LISTS at most); a point is also sent to every
+list whose border is within `reach` of it, which finds a pair unless its difference points along that border's normal more
+than `reach` (reach = 1 finds every pair; the default is 0.6 of the radius, about five standard deviations for differences
+without a direction in 64 dimensions). In a list, codes of the residuals in eight subspaces give table-lookup distances; as
+the error of each code is stored, no pair within the radius is lost there. Exact cosines in double precision decide.
 
-The quantisers are fitted on a bounded sample (SAMPLE rows at most, the smallest hashes); every row is indexed.
-Lists are cut into blocks of BLOCK points; queries stream past a block, so a task holds one block whatever the group.
+The quantisers, one for each number of lists, are fitted on one bounded sample (SAMPLE rows and SAMPLE_BYTES at most, the
+smallest hashes); every row is indexed. Lists are cut into blocks of BLOCK points; queries stream past a block, so a task
+holds one block whatever the group.
 
 Defined results: rows with a null label, or a null, empty, zero or non-finite vector, link with nothing; vectors of
-different lengths link with nothing; repeated rows count as vectors; an empty table gives an empty result.
+different lengths link with nothing; repeated rows count as vectors; other columns are left out; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from askloom.llm._components import connected
 from askloom.llm._shared import materialize
 
-SAMPLE, LIST_SIZE, MAX_LISTS, BLOCK, SUBSPACES, CODES, QUERIES_AT_ONCE = 200_000, 1024, 4096, 4096, 8, 64, 512
+SAMPLE, SAMPLE_BYTES, LIST_SIZE, FOUR, MAX_LISTS, BLOCK, SUBSPACES, CODES, QUERIES_AT_ONCE, PAIRS_AT_ONCE = 200_000, 128 << 20, 1024, 4, 4096, 4096, 8, 64, 512, 1 << 16
+#: Groups (labels and widths) of which the sizes are broadcast; more are joined.
+FEW_GROUPS = 65_536
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -31,16 +35,24 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarra
     centers = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds if len(x) > k else 0):
         near = np.concatenate([((centers**2).sum(1) - 2 * x[a : a + 8192] @ centers.T).argmin(1) for a in range(0, len(x), 8192)])
-        count = np.bincount(near, minlength=len(centers))
-        total = np.zeros_like(centers)
-        np.add.at(total, near, x)
-        centers[count > 0] = total[count > 0] / count[count > 0, None]
+        order = np.argsort(near, kind="stable")
+        used, head = np.unique(near[order], return_index=True)
+        centers[used] = np.add.reduceat(x[order], head, axis=0) / np.diff(np.append(head, len(x)))[:, None]
     return centers
 
 
+def _centers(x: np.ndarray, k: int) -> np.ndarray:
+    """k centres; many of them in two steps, first CODES, then some in the cell of each by its size."""
+    if k <= CODES:
+        return _kmeans(x, k)
+    top = _kmeans(x, CODES)
+    home = np.concatenate([((top**2).sum(1) - 2 * x[a : a + 8192] @ top.T).argmin(1) for a in range(0, len(x), 8192)])
+    return np.concatenate([_kmeans(part, max(1, round(k * len(part) / len(x)))) for c in range(len(top)) if len(part := x[home == c])])
+
+
 def fit(sample: np.ndarray, lists: int) -> dict:
     """Coarse centres and a code book of residuals for each subspace, from unit vectors."""
-    centers = _kmeans(sample, min(lists, len(sample)))
+    centers = _centers(sample, min(lists, len(sample)))
     home = np.concatenate([((centers**2).sum(1) - 2 * sample[a : a + 8192] @ centers.T).argmin(1) for a in range(0, len(sample), 8192)])
     residual = sample - centers[home]
     parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
@@ -98,12 +110,11 @@ class _Block:
 
     def pass_by(self, ids: np.ndarray, n: np.ndarray, x: np.ndarray) -> None:
         near = table_distances(x, self.center, self.codes, self.model) <= self.radius + self.error + 1e-9
-        if near.sum() > near.size // 8:
-            linked = near & (x @ self.x.T >= self.least)
-        else:
-            linked = near
-            a, b = np.nonzero(near)
-            linked[a, b] = np.einsum("ij,ij->i", x[a], self.x[b]) >= self.least
+        linked = near
+        a, b = np.nonzero(near)
+        for k in range(0, len(a), PAIRS_AT_ONCE):
+            s = slice(k, k + PAIRS_AT_ONCE)
+            linked[a[s], b[s]] = np.einsum("ij,ij->i", x[a[s]], self.x[b[s]]) >= self.least
         linked &= ids[:, None] != self.ids
         self.links = self.links + n @ linked
         hit = linked.any(axis=1)
@@ -146,49 +157,58 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, reach: float = 0.6)
     spark = vectors.sparkSession
     rows = materialize(_points(vectors), "vectors")
     points = materialize(rows.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("embedding").alias("embedding")).select("rep", "n", "key.group", "embedding"), "points")
-    stats = points.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("group").alias("groups"), F.max(F.size("embedding")).alias("width")).first()
-    if not stats["n"]:
+    most = F.least(F.lit(float(MAX_LISTS)), F.ceil(F.col("n") / LIST_SIZE).cast("double"))
+    sizes = materialize(points.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).select("group", "width", F.ceil(F.log(most) / float(np.log(FOUR)) - 1e-9).cast("int").alias("level")), "vector-groups")
+    stats = sizes.agg(F.count(F.lit(1)).alias("groups"), F.max("width").alias("width"), F.collect_set("level").alias("levels")).first()
+    if not stats["groups"]:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    lists = int(min(MAX_LISTS, max(1, -(-stats["n"] // (LIST_SIZE * stats["groups"])))))
-    width = stats["width"]
-    sample = points.orderBy(F.xxhash64("rep", F.lit(3))).limit(min(SAMPLE, 40 * lists + 4096)).select("embedding").toArrow().column(0).combine_chunks()
-    shared = spark.sparkContext.broadcast(fit(unit(sample, width), lists))  # size bounded by MAX_LISTS and SAMPLE
+    width, lists = stats["width"], FOUR ** max(stats["levels"])
+    rows_at_most = min(SAMPLE, 40 * lists + 4096, max(1024, SAMPLE_BYTES // (8 * width)))
+    sample = points.orderBy(F.xxhash64("rep", F.lit(3))).limit(rows_at_most).select("embedding").toArrow().column(0).combine_chunks()
+    sample = unit(sample, width)
+    shared = spark.sparkContext.broadcast({level: fit(sample, FOUR**level) for level in stats["levels"]})  # size bounded by MAX_LISTS
+    levels = sizes.select("group", "level")
+    points = points.join(F.broadcast(levels) if stats["groups"] <= FEW_GROUPS else levels, "group").select("rep", "n", "group", "embedding", "level")
     margin = reach * float(np.sqrt(2 - 2 * least))
 
     def deal(batches):
         import pyarrow as pa
 
-        centers = shared.value["centers"]
-        between = np.sqrt(np.maximum(((centers[:, None] - centers[None]) ** 2).sum(2), 1e-18)) if len(centers) <= 512 else None
         for batch in batches:
-            for at in range(0, len(batch), 1024):
+            level_of = batch.column(4).to_numpy()
+            for level, at in ((v, k) for v in np.unique(level_of) for k in range(0, len(batch), 1024)):
                 part = batch.slice(at, 1024)
+                part = part.filter(pa.array(level_of[at : at + 1024] == level))
+                if not len(part):
+                    continue
+                centers = shared.value[int(level)]["centers"]
                 x = unit(part.column(3), width)
                 d = (centers**2).sum(1) - 2 * x @ centers.T
                 home = d.argmin(1)
-                gap = between[home] if between is not None else np.sqrt(np.maximum((centers**2).sum(1) + (centers[home] ** 2).sum(1)[:, None] - 2 * centers[home] @ centers.T, 1e-18))
+                gap = np.sqrt(np.maximum((centers**2).sum(1) + (centers[home] ** 2).sum(1)[:, None] - 2 * centers[home] @ centers.T, 1e-18))
                 row, to = np.nonzero((d - d[np.arange(len(d)), home][:, None]) / (2 * gap) <= margin)
                 taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to.astype(np.int32)), pa.array(to == home[row])], names=["rep", "n", "group", "embedding", "list", "home"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to.astype(np.int32)), pa.array(to == home[row])], names=["rep", "n", "group", "embedding", "level", "list", "home"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    dealt = points.mapInArrow(deal, f"rep long, n long, group long, embedding {kind}, list int, home boolean")
+    dealt = points.mapInArrow(deal, f"rep long, n long, group long, embedding {kind}, level int, list int, home boolean")
     # blocks of a list: home points go to one, queries to all of them
-    sizes = points.select("rep", "n", "group", "embedding").mapInArrow(deal, f"rep long, n long, group long, embedding {kind}, list int, home boolean").filter("home").groupBy("group", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    counted = dealt.join(materialize(sizes, "lists"), ["group", "list"])
+    blocks = dealt.filter("home").groupBy("group", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    counted = dealt.join(materialize(blocks, "lists"), ["group", "list"])
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     as_query = counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
     as_home = counted.filter("home").withColumn("block", own).withColumn("query", F.lit(False))
-    columns = ["group", "list", "block", "query", "rep", "n", "embedding"]
+    columns = ["group", "list", "block", "query", "rep", "n", "embedding", "level"]
     ordered = as_home.select(columns).union(as_query.select(columns)).repartition("group", "list", "block").sortWithinPartitions("group", "list", "block", "query")
 
     def search(batches):
         import pyarrow as pa
 
-        model, at, block, homes = shared.value, None, None, []
+        at, block, homes, level = None, None, [], 0
 
         def build():
             ids, n, x = (np.concatenate(c) for c in zip(*homes, strict=True))
+            model = shared.value[level]
             return _Block(ids, n, x, model["centers"][at[1]], model, least)
 
         def result():
@@ -211,6 +231,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, reach: float = 0.6)
                 ids, n = part.column(4).to_numpy(), part.column(5).to_numpy()
                 x = unit(part.column(6), width)
                 if not query:
+                    level = int(part.column(7)[0].as_py())
                     homes.append((ids, n, x))
                     continue
                 if not homes:
