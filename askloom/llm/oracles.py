@@ -1,5 +1,9 @@
 """DuckDB SQL for the corpus operators that SQL can express."""
 
+from askloom.llm.url_filter import SUFFIXES
+
+_SUFFIXES = ", ".join(f"'{s}'" for s in SUFFIXES)
+
 OP1 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -41,9 +45,13 @@ WITH parts AS (
 outcomes AS (
   SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 1 WHEN quality IS NULL THEN NULL ELSE 0 END) AS bad
   FROM labels GROUP BY doc_id),
-hosts AS (
-  SELECT host, sum(coalesce(bad, 0))::DOUBLE AS bad, count(bad)::DOUBLE AS n, regexp_extract(host, '([^.]*\.)?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix
+named AS (
+  SELECT host, sum(coalesce(bad, 0))::DOUBLE AS bad, count(bad)::DOUBLE AS n, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS name
   FROM parts LEFT JOIN outcomes USING (page_id) GROUP BY host),
+labels_of AS (
+  SELECT *, regexp_matches(name, '^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$') AS address, regexp_extract(name, '[^.]*$', 0) AS one, regexp_extract(name, '(?:[^.]*\.){0,1}[^.]*$', 0) AS two, regexp_extract(name, '(?:[^.]*\.){0,2}[^.]*$', 0) AS three FROM named),
+hosts AS (
+  SELECT host, bad, n, CASE WHEN address THEN name WHEN two IN (@SUFFIXES@) THEN three ELSE two END AS domain, CASE WHEN address THEN name WHEN two IN (@SUFFIXES@) THEN two ELSE one END AS suffix FROM labels_of),
 top AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS rate FROM hosts),
 s0 AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n, any_value(top.rate) AS prior FROM hosts, top GROUP BY suffix),
 s1 AS (SELECT greatest(2.0, 1 / least(0.5, greatest(0.001, coalesce((sum(n * pow(bad / n - prior, 2)) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0.001))) - 1) AS k FROM s0 WHERE n > 0),
@@ -55,14 +63,15 @@ h0 AS (SELECT host, bad, n, domains.rate AS prior FROM hosts JOIN domains USING
 h1 AS (SELECT greatest(2.0, 1 / least(0.5, greatest(0.001, coalesce((sum(n * pow(bad / n - prior, 2)) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0.001))) - 1) AS k FROM h0 WHERE n > 0),
 post AS (SELECT host, bad + k * prior AS a, n - bad + k * (1 - prior) AS b FROM h0, h1),
 bound AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM post),
+limits AS (SELECT 2.0::DOUBLE * rate / (1 - rate) / (1 + 2.0::DOUBLE * rate / (1 - rate)) AS most FROM top),
 rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 hits AS (
   SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
   FROM (SELECT DISTINCT page_id, host, path FROM parts) p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY page_id, host, path)
-SELECT p.page_id, p.host, p.path, hits.rule, coalesce(hits.verdict, CASE WHEN bound.lower > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT p.page_id, p.host, p.path, hits.rule, coalesce(hits.verdict, CASE WHEN bound.lower > (SELECT most FROM limits) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN bound USING (host)
 LEFT JOIN hits ON hits.page_id IS NOT DISTINCT FROM p.page_id AND hits.host = p.host AND hits.path = p.path
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op9_url_reputation": OP9}
+ORACLES = {"op1_mix_sources": OP1, "op9_url_reputation": OP9.replace("@SUFFIXES@", _SUFFIXES)}
