@@ -4,11 +4,13 @@ A bundle is a file of independent Zstandard frames, each with whole records, and
 seek table (compressed and plain size of every frame). The index table maps a record to its bundle, frame and offset in
 the frame. Of records with equal payloads the one with the smallest page_id is the response, the others are revisits.
 
-Tasks write bundles named by partition, under a draft name until whole, and the index lists exactly the bundles that
-belong to the archive, so repeated tasks do no harm.
+Every attempt of a task writes bundles under names of its own, which appear only when whole; the index, which Spark commits
+once a task, lists exactly the bundles of the attempts that count, so repeated tasks do no harm. A task reads whole bundles;
+the bundles are dealt to as many tasks.
 
 Defined results: null HTML is an empty payload; null page_id is allowed (never the response of a group that has another
-page_id); rows with equal page_id and payload have the same role; an empty table gives an archive without bundles.
+page_id); rows with equal page_id and payload have the same role; a payload longer than a frame is a frame of its own; other
+columns are left out; an empty table gives an archive without bundles.
 """
 
 from __future__ import annotations
@@ -146,10 +148,10 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, date: str = "20
     def write(batches):
         import pyarrow as pa
 
-        task, number, done = task_number(), 0, False
+        task, attempt, number, done = task_number(), uuid.uuid4().hex[:8], 0, False
         source = ((x, b) for b in batches for x in zip(*(b.column(i) for i in range(5)), strict=True))
         while not done:
-            name, first = f"bundles/{task:06d}-{number:04d}.warc.zst", next(source, None)
+            name, first = f"bundles/{task:06d}-{attempt}-{number:04d}.warc.zst", next(source, None)
             if first is None:
                 return
             number += 1
@@ -203,8 +205,8 @@ def read_archive(index: DataFrame, folder: str, with_payload: bool = False) -> D
                     for entry in seek_table(source):
                         yield _batch([as_row(h, b, with_payload) for h, b in parse_records(read_frame(source, *entry))])
 
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(read, RECORD)
+    bundles = materialize(index.select("bundle").distinct(), "warc-bundles")
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(read, RECORD)
 
 
 def fetch(index: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
