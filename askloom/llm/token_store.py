@@ -1,22 +1,27 @@
 """Operator 6: token ids in a canonical, length-limited Huffman code.
 
 Texts are tokenized once, into a table of ids in the shared folder. Their counts give code lengths of at most 16 bits
-(package-merge over the vocabulary, which is bounded). A second pass packs each document as an independent block of whole
-bytes, deals the blocks out by ranges of doc_id and writes a file for each range, documents in ascending order. Each file carries the code
-lengths, and for each document its length in ids and bytes and a bit-offset checkpoint every 64 ids, so that decoding
-looks up one table for all checkpoints of many documents at once.
-
-Texts are cut where the tokenizer cuts them anyway (white space, which it drops, and between letters and punctuation if
-probes show so), and every distinct piece of a task is given to the tokenizer once: the ids are the tokenizer's own.
-
-Defined results: a null or empty text has only the end id; null doc_id comes first; equal doc_ids keep any order among
-themselves; an empty table gives no file.
+(package-merge over the vocabulary, which is bounded). The ids are then dealt out by ranges of doc_id; a task packs each of
+its documents as an independent block of whole bytes, in ascending order, and begins a new file after ids_per_file ids, so
+that a range, or a single doc_id, of any size makes files of bounded size. Each file carries the code lengths, and for each
+document its length in ids and bytes and a bit-offset checkpoint every 64 ids, so that decoding looks up one table for all
+checkpoints of many documents at once. Files have names of their attempt; a manifest, which Spark commits, lists those that
+count.
+
+Texts are cut where the tokenizer cuts them anyway (white space, and between letters and punctuation, if probes show so),
+and every distinct piece of a task is given to the tokenizer once; texts beside one that holds an added token, and all texts
+of a tokenizer that fails the probes, are given to it whole: the ids are the tokenizer's own.
+
+Defined results: a null or empty text has only the end id; a text of any length is one block; null doc_id comes first; equal
+doc_ids keep any order among themselves; other columns are left out; a vocabulary of more than 65,536 ids is refused with an
+error; an empty table gives no file.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from askloom.llm import _words
 from askloom.llm._shared import new_folder
-from askloom.llm._store import locate, publish
+from askloom.llm._store import locate, publish, task_number
 
 MAX_BITS = 16
 STEP = 64
@@ -35,7 +40,7 @@ MAGIC = b"AHUF0001"
 #: Ids that are encoded or decoded at once in a task, and pieces that a task remembers.
 AT_ONCE, REMEMBER = 1 << 20, 1 << 21
 
-MANIFEST = "part int, file string, documents long, ids long"
+MANIFEST = "part long, file string, documents long, ids long"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -69,6 +74,9 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
         probes = [alphabet, "the", "\u00e9l\u00e0n", "\u00fcber", "\u00f1\u00ff\u00dfa", *(x + y for x in "aeint\u00e8" for y in alphabet)]
+        self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        sides = ("the", "Of", "ab,", "(12", "\u00e9t\u00e9", "...")
+        self.cuts = all(self._ids(f"{x}{w}{y}") == self._ids(x) + self._ids(y) for x in sides for y in sides for w in (" ", "\n", "\t", "  \r\n"))
         self.direct = all(self._direct(x) == self._ids(x) for x in probes)
         self.forget()
 
@@ -97,22 +105,28 @@ class Encoder:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.used += len(flat)
 
+    def _whole(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)
+        ids = [np.array([*x.ids, self.end_id], np.uint16) for x in found]
+        return np.concatenate([np.zeros(0, np.uint16), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """A pyarrow string array -> (ids of all texts, each with the end id; offsets of the texts)."""
         import pyarrow as pa
 
         raw, offsets = _words.flat(texts)
-        special = b"<|" in raw.tobytes()
-        if self.lowers and not special:
-            raw = _words.LOWER[raw]
+        lower = _words.LOWER[raw]
+        plain = lower.tobytes()
+        if not self.cuts or any(x in plain for x in self.added):
+            return self._whole(texts)
+        raw = lower if self.lowers else raw
         solid = _words.NOT_SPACE[raw]
         head = solid.copy()
         head[1:] &= ~solid[:-1]
         edges = offsets[:-1][offsets[:-1] < len(raw)]
         head[edges] = solid[edges]
-        if not special:
-            letter, parted = self.letter[raw], self.parted[raw]
-            head[1:] |= (letter[1:] & parted[:-1]) | (parted[1:] & letter[:-1])
+        letter, parted = self.letter[raw], self.parted[raw]
+        head[1:] |= (letter[1:] & parted[:-1]) | (parted[1:] & letter[:-1])
         place = np.flatnonzero(head)
         before = np.cumsum(solid) - solid
         cuts = np.append(before[place], int(solid.sum())).astype(np.int64)
@@ -259,18 +273,18 @@ class Writer:
     def __init__(self, out, lengths: np.ndarray) -> None:
         packed = zlib.compress(lengths.tobytes())
         out.write(MAGIC + struct.pack("<II", len(lengths), len(packed)) + packed)
-        self.out, self.docs, self.null, self.ids, self.bytes, self.steps = out, [], [], [], [], []
+        self.out, self.docs, self.null, self.ids, self.bytes, self.steps, self.total = out, [], [], [], [], [], 0
 
     def add(self, doc_id: int | None, n_ids: int, block: bytes, steps: bytes) -> None:
         self.out.write(block)
+        self.total += n_ids
         for at, x in ((self.docs, doc_id or 0), (self.null, doc_id is None), (self.ids, n_ids), (self.bytes, len(block)), (self.steps, steps)):
             at.append(x)
 
-    def close(self) -> int:
+    def close(self) -> None:
         table = b"".join([np.array(self.docs, "<i8").tobytes(), np.array(self.null, "u1").tobytes(), np.array(self.ids, "<u4").tobytes(), np.array(self.bytes, "<u4").tobytes(), *self.steps])
         packed = zlib.compress(table, 1)
         self.out.write(packed + struct.pack("<QQ", len(self.docs), len(packed)) + MAGIC)
-        return sum(self.ids)
 
 
 def read_file(source) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
@@ -354,54 +368,40 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, ids_p
     raw = to_ids(docs, folder, path, end_id)
     counts = count_ids(raw)
     lengths = code_lengths(counts[: int(np.flatnonzero(counts).max(initial=0)) + 1])
-    parts = max(1, -(-int(counts.sum()) // ids_per_file))
-    cuts = raw.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     code = spark.sparkContext.broadcast(lengths)  # one byte an id of the vocabulary
 
-    def encode(batches):
-        import pyarrow as pa
-
-        codes = canonical_codes(code.value)
-        for batch in batches:
-            for a, b in batches_of(batch.column(1), 2 * AT_ONCE):
-                ids, stops = _flat_ids(batch.column(1).slice(a, b - a))
-                data, byte_at, steps, marks = pack(ids, stops, code.value, codes)
-                bits = steps.astype("<u2").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(stops)), pa.array([data[x:y] for x, y in zip(byte_at, byte_at[1:])], pa.binary()), pa.array([bits[2 * x : 2 * y] for x, y in zip(marks, marks[1:])], pa.binary())],
-                    names=["doc_id", "n", "block", "steps"],
-                )
-
     def write(batches):
         import pyarrow as pa
 
-        at, out, stream, done = None, None, None, []
+        codes, task, attempt = canonical_codes(code.value), task_number(), uuid.uuid4().hex[:8]
+        out, name, stream, done = None, None, None, []
 
         def finish():
-            ids = out.close()
+            out.close()
             stream.__exit__(None, None, None)
-            done.append((at, f"ids/{at:06d}.ids", len(out.docs), ids))
+            done.append((task << 24 | len(done), name, len(out.docs), out.total))
 
         for batch in batches:
-            for part, doc, n, block, steps in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if part != at:
-                    if out:
+            for a, b in batches_of(batch.column(1), 2 * AT_ONCE):
+                ids, stops = _flat_ids(batch.column(1).slice(a, b - a))
+                data, byte_at, steps, marks = pack(ids, stops, code.value, codes)
+                bits = steps.astype("<u2").tobytes()
+                for k, doc in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
+                    if out and out.total >= ids_per_file:
                         finish()
-                    at = part
-                    stream = publish(f"{folder}/ids/{part:06d}.ids")
-                    out = Writer(stream.__enter__(), code.value)
-                out.add(doc, n, block, steps)
+                        out = None
+                    if not out:
+                        name = f"ids/{task:06d}-{attempt}-{len(done):06d}.ids"
+                        stream = publish(f"{folder}/{name}")
+                        out = Writer(stream.__enter__(), code.value)
+                    out.add(doc, int(stops[k + 1] - stops[k]), data[byte_at[k] : byte_at[k + 1]], bits[2 * marks[k] : 2 * marks[k + 1]])
         if out:
             finish()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in MANIFEST.split(", ")])
-
-    part = F.lit(0)
-    for k, cut in enumerate(cuts):
-        part = F.when(F.col("doc_id") >= int(cut), k + 1).otherwise(part)
-    blocks = raw.mapInArrow(encode, "doc_id long, n long, block binary, steps binary")
-    dealt = blocks.select(part.cast("int").alias("part"), "doc_id", "n", "block", "steps").repartitionById(parts, F.col("part"))
-    ordered = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in MANIFEST.split(", ")])
+
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = raw.repartitionByRange(max(1, -(-int(counts.sum()) // ids_per_file)), order)
+    dealt.sortWithinPartitions(order).mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
