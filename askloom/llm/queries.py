@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.llm import decontaminate, html_text, jaccard_join, mixing, near_vectors, oracles, quality, sharding, token_store, url_filter, warc
+from askloom.sources.storage import spread_out
 
 #: Rules of the URL contract: (verdict, host, path).
 URL_RULES = [
@@ -18,7 +19,7 @@ URL_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
