@@ -55,14 +55,16 @@ class HashingModel:
         return found
 
     def of_words(self, words: list[str]) -> list[list[int]]:
-        for word in set(words) - self.words.keys():
-            self.words[word] = [self.number(f) for f in features(word).elements()]
+        for word in words:
+            if word not in self.words:
+                self.words[word] = [self.number(f) for f in features(word).elements()]
         return [self.words[w] for w in words]
 
     def of_pairs(self, words: list[str]) -> list[int]:
         pairs = list(zip(words, words[1:]))
-        for a, b in set(pairs) - self.pairs.keys():
-            self.pairs[a, b] = self.number(f"b:{a}_{b}")
+        for pair in pairs:
+            if pair not in self.pairs:
+                self.pairs[pair] = self.number(f"b:{pair[0]}_{pair[1]}")
         return [self.pairs[p] for p in pairs]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
