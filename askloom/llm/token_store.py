@@ -39,6 +39,8 @@ STEP = 64
 MAGIC = b"AHUF0001"
 #: Ids that are encoded or decoded at once in a task, and pieces that a task remembers.
 AT_ONCE, REMEMBER = 1 << 20, 1 << 21
+#: Bytes of text that are cut into pieces at once: a piece is looked up once in them.
+TEXT_AT_ONCE = 3 << 20
 
 MANIFEST = "part long, file string, documents long, ids long"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -128,8 +130,8 @@ class Encoder:
         letter, parted = self.letter[raw], self.parted[raw]
         head[1:] |= (letter[1:] & parted[:-1]) | (parted[1:] & letter[:-1])
         place = np.flatnonzero(head)
-        before = np.cumsum(solid) - solid
-        cuts = np.append(before[place], int(solid.sum())).astype(np.int64)
+        through = np.cumsum(solid, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)
+        cuts = np.append(through[place] - 1, through[-1] if len(raw) else 0).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(place), pa.py_buffer(cuts.tobytes()), pa.py_buffer(raw[solid].tobytes())).dictionary_encode()
         if len(self.known) > REMEMBER:
             self.forget()
@@ -325,7 +327,7 @@ def to_ids(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
         encode = Encoder(path, end_id)
         for batch in batches:
             doc, texts = batch.column(0), batch.column(1)
-            for a, b in batches_of(texts):
+            for a, b in batches_of(texts, TEXT_AT_ONCE):
                 ids, stops = encode(texts.slice(a, b - a))
                 data = ids.astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), pa.array([data[2 * x : 2 * y] for x, y in zip(stops, stops[1:])], pa.binary())], names=["doc_id", "ids"])
