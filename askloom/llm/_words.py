@@ -4,6 +4,7 @@ the same as runs of characters for classes that hold all or none of the bytes ab
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 
@@ -77,3 +78,47 @@ def runs(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = mix(out * _U(_BASE) + words[k : k + n]) if n > 0 else out
     return out
+
+
+def same(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, o_starts: np.ndarray, o_ends: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of its counterpart in another array of bytes."""
+    size = ends - starts
+    out = size == o_ends - o_starts
+    left, right = (np.ndarray(len(r), "<u8", np.concatenate([r, np.zeros(8, np.uint8)]), strides=(1,)) for r in (raw, other))
+    live = np.flatnonzero(out)
+    k = 0
+    while len(live := live[size[live] > k]):
+        short = _FIRST[np.minimum(size[live] - k, 8)]
+        unequal = (left[starts[live] + k] & short) != (right[o_starts[live] + k] & short)
+        out[live[unequal]] = False
+        live = live[~unequal]
+        k += 8
+    return out
+
+
+def _crc_table() -> np.ndarray:
+    """The reflected CRC-32 of each byte, from its polynomial."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def crc32(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """The unsigned CRC-32 of each word, or of what has the CRC-32 `before` and the word after it."""
+    ones = np.uint32(0xFFFFFFFF)
+    out = np.full(len(starts), ones) if before is None else before.astype(np.uint32) ^ ones
+    size = ends - starts
+    live = np.flatnonzero(size <= LONG)
+    for k in range(LONG):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        out[live] = _CRC[(out[live] ^ raw[starts[live] + k]) & 255] ^ (out[live] >> 8)
+    out ^= ones
+    for i in np.flatnonzero(size > LONG):
+        out[i] = zlib.crc32(raw[starts[i] : ends[i]], 0 if before is None else int(before[i]))
+    return out

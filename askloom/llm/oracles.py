@@ -74,4 +74,60 @@ FROM parts p LEFT JOIN bound USING (host)
 LEFT JOIN hits ON hits.page_id IS NOT DISTINCT FROM p.page_id AND hits.host = p.host AND hits.path = p.path
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op9_url_reputation": OP9.replace("@SUFFIXES@", _SUFFIXES)}
+OP11 = r"""
+WITH terms AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+sizes AS (SELECT count(*)::BIGINT AS docs, sum(len(words))::BIGINT AS total FROM terms WHERE len(words) > 0),
+asked AS (
+  SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+items AS (SELECT item_id, text, term, count(*)::BIGINT AS times FROM asked GROUP BY ALL),
+used AS (SELECT row, unnest(words) AS term FROM terms),
+counts AS (SELECT row, term, count(*)::BIGINT AS tf FROM used GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, sizes GROUP BY term, docs),
+scored AS (
+  SELECT i.item_id, i.text, c.row, sum(i.times * w.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (100 - 75 + (75 * len(t.words) * s.docs) // s.total))))::BIGINT AS score
+  FROM items i JOIN counts c USING (term) JOIN weights w USING (term) JOIN terms t ON t.row = c.row, sizes s
+  GROUP BY i.item_id, i.text, c.row),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+  FROM scored JOIN terms USING (row) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP13 = r"""
+WITH RECURSIVE rounds(k, i, c) AS (
+  SELECT 0, range, range::UINTEGER FROM range(256)
+  UNION ALL
+  SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END FROM rounds WHERE k < 8),
+crc(t) AS (SELECT list(c ORDER BY i) FROM rounds WHERE k = 8),
+texts AS (
+  SELECT doc_id, true AS corpus, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark),
+numbered AS (SELECT row_number() OVER () AS row, doc_id, corpus, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+used AS (SELECT row, corpus, unnest(words) AS word FROM numbered),
+counted AS (SELECT row, corpus, word, count(*) AS n FROM used GROUP BY ALL),
+hashed AS (
+  SELECT word, xor(list_reduce(list_transform(range(strlen(word)), lambda i : ('0x' || substr(hex(encode(word)), 2 * i::INT + 1, 2))::UINTEGER),
+                               lambda c, b : xor(t[(xor(c, b) & 255)::INT + 1], c >> 8), 4294967295::UINTEGER), 4294967295::UINTEGER)::BIGINT % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM counted), crc),
+bags AS (SELECT row, corpus, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (word) GROUP BY ALL),
+shares AS (
+  SELECT bucket, coalesce(sum(n) FILTER (corpus), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT corpus), 0)::DOUBLE AS t FROM bags GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM shares),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM shares, sums),
+sizes AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM bags JOIN gains USING (bucket) WHERE corpus GROUP BY row),
+weighed AS (
+  SELECT row, doc_id, coalesce(n_features, 0)::BIGINT AS n_features, len(words) AS n_words,
+         CASE WHEN n_features > 0 THEN (total - ((total % n_features + n_features) % n_features)) // n_features ELSE 0 END::BIGINT AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS h
+  FROM numbered LEFT JOIN sizes USING (row) WHERE corpus),
+scored AS (SELECT *, weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM weighed),
+placed AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= 10 * (SELECT count(*) FROM placed WHERE n_words >= 20) // 100 THEN place END::BIGINT AS rank
+FROM placed
+"""
+
+ORACLES = {"op1_mix_sources": OP1, "op9_url_reputation": OP9.replace("@SUFFIXES@", _SUFFIXES), "op11_lemp_search": OP11, "op13_bit_sliced_resampling": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import decontaminate, html_text, jaccard_join, mixing, near_vectors, oracles, quality, sharding, token_store, url_filter, warc
+from askloom.llm import decontaminate, html_text, jaccard_join, mixing, near_vectors, oracles, quality, resampling, search, secrets_scan, sharding, token_store, url_filter, warc
 from askloom.sources.storage import spread_out
 
 #: Rules of the URL contract: (verdict, host, path).
@@ -76,5 +76,21 @@ def op6_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_quality_qda, op4_pq_near_vectors, op5_kd_tree_shards, op6_huffman_tokens, op7_suffix_decontaminate, op8_html_line_blocks, op9_url_reputation, op10_warc_bundles)}
+def op11_lemp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds are listed as assign, access, hex and net (the network's)."""
+    out = secrets_scan.report(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secrets_scan.KINDS[k]}") for k in range(3)]
+    return out.select("doc_id", *counts, F.sha2(secrets_scan.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets_scan.listed(F.col("spans")).alias("spans"))
+
+
+def op13_bit_sliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_jaccard_join, op3_quality_qda, op4_pq_near_vectors, op5_kd_tree_shards, op6_huffman_tokens, op7_suffix_decontaminate, op8_html_line_blocks, op9_url_reputation, op10_warc_bundles, op11_lemp_search, op12_char_cnn_secrets, op13_bit_sliced_resampling)}
 ORACLES = oracles.ORACLES
