@@ -83,7 +83,11 @@ def op11_lemp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds are listed as assign, access, hex and net (the network's)."""
     out = secrets_scan.report(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secrets_scan.KINDS[k]}") for k in range(3)]
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets_scan.KINDS[kind]}")
+
+    counts = [count(kind) for kind in range(3)]
     return out.select("doc_id", *counts, F.sha2(secrets_scan.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets_scan.listed(F.col("spans")).alias("spans"))
 
 
