@@ -1,4 +1,7 @@
-"""The vector table and its searches. The table is Parquet rows of chunk, text and vector; writes make a new version."""
+"""The vector table: set operations on rows, a stored table in versions, and an approximate search by signs.
+
+Exact searches are in `nearest`, the neighbour graph is in `graph`.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askloom.operators.nearest import batch_types, knn, matrix, sizes
 from askloom.operators.vectorize import l2_normalize
 from askloom.schemas import VECTORS
-from askloom.sources import storage
+from askloom.sources import buckets
 
-#: Queries that meet the vectors at once: a task holds one block's matrix.
-QUERY_BLOCK = 4096
-VECTORS_AT_ONCE = 1024
+__all__ = ["batch_types", "knn"]
 
 
 # --- set operations -------------------------------------------------------------------------------------------------
@@ -88,17 +90,22 @@ def status(vectors: DataFrame) -> DataFrame:
 
 
 def reset(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], VECTORS).write.mode("overwrite").parquet(path)
+    """An empty version of the table, which can be written to; a new table, where there is none."""
+    try:
+        buckets.reset(spark, path)
+    except FileNotFoundError:
+        save_vectors(spark.createDataFrame([], VECTORS), path)
 
 
-def save_vectors(vectors: DataFrame, path: str) -> None:
-    """Vectors and records as one table, so that they cannot part."""
-    vectors.write.mode("overwrite").parquet(path)
+def save_vectors(vectors: DataFrame, path: str, key: str = "chunk_id", by: str = "doc_id", number: int = 64) -> None:
+    """Vectors and records as one table, so that they cannot part: a new version, in buckets of a hash of their documents.
+    buckets.change and buckets.delete write parts of it."""
+    buckets.create(vectors, path, key, by, number)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table, its vectors of length one."""
-    stored = spark.read.parquet(path)
+    """The newest version of the stored table, its vectors of length one."""
+    stored = buckets.read(spark, path)
     kind = stored.schema["embedding"].dataType
     return stored.withColumn("embedding", l2_normalize(F.col("embedding")).cast(kind))
 
@@ -119,112 +126,6 @@ def sanitize_metadata(metadata: Column) -> Column:
 
 # --- search ---------------------------------------------------------------------------------------------------------
 
-def _sizes(column) -> np.ndarray:
-    """The widths of an Arrow list column; 0 for null."""
-    return np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
-
-
-def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """An Arrow list column -> (unit rows, which rows have this width and no null)."""
-    sizes = _sizes(column)
-    ok = (sizes == width) & (width > 0)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(sizes), width))
-    out[ok] = flat[np.repeat(ok, sizes)].reshape(-1, width)
-    norm = np.sqrt((out * out).sum(axis=1))
-    return out / np.where(norm > 0, norm, 1)[:, None], ok & np.isfinite(norm)
-
-
-def _best(hits: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of (query, score, key) for each query; ties go to the smaller key."""
-    order = np.lexsort((hits[2], -hits[1], hits[0]))
-    query = hits[0][order]
-    head = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, bool)
-    place = np.arange(len(query)) - np.maximum.accumulate(np.where(head, np.arange(len(query)), 0)) if len(query) else query
-    order = order[place < k]
-    return tuple(h[order] for h in hits)
-
-
-def _query_blocks(queries: DataFrame, size: int) -> list[str]:
-    """Queries as folders of about `size` queries of one width in the shared folder, written by tasks; their paths."""
-    path = storage.work_folder(queries.sparkSession, "queries")
-    rows = queries.withColumn("width", F.size("embedding")).filter("width > 0").select("question_id", "document_id", "embedding", "width")
-    blocks = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int"))
-    ordered = dealt.repartition(blocks, "block").sortWithinPartitions("width", "block", "question_id")
-    ordered.write.partitionBy("width", "block").parquet(path)
-    names = queries.sparkSession.read.parquet(path).select("width", "block").distinct().collect()  # one row a block
-    return sorted(f"{path}/width={r['width']}/block={r['block']}" for r in names)
-
-
-def _load_block(path: str):
-    """(ids, document ids, unit rows) of a folder of queries, read by a task."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    system, place = fs.FileSystem.from_uri(path)
-    rows = pq.read_table(place, filesystem=system, partitioning=None)
-    vectors = rows.column("embedding").combine_chunks()
-    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-    norm = np.sqrt((x * x).sum(axis=1))
-    return rows.column("question_id").to_pylist(), rows.column("document_id").to_pylist(), x / np.where(norm > 0, norm, 1)[:, None]
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", document: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact cosine top-k: (question_id, key, score, distance, rank) for queries(question_id, document_id or null, embedding).
-
-    Queries are written in blocks; a task reads a block, multiplies its vectors with it and keeps k hits a query, so that
-    tasks * k rows a query are shuffled. The driver holds the blocks' names only. A query meets the vectors of its own width,
-    and no others. Ties go to the smaller key.
-    """
-    q_type, k_type = queries.schema["question_id"].dataType, vectors.schema[key].dataType
-    schema = T.StructType([T.StructField("question_id", q_type), T.StructField(key, k_type), T.StructField("score", T.DoubleType())])
-    slim = vectors.select(key, (F.col(document) if document else F.lit(None)).cast("string").alias("document_id"), "embedding")
-    found = None
-    queries = queries.withColumn("document_id", F.col("document_id").cast("string") if "document_id" in queries.columns else F.lit(None).cast("string"))
-
-    for name in _query_blocks(queries, block):
-
-        def run(batches, name=name):
-            import pyarrow as pa
-
-            ids, filters, q = _load_block(name)
-            wanted = np.array([f or "" for f in filters])
-            only = np.array([f is not None for f in filters])
-            bar, kept = np.full(len(ids), -np.inf), None
-            for batch in batches:
-                for at in range(0, len(batch), VECTORS_AT_ONCE):
-                    part = batch.slice(at, VECTORS_AT_ONCE)
-                    x, ok = _matrix(part.column(2), q.shape[1])
-                    if not ok.any():
-                        continue
-                    keys, docs = np.array(part.column(0).to_pylist())[ok], np.array([d or "" for d in part.column(1).to_pylist()])[ok]
-                    scores = np.round(q @ x[ok].T, 6)
-                    if only.any():
-                        scores[only[:, None] & (wanted[:, None] != docs)] = -np.inf
-                    if scores.shape[1] >= k:
-                        bar = np.maximum(bar, np.partition(scores, -k, axis=1)[:, -k])
-                    a, b = np.nonzero((scores >= bar[:, None]) & np.isfinite(scores))
-                    new = (a, scores[a, b], keys[b])
-                    kept = _best(new if kept is None else tuple(np.concatenate(z) for z in zip(kept, new, strict=True)), k)
-            if kept is not None and len(kept[0]):
-                kinds = batch_types(schema)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in kept[0]], kinds[0]), pa.array(kept[2].tolist(), kinds[1]), pa.array(kept[1])], names=schema.names)
-
-        part = slim.mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
-    ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).withColumn("distance", F.round(1 - F.col("score"), 6))
-
-
-def batch_types(schema: T.StructType) -> list:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return [to_arrow_type(f.dataType) for f in schema.fields]
-
-
 def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", bands: int = 24, bits: int = 6, seed: int = 11) -> DataFrame:
     """Approximate top-k: signs against random directions, banded; candidates that share a band are scored exactly.
 
@@ -237,12 +138,12 @@ def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
 
             planes: dict[int, np.ndarray] = {}
             for batch in batches:
-                for width in np.unique(_sizes(batch.column(1))).tolist():
+                for width in np.unique(sizes(batch.column(1))).tolist():
                     if not width:
                         continue
                     if width not in planes:
                         planes[width] = np.random.default_rng(seed).standard_normal((bands * bits, width)).astype(np.float32)
-                    x, ok = _matrix(batch.column(1), width)
+                    x, ok = matrix(batch.column(1), width)
                     sign = (x[ok] @ planes[width].T > 0).reshape(-1, bands, bits)
                     code = (sign * (1 << np.arange(bits))).sum(axis=2) + (np.arange(bands) << bits)
                     taken = batch.take(pa.array(np.repeat(np.flatnonzero(ok), bands)))

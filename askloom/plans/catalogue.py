@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as tx
 from askloom.operators import answer as an
-from askloom.operators import chunk, clean, index, lifecycle, report, retrieve, vectorize
+from askloom.operators import chunk, clean, graph, index, lifecycle, nearest, report, retrieve, vectorize
 from askloom.plans.oracles import ORACLES
 from askloom.schemas import DEFAULT
-from askloom.sources import readers, storage
+from askloom.sources import buckets, readers, storage, versions
 from askloom.streaming import jobs
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
@@ -329,6 +329,64 @@ def knn_lsh(spark, d):
     return index.knn_lsh(vectors, vector_queries(spark, d), 5, "vec_id").select("question_id", "vec_id", "rank", "score")
 
 
+@query
+def knn_graph(spark, d):
+    """Approximate, by walks in the neighbour graphs of the shards: on tables of this size nothing is missed."""
+    vectors = table(spark, d, "embeddings")
+    found = graph.search(graph.build(vectors, "vec_id"), vector_queries(spark, d), 5, "vec_id", vectors.schema["vec_id"].dataType)
+    return found.select("question_id", "vec_id", "rank", "score")
+
+
+@query
+def knn_blocks(spark, d):
+    """Every vector as a query, in blocks of 256: all blocks pass one scan of the vectors."""
+    vectors = table(spark, d, "embeddings")
+    asked_ = vectors.select(F.col("vec_id").alias("question_id"), F.lit(None).cast("int").alias("document_id"), "embedding")
+    return nearest.knn(vectors, asked_, 2, "vec_id", block=256).select("question_id", "vec_id", "rank", "score")
+
+
+def stored_embeddings(spark: SparkSession, d: str) -> str:
+    """The embeddings as a stored table, in 16 buckets of documents of 40 vectors each; its path."""
+    path = storage.work_folder(spark, "vectors")
+    rows = table(spark, d, "embeddings").withColumn("doc_id", F.floor(F.col("vec_id") / 40))
+    index.save_vectors(rows, path, "vec_id", "doc_id", 16)
+    return path
+
+
+@query
+def knn_stored(spark, d):
+    """Queries that name their own document, against the stored table: only the buckets of those documents are read."""
+    vectors = buckets.read(spark, stored_embeddings(spark, d))
+    asked_ = vector_queries(spark, d).withColumn("document_id", F.when(F.col("question_id") % 100 == 0, F.floor(F.col("question_id") / 40)))
+    return nearest.knn_stored(vectors, asked_, 5, "vec_id").select("question_id", "vec_id", "rank", "score")
+
+
+@query
+def bucketed_changes(spark, d):
+    """The stored table after an upsert (a document in five comes with label 99), an insert of old and new ids that leaves
+    the old ones, and a delete of documents."""
+    path = stored_embeddings(spark, d)
+    rows = buckets.read(spark, path).drop("bucket")
+    buckets.change(spark, path, rows.filter("doc_id % 5 = 1").withColumn("label", F.lit(99)))
+    again = rows.filter("doc_id % 3 = 0 AND vec_id % 2 = 0").withColumn("label", F.lit(-1))
+    buckets.change(spark, path, again.union(again.withColumn("vec_id", -F.col("vec_id") - 1)), "ignore")
+    buckets.delete(spark, path, rows.filter("doc_id % 4 = 3").select("doc_id").distinct())
+    return buckets.read(spark, path).select("vec_id", "doc_id", "label", F.lit(versions.current(spark, path)).alias("version"))
+
+
+@query
+def reset_index(spark, d):
+    """The stored table emptied, then written to: rows before, after the reset, and after one document came back."""
+    path = stored_embeddings(spark, d)
+    rows = buckets.read(spark, path).drop("bucket")
+    before = index.status(rows).select(F.lit(1).alias("step"), "status", "rows")
+    index.reset(spark, path)
+    empty = index.status(buckets.read(spark, path)).select(F.lit(2).alias("step"), "status", "rows")
+    buckets.change(spark, path, rows.filter("doc_id = 1"))
+    after = index.status(buckets.read(spark, path)).select(F.lit(3).alias("step"), "status", "rows")
+    return before.union(empty).union(after)
+
+
 @query
 def width_guard(spark, d):
     """Queries of which every other one is cut to half its width: those meet no vector."""
@@ -755,7 +813,7 @@ def stored_vectors(spark, d):
     """The vector table stored with vectors of any length, and loaded."""
     folder = storage.work_folder(spark, "vectors")
     scaled = F.transform("embedding", lambda v: (v * (F.col("vec_id") % 5 + 1)).cast("float"))
-    index.save_vectors(table(spark, d, "embeddings").withColumn("embedding", scaled), folder)
+    index.save_vectors(table(spark, d, "embeddings").withColumn("embedding", scaled), folder, "vec_id", "label")
     loaded = index.load_vectors(spark, folder)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
     return loaded.select("vec_id", F.round(norm, 4).alias("norm"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first"), F.round(F.get("embedding", F.lit(63)).cast("double"), 4).alias("last"))

@@ -312,6 +312,17 @@ ORACLES = {
         LEFT JOIN spans s ON s.doc_id = c.doc_id AND c.char_start >= s.start AND c.char_start < s.stop""",
     "page_totals": f"WITH {_PAGES} SELECT doc_id, count(*)::INT AS page_count, bool_and({_strip('text')} = '') AS blank FROM paged GROUP BY doc_id",
     "decoded_texts": "SELECT doc_id, length(text)::INT AS chars, sha256(text) AS digest FROM documents WHERE text IS NOT NULL",
+    "knn_graph": f"WITH {_HITS} SELECT question_id, vec_id, rank::INT AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5",
+    "knn_blocks": """WITH scored AS (SELECT a.vec_id AS question_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a CROSS JOIN embeddings b)
+        SELECT question_id, vec_id, rank::INT AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 2""",
+    "knn_stored": f"""WITH {_HITS} SELECT question_id, vec_id, rank::INT AS rank, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored WHERE question_id % 100 <> 0 OR question_id // 40 = vec_id // 40) WHERE rank <= 5""",
+    "bucketed_changes": """WITH first AS (SELECT vec_id, vec_id // 40 AS doc_id, label FROM embeddings),
+        changed AS (SELECT vec_id, doc_id, CASE WHEN doc_id % 5 = 1 THEN 99 ELSE label END AS label FROM first
+                    UNION ALL SELECT -vec_id - 1, doc_id, -1 FROM first WHERE doc_id % 3 = 0 AND vec_id % 2 = 0)
+        SELECT vec_id, doc_id, label, 4 AS version FROM changed WHERE doc_id % 4 <> 3""",
+    "reset_index": """SELECT 1 AS step, 'ready' AS status, count(*) AS rows FROM embeddings UNION ALL SELECT 2, 'empty', 0
+        UNION ALL SELECT 3, 'ready', count(*) FROM embeddings WHERE vec_id // 40 = 1""",
     "width_guard": f"WITH {_HITS} SELECT question_id, vec_id, rank::INT AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored WHERE question_id % 100 <> 0) WHERE rank <= 3",
     "metadata_maps": f"""WITH {_TURNS} SELECT question_id, rank, array_to_string(list_filter(['both=["' || doc_id || '","' || filename || '"]', 'chunk_index=' || chunk_index, 'doc_id=' || doc_id, 'is_reference=' || is_reference, 'page=' || page], lambda x: x IS NOT NULL), ';') AS metadata FROM turns""",
     "question_rejects": f"""WITH rows AS (SELECT conv_id * 1000 + turn AS question_id, CASE WHEN turn % 7 = 3 THEN ' ' WHEN turn % 7 = 5 THEN repeat(text, 100) ELSE text END AS question, CASE WHEN turn % 2 = 0 THEN conv_id % 25 END AS top_k FROM conversations)
