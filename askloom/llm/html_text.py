@@ -3,20 +3,21 @@
 Markup is stripped into lines, one a block element; empty ones are left out, and so are those of elements that hold no
 article text by their role (menus, headers, footers, sidebars, scripts, controls, hidden parts, reader comments). A line
 weighs its text outside links; a h1, and a line of an article element, weighs its whole text. Hints make weights smaller,
-by HINT each: a class, id or role that marks the line's element, a form around it, and lying outside the article element
-where the page has one. The lines with the same hints, in page order, are one distribution: sums over WINDOW neighbouring
+by HINT each: a class, id or role that marks the line's element (or, outside article elements, a line that begins with a
+statement of rights), a form around it, and lying outside the article element where the page has one. The lines with the same hints, in page order, are one distribution: sums over WINDOW neighbouring
 weights surge where text begins and dive to nothing where it ends, and the lines from the first to the last weighty line
 between surge and dive are kept, lines of links between them included. Text without hints surges at any weight; text with
 hints only if a sum reaches SURGE of the page's largest. So a marked or outer block goes beside an article, but stays where
 it holds the page's text.
 
-Defined results: null or empty HTML gives an empty text; markup that is cut off ends with the page; long pages are read
-whole; repeated rows each get their text; a column with the name of the result is replaced, others stay as they are; an
+Defined results: null or empty HTML gives an empty text; markup that is cut off ends with the page; long pages, broken ones
+too, are read whole, in time that grows with their length; repeated rows each get their text; a column with the name of the result is replaced, others stay as they are; an
 empty table gives an empty result.
 """
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,14 +55,78 @@ QUALIFIERS = frozenset(
 #: Marks of other people's or other pages' text: article elements inside are not this page's.
 OTHERS = frozenset("comment comments commentlist respond disqus reply replies related recommended".split())
 
-_TOKEN = re.compile(
-    rf"<(?:!--.*?(?:-->|\Z)|(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+)>|/?[a-z][^<>]*(?:>|\Z)|[!?/][^>]*(?:>|\Z))""",
-    re.S | re.I,
-)
+#: A line that states rights: it counts as marked outside article elements.
+_RIGHTS = re.compile(r"(?:copyright\b|\(c\)|\xa9)", re.I)
+_NAME_END = re.compile(r"[\s/>]|\Z")
+_ATTRS = re.compile(r"""(?:"[^"]*"|'[^']*'|[^'">])*+>""")
+_RAW = re.compile(rf"(?:{RAW})\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>|\Z", re.I) for name in RAW.split("|")}
+_PLAIN = re.compile(r"[^<>]*")
+_REFERENCE = re.compile(r"&#([0-9]{1000,});?")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 
+class Tags:
+    """The tags of a page from left to right, in time that grows with the page, however broken it is: what doesn't close is
+    looked for once, and `<` that begins no tag is text."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.name_end, self.ends = page, page.rfind(">"), -1, None
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(begin, end, name, whether it ends an element, attributes); the name is empty for what is only markup."""
+        at, page = 0, self.page
+        while (at := page.find("<", at)) >= 0:
+            found = self.tag(at)
+            if found is None:
+                at += 1
+                continue
+            yield at, *found
+            at = found[0]
+
+    def tag(self, at: int) -> tuple[int, str, bool, str] | None:
+        page = self.page
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return (len(page) if end < 0 else end + 3), "", False, ""
+        first = at + 1 + page.startswith("/", at + 1)
+        ending = first > at + 1
+        letter = page[first : first + 1]
+        if letter.isascii() and letter.isalpha():
+            raw = None if ending or self.last < at else _RAW.match(page, first)
+            if raw:
+                begin = page.find(">", raw.end()) + 1
+                return _RAW_END[raw[0].lower()].search(page, begin).end(), "", False, ""
+            if self.last >= at:
+                if self.name_end <= first:
+                    self.name_end = _NAME_END.search(page, first).start()
+                end = self.attributes_end(self.name_end)
+                if end >= 0:
+                    return end + 1, page[first : self.name_end].lower(), ending, page[self.name_end : end]
+            end = _PLAIN.match(page, first).end()
+            if end == len(page) or page[end] == ">":
+                return min(end + 1, len(page)), "", False, ""
+        if page[at + 1 : at + 2] in ("!", "?", "/") and at + 1 < len(page):
+            end = page.find(">", at) if self.last >= at else -1
+            return (len(page) if end < 0 else end + 1), "", False, ""
+        return None
+
+    def attributes_end(self, at: int) -> int:
+        """Where the `>` outside quotes is, or -1. After one search in vain, all places are known from a pass from the end:
+        there are three states, outside and in either quotes."""
+        if self.ends is None:
+            if found := _ATTRS.match(self.page, at):
+                return found.end() - 1
+            self.places = [m.start() for m in re.finditer("[\"'>]", self.page)]
+            out = double = single = -1
+            self.ends = [-1] * (len(self.places) + 1)
+            for k in range(len(self.places) - 1, -1, -1):
+                c = self.page[self.places[k]]
+                out, double, single = (self.places[k] if c == ">" else double if c == '"' else single), (out if c == '"' else double), (out if c == "'" else single)
+                self.ends[k] = out
+        return self.ends[bisect_left(self.places, at)]
+
+
 def _kind(name: str, attrs: str, in_article: bool) -> str:
     """Why an element is dropped: `hard`, `form`, `mark` (a class, id or role), or not at all: an empty string."""
     if name == "form":
@@ -101,12 +166,15 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     plain: list[str] = []  # the parts outside links
     link = False
     stack: list[tuple[str, str, tuple[int, int] | None]] = []  # open blocks, why they are dropped, and what an article set aside
+    opened: dict[str, int] = {}
     count = {"": 0, "hard": 0, "form": 0, "mark": 0}
     article, flags = 0, []  # flags: (hard, form, mark, article) of each line
 
     def folded(pieces: list[str]) -> str:
         text = "".join(pieces)
-        return " ".join((html.unescape(text) if "&" in text else text).split())
+        if "&" in text:  # numbers of a thousand digits and more are no characters, unless they are mostly zeros
+            text = html.unescape(_REFERENCE.sub(lambda m: f"&#{m[1].lstrip('0') or '0'};" if len(m[1].lstrip("0")) < 9 else "\ufffd", text))
+        return " ".join(text.split())
 
     def flush() -> None:
         nonlocal link
@@ -115,7 +183,7 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             whole = len(plain) == len(parts) or (stack and stack[-1][0] == "h1")
             lines.append(text)
             lengths.append((len(text), len(text if whole else folded(plain))))
-            flags.append((count["hard"] > 0, count["form"] > 0, count["mark"] > 0, article > 0))
+            flags.append((count["hard"] > 0, count["form"] > 0, count["mark"] > 0 or (not article and bool(_RIGHTS.match(text))), article > 0))
         parts.clear()
         plain.clear()
         link = False
@@ -124,6 +192,7 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         nonlocal article
         while len(stack) > depth:
             name, kind, aside = stack.pop()
+            opened[name] -= 1
             count[kind] -= 1
             if aside is not None:
                 article -= 1
@@ -131,11 +200,10 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
                 count["mark"] = aside[1]
 
     at = 0
-    for token in _TOKEN.finditer(page):
-        text = page[at : token.start()]
-        at = token.end()
-        name = (token["name"] or "").lower()
-        if stack and stack[-1][0] == "head" and ((text and not text.isspace()) or (name and not token["end"] and name not in IN_HEAD)):
+    for begin, end, name, ending, attrs in Tags(page):
+        text = page[at:begin]
+        at = end
+        if stack and stack[-1][0] == "head" and ((text and not text.isspace()) or (name and not ending and name not in IN_HEAD)):
             flush()
             close(len(stack) - 1)
         if text:
@@ -145,7 +213,7 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         if not name:
             continue
         if name == "a":
-            link = not token["end"]
+            link = not ending
         elif name in ("br", "td", "th", "img", "input"):
             parts.append(" ")
             plain.append(" ")
@@ -153,16 +221,18 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             flush()
         if name in VOID:
             continue
-        if token["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
+        if ending:
+            if opened.get(name):
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
                 close(depth)
         else:
             if name in BLOCKS and stack and stack[-1][0] == "p":
                 close(len(stack) - 1)
             if name == "li" and stack and stack[-1][0] == "li":
                 close(len(stack) - 1)
-            kind = _kind(name, token["attrs"], article > 0)
+            kind = _kind(name, attrs, article > 0)
             if name in BLOCKS or kind:
                 if kind and name not in BLOCKS:
                     flush()
@@ -173,6 +243,7 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
                     count["form"] = 0
                 count[kind] += 1
                 stack.append((name, kind, aside))
+                opened[name] = opened.get(name, 0) + 1
     if stack and stack[-1][0] == "head" and page[at:].strip():
         close(len(stack) - 1)
     if page[at:]:
