@@ -867,3 +867,27 @@ def stream_latency(spark, d):
     running = jobs.latency_stream(renamed, name, f"{folder}/checkpoint")
     running.awaitTermination()
     return spark.table(name)
+
+
+@query
+def stream_recent_latency(spark, d):
+    """The live report on the retained entries only."""
+    folder = storage.work_folder(spark, "stream")
+    source = jobs.read_parquet_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+    renamed = source.select(F.col("event_id").alias("id"), F.col("value").alias("response_time_ms"), F.col("ts").alias("created_at"))
+    jobs.recent_stream(renamed, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return report.latency_stats(jobs.recent_rows(spark, f"{folder}/table"))
+
+
+@query
+def stream_versions(spark, d):
+    """Documents as a stream, then new versions of two in five of them: one of those is blank, and has no chunks any more."""
+    folder = storage.work_folder(spark, "stream")
+    docs = documents(spark, d).withColumn("doc_id", F.col("doc_id").cast("string")).select("doc_id", "filename", "text")
+    fifth = F.col("doc_id").cast("long") % 5
+    again = docs.filter(fifth < 2).withColumn("text", F.when(fifth == 0, F.lit(" \n")).otherwise(F.col("text")))
+    for rows in (docs, again):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        source = jobs.read_parquet_stream(spark, f"{folder}/in", docs.schema)
+        jobs.ingest_stream(source, lambda batch: chunk.chunk_documents(chunk.as_documents(batch)), f"{folder}/table", f"{folder}/checkpoint", "doc_id").awaitTermination()
+    return jobs.latest(spark, f"{folder}/table").select("chunk_id", "text")

@@ -156,6 +156,8 @@ labelled AS (
 _LATENCY = """SELECT count(*) AS questions_asked, coalesce(round(avg(value), 2), 0.0) AS average_response_time_ms, round(min(value), 2) AS fastest_response_ms,
 round(max(value), 2) AS slowest_response_ms, max(ts) AS last_question_at FROM events"""
 
+_RECENT_LATENCY = _LATENCY.replace("FROM events", "FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)")
+
 _VERSIONS = """known AS (SELECT doc_id, 'known' AS version FROM documents WHERE doc_id % 3 <> 0),
 incoming AS (SELECT doc_id, 'incoming' AS version FROM documents WHERE doc_id % 3 <> 1)"""
 
@@ -356,5 +358,7 @@ ORACLES = {
     "stored_registry": f"""WITH {_RECORDS} SELECT id::VARCHAR AS id, filename, CASE WHEN id % 5 = 0 THEN 'error' ELSE status END AS status, CASE WHEN id % 5 = 0 THEN 0 ELSE chunk_count END::INT AS chunk_count, size_bytes, fingerprint FROM records WHERE id % 7 <> 3""",
     "stored_vectors": """WITH lengths AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
         SELECT vec_id, round(sqrt(list_dot_product(e, e)) / n, 4) AS norm, round(e[1] / n, 4) AS first, round(e[64] / n, 4) AS last FROM lengths""",
+    "stream_versions": f"{_CHUNKS} SELECT doc_id || '::' || lpad(chunk_index::VARCHAR, 5, '0') AS chunk_id, text FROM chunks WHERE doc_id % 5 <> 0",
+    "stream_recent_latency": _RECENT_LATENCY,
     "stream_chunks": f"{_CHUNKS} SELECT doc_id || '::' || lpad(chunk_index::VARCHAR, 5, '0') AS chunk_id, text, 384 AS width FROM chunks",
 }
