@@ -158,10 +158,10 @@ def chunk_documents(segments: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return cut_documents(clean.whole_documents(docs.select("doc_id", "filename", "segments"), config.min_occurrences), config)
 
 
-def cut_documents(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Cleaned documents(doc_id, filename, clean_text, pages, ref_start) -> chunks."""
+def cut_documents(docs: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cleaned documents(doc_id, filename, clean_text, pages, ref_start, keep...) -> chunks, each with the kept columns."""
     middle = (F.col("char_start") + F.col("char_end")) / 2
     return chunk_texts(docs, config).select(
         chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "filename", "chunk_index", "text", "char_start", "char_end",
-        F.length("text").alias("char_count"), "page", F.coalesce(middle >= F.col("ref_start"), F.lit(False)).alias("is_reference"),
+        F.length("text").alias("char_count"), "page", F.coalesce(middle >= F.col("ref_start"), F.lit(False)).alias("is_reference"), *keep,
     )

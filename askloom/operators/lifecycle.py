@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from askloom.functions import text as tx
 from askloom.operators import chunk, clean, index, vectorize
 from askloom.schemas import DEFAULT, STAGE_METRICS, Config
-from askloom.sources import readers
+from askloom.sources import readers, storage
 
 
 @dataclass(frozen=True)
@@ -30,9 +30,10 @@ class Corpus:
 
 
 def records(docs: DataFrame, chunks: DataFrame, now) -> DataFrame:
-    """docs(doc_id, filename, segments), chunks -> registry rows: ready with counts, or error where cleaning left no chunk."""
+    """docs(doc_id, filename, segments), chunks with the counts of their texts -> registry rows: ready with counts, or error
+    where cleaning left no chunk."""
     raw = docs.select("doc_id", "filename", size_of("segments").alias("size_bytes"), F.array_max(F.transform("segments", lambda s: s["page"])).alias("page_count"), tx.fingerprint(F.array_join(F.transform("segments", lambda s: s["text"]), "\n\n")).alias("fingerprint"))
-    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.max("char_end").cast("long").alias("char_count"), F.sum(tx.word_count(F.col("text"))).cast("long").alias("word_count"))
+    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.max("clean_chars").cast("long").alias("char_count"), F.max("clean_words").cast("long").alias("word_count"))
     joined = raw.join(counts, "doc_id", "left")
     return joined.select(
         F.col("doc_id").alias("id"), "filename", tx.file_extension(F.col("filename")).alias("extension"), "size_bytes", tx.human_size(F.col("size_bytes")).alias("size_display"),
@@ -57,18 +58,30 @@ def documents_of(segments: DataFrame) -> DataFrame:
     return segments if "segments" in segments.columns else chunk.assembled(segments)
 
 
+#: Characters and words of a document's clean text, which its chunks carry until the registry has them.
+COUNTS = ("clean_chars", "clean_words")
+
+
+def counted(cleaned: DataFrame) -> DataFrame:
+    return cleaned.withColumn("clean_chars", F.length("clean_text")).withColumn("clean_words", tx.word_count(F.col("clean_text")))
+
+
 def ingest(segments: DataFrame, config: Config = DEFAULT, model: Callable = vectorize.HashingModel, now=None) -> Corpus:
     """Validates, cleans, cuts and embeds; documents that fail become rejects, not exceptions: those that are refused, and
-    those of which cleaning leaves nothing. segments: rows, or documents with an array of them."""
+    those of which cleaning leaves nothing. segments: rows, or documents with an array of them.
+
+    Texts are cleaned and cut once: the chunks are written to the shared folder, and vectors, registry and rejects are made
+    of what is written."""
     now = F.current_timestamp() if now is None else now
     docs = checked(documents_of(segments), config)
     good = docs.filter("code IS NULL").select("doc_id", "filename", "segments")
-    chunks = chunk.chunk_documents(good, config)
+    cleaned = counted(clean.whole_documents(good, config.min_occurrences))
+    chunks = storage.materialize(chunk.cut_documents(cleaned, config, COUNTS), "chunks")
     registry = records(good, chunks, now)
     failed = registry.filter("status = 'error'").select("filename", F.col("error").alias("code"))
     rejects = readers.with_reasons(docs.filter("code IS NOT NULL").select("filename", "code").union(failed), config)
     rows = good.select("doc_id", "filename", F.inline("segments")).select("doc_id", "filename", "page", "seq", "text")
-    return Corpus(rows, embedded(chunks, model), registry, rejects)
+    return Corpus(rows, embedded(chunks.drop(*COUNTS), model), registry, rejects)
 
 
 def embedded(chunks: DataFrame, model: Callable = vectorize.HashingModel) -> DataFrame:
@@ -164,8 +177,8 @@ def traced_ingest(segments: DataFrame, folder: str, run_id: str, config: Config
     good = docs.filter("code IS NULL")
     read = trace.stage("extraction", good.select("doc_id", "filename", "segments"), f"{folder}/extracted", segments=F.sum(F.size("segments")), bytes=F.sum(size_of("segments")))
     cleaned = trace.stage("cleaning", clean.whole_documents(read, config.min_occurrences), f"{folder}/cleaned", chars=F.sum(F.length("clean_text")))
-    chunks = trace.stage("chunking", chunk.cut_documents(cleaned, config), f"{folder}/chunks", longest=F.max(F.length("text")))
-    stored = trace.stage("embedding", embedded(chunks, model), f"{folder}/vectors", dimension=F.max(F.size("embedding")))
+    chunks = trace.stage("chunking", chunk.cut_documents(counted(cleaned), config, COUNTS), f"{folder}/chunks", longest=F.max(F.length("text")))
+    stored = trace.stage("embedding", embedded(chunks.drop(*COUNTS), model), f"{folder}/vectors", dimension=F.max(F.size("embedding")))
     trace.check("vector_store", stored)
     registry = records(read, chunks, now)
     rejects = readers.with_reasons(docs.filter("code IS NOT NULL").select("filename", "code").union(registry.filter("status = 'error'").select("filename", F.col("error").alias("code"))), config)

@@ -105,8 +105,8 @@ def _dirty(x: str) -> str:
 
 _CLEAN = f"{chunk_oracle.cleaned('documents')}, {chunk_oracle.references()}"
 _CHUNKS = f"WITH RECURSIVE {_CLEAN}, {chunk_oracle.chunks()}"
-_CHUNK_COUNTS = f"""counted AS (SELECT d.doc_id, d.source || '_' || d.doc_id || '.txt' AS filename, d.text, count(c.doc_id)::INT AS n, max(c.char_end)::BIGINT AS chars, sum({_words('c.text')})::BIGINT AS words
-  FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id WHERE {_strip("coalesce(d.text, '')")} <> '' GROUP BY ALL)"""
+_CHUNK_COUNTS = f"""counted AS (SELECT d.doc_id, d.source || '_' || d.doc_id || '.txt' AS filename, d.text, coalesce(c.n, 0)::INT AS n, length(k.t)::BIGINT AS chars, ({_words('k.t')})::BIGINT AS words
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c ON c.doc_id = d.doc_id LEFT JOIN cleaned k ON k.doc_id = d.doc_id WHERE {_strip("coalesce(d.text, '')")} <> '')"""
 
 # The answer job over conversations: the first turn asked, the turns as hits.
 _ANSWERS = rf"""{_CONTEXTS},

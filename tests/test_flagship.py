@@ -182,3 +182,20 @@ def test_vectors_of_a_batch(spark):
     texts = ["the red fox, the red dog", "", "a", "red " * 50 + "fox", "café 12abc"]
     model = vectorize.HashingModel()
     assert np.allclose(model(texts), [vector(t) for t in texts], atol=1e-6)
+
+
+def test_registry_counts_words_of_the_clean_text(spark):
+    """Not those of the chunks, which overlap."""
+    docs = catalogue.segments(spark, SMALL)
+    want = {r["doc_id"]: len(r["clean_text"].split()) for r in clean.whole_documents(docs).select("doc_id", "clean_text").collect()}
+    made = lifecycle.ingest(docs, model=catalogue.Nothing)
+    got = {r["id"]: r["word_count"] for r in made.registry.filter("status = 'ready'").collect()}
+    assert got == want
+
+
+def test_ingest_cleans_and_cuts_once(spark):
+    """Registry and rejects are made of the written chunks; vectors only have the model's pass over them."""
+    made = lifecycle.ingest(catalogue.segments(spark, SMALL), model=catalogue.Nothing)
+    assert "MapInArrow" not in plan_of(made.registry) and "MapInArrow" not in plan_of(made.rejects)
+    plan = plan_of(made.vectors)
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1 and "regexp_replace(\\n{3,}" not in plan and "documents.parquet" not in plan
