@@ -8,7 +8,8 @@ first regions have sets of shingles as pivots, and whole documents are the pivot
    class lie in its cell. Texts within the limit differ in at most D shingles, so (triangle inequality, class by class)
    in at most D classes: a text sent to the cells of its first D + 1 classes, in one order for all texts (fullest first,
    then by hash), meets every text that it links with. K follows the size; a text near a step of K is sent for both.
-2. Regions. Texts that share a cell, directly or in steps, form a region; others cannot link. Equal sets are one member.
+2. Regions. Texts that share a cell, and whose sizes have no gap that a link can't span, directly or in steps, form a
+   region; others cannot link. Equal sets are one member.
 3. Voronoi recursion. Inside a region, pivots are drawn from its members by hash. A member goes to its nearest pivot, or to
    the outer region if all are farther than 1 - r (r: the largest Jaccard distance of a link). By the triangle inequality
    it also visits every pivot that is not farther than the nearest by more than 2 r, if it shares a shingle with it, and the
@@ -91,6 +92,16 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in (np.add.reduce(mixed, dtype=_U, keepdims=True)[0], np.add.reduce(_words.mix(mixed ^ _U(0xA5A5A5A5)), dtype=_U, keepdims=True)[0]))
 
 
+#: Steps of size for the largest ratio of linked sets' sizes; sets whose steps differ by more than GAP don't link.
+STEPS, GAP = 4, 5
+
+
+def sized(names: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Names of cells, their last eight bits replaced by the step of the set's size (the last step has all larger ones)."""
+    step = min(255, int(STEPS * np.log(max(size, 1)) / np.log(100 / percent) + 1e-9)) if percent < 100 else 0
+    return (names & ~_U(255)) | _U(step)
+
+
 SETS = "doc_id long, n long, f1 long, f2 long, cells array<long>, text_hash long"
 
 
@@ -107,7 +118,7 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for s in shingle_sets(batch.column(1).slice(a, b - a), width):
                     p, q = fingerprint(s)
                     n.append(len(s)), f1.append(p), f2.append(q)
-                    where.append(cells(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    where.append(sized(cells(s, percent), len(s), percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(w) for w in where])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, np.concatenate(where))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, batch.column(2).slice(a, b - a)], names=["doc_id", "n", "f1", "f2", "cells", "text_hash"])
@@ -116,17 +127,22 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _same_cell(batches):
-    """Rows (cell, rep) in order -> (rep, first rep of its cell) for all but the first, each pair once a batch."""
+    """Rows (cell, rep) in order -> (rep, first rep of its run) for all but the first, each pair once a batch. A run ends with
+    its cell, or where the sizes have a gap that no link spans."""
     import pyarrow as pa
 
     last_cell, first = None, None
+
+    def apart(a, b):
+        return (a >> 8 != b >> 8) | (b - a > GAP)
+
     for batch in batches:
         if not len(batch):
             continue
         cell, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        head = np.concatenate([[True], cell[1:] != cell[:-1]])
+        head = np.concatenate([[True], apart(cell[:-1], cell[1:])])
         leader = rep[np.maximum.accumulate(np.where(head, np.arange(len(cell)), 0))]
-        if cell[0] == last_cell:
+        if last_cell is not None and not apart(last_cell, cell[0]):
             leader[: int(np.argmax(np.append(head[1:], True))) + 1] = first
         last_cell, first = cell[-1], leader[-1]
         pairs = np.unique(np.stack([rep, leader], axis=1)[rep != leader], axis=0)
@@ -463,6 +479,9 @@ def _blocks(split: DataFrame, edges: DataFrame | None, block: int) -> DataFrame:
     return small.union(staying).union(passing)
 
 
+#: Members (four numbers each) whose regions are sent to all tasks, 16 MB; those of more are joined by a shuffle of their sets.
+SENT_MEMBERS = 500_000
+
 #: Bits of the filter on member ids: 16 a member, in parts of 2^20, 2^29 (64 MB) at most. A full filter only lets more pass.
 FILTER_PART, FILTER_MOST = 20, 29
 
@@ -517,7 +536,8 @@ def _member_rows(docs: DataFrame, wanted: DataFrame, width: int, name: str, kind
     ids = F.col("doc_id").cast("long")
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(ids.alias("rep"), "text", F.xxhash64(ids).alias("h"))
     schema = T.StructType.fromDDL(f"rep long, f1 long, f2 long, n long, {name} {kind}")
-    found = texts.mapInArrow(run, schema).join(wanted, ["rep", "f1", "f2"]).select("rep", "region", "n", name)
+    sent = F.broadcast(wanted) if wanted.count() <= SENT_MEMBERS else wanted
+    found = texts.mapInArrow(run, schema).join(sent, ["rep", "f1", "f2"]).select("rep", "region", "n", name)
     out = materialize(found, name)
     bits.unpersist()
     return out
@@ -528,15 +548,17 @@ def links(docs: DataFrame, described_: DataFrame, width: int, percent: int, bloc
     reps = described_.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     sent = described_.filter("n > 0 AND doc_id IS NOT NULL").select(F.explode("cells").alias("cell"), "doc_id")
     share = min(1.0, SAMPLED / max(1, described_.agg(F.sum(F.size("cells"))).first()[0] or 0))
-    hot = sent.sample(share, seed=1).groupBy("cell").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= HOT).select("cell")
+    place = F.shiftright("cell", 8)  # without the step of the size
+    sent = sent.withColumn("place", place)
+    hot = sent.sample(share, seed=1).groupBy("place").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= HOT).select("place")
     hot = materialize(hot, "hot-cells")
     some = not hot.isEmpty()
     hot = F.broadcast(hot)  # at most 2 * SAMPLED / HOT rows
-    others = sent.join(hot, "cell", "left_anti") if some else sent
-    near = others.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_same_cell, "a long, b long")
+    others = sent.join(hot, "place", "left_anti") if some else sent
+    near = others.select("cell", "doc_id").repartition(place).sortWithinPartitions("cell", "doc_id").mapInArrow(_same_cell, "a long, b long")
     if some:
-        leaders = F.broadcast(materialize(sent.join(hot, "cell").groupBy("cell").agg(F.min("doc_id").alias("first")), "hot-leaders"))
-        near = near.union(sent.join(leaders, "cell").filter("doc_id <> first").select("doc_id", "first"))
+        leaders = F.broadcast(materialize(sent.join(hot, "place").groupBy("place").agg(F.min("doc_id").alias("first")), "hot-leaders"))
+        near = near.union(sent.join(leaders, "place").filter("doc_id <> first").select("doc_id", "first"))
     regions = connected(near)
     whole = regions.union(regions.select("component", "component").distinct()).select(F.col("id").alias("doc_id"), F.col("component").alias("region"))
     member = described_.filter("n > 0").select("doc_id", "f1", "f2").join(whole, "doc_id").groupBy("region", "f1", "f2").agg(F.min("doc_id").alias("rep"))

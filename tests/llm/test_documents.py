@@ -55,6 +55,24 @@ def test_jaccard(spark, width, percent, block):
     assert got == jaccard_groups(rows, width, percent)
 
 
+def test_jaccard_members_by_shuffle(spark, monkeypatch):
+    """Many members are joined by a shuffle, few by a broadcast: the same groups."""
+    monkeypatch.setattr(jaccard_join, "SENT_MEMBERS", 0)
+    rows = texts(4)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs, 4, 85).collect()}
+    assert got == jaccard_groups(rows, 4, 85)
+
+
+def test_sizes_that_link_have_near_steps():
+    for percent in (50, 80, 85, 99, 100):
+        step = lambda n: int(jaccard_join.sized(np.array([2**64 - 1], np.uint64), n, percent)[0] & np.uint64(255))  # noqa: B023, E731
+        for n in [*range(1, 400), 5000, 10**6, 10**9]:
+            most = 100 * n // percent
+            assert 0 <= step(most) - step(n) <= jaccard_join.GAP
+    assert int(jaccard_join.sized(np.array([2**64 - 1], np.uint64), 7, 80)[0]) >> 8 == 2**56 - 1
+
+
 def test_cells_meet():
     """Sets within the limit share a cell, whatever their sizes."""
     rng = np.random.default_rng(2)
