@@ -123,8 +123,14 @@ def page_finder(pages: list[dict]):
     return place
 
 
-def register(spark: SparkSession, name: str = "chunks_of", config: Config = DEFAULT) -> None:
-    """The chunker as a table function for SQL: SELECT ... FROM t, LATERAL chunks_of(t.text)."""
+def register(spark: SparkSession, name: str = "chunks_of", table_name: str = "chunk_table", config: Config = DEFAULT) -> None:
+    """The chunker for SQL, as two table functions.
+
+    Of a text:   SELECT ... FROM t, LATERAL chunks_of(t.text)
+    Of a table (its key and its text, in this order), in Arrow batches:   SELECT * FROM chunk_table(TABLE(SELECT doc_id, text FROM t))
+
+    Spark takes Arrow table functions with table arguments only, not in LATERAL, and with a fixed result: keys are strings.
+    """
     size, overlap = config.chunk_size, config.chunk_overlap
 
     class Chunks:
@@ -132,7 +138,21 @@ def register(spark: SparkSession, name: str = "chunks_of", config: Config = DEFA
             for i, (a, b) in enumerate(windows(text or "", size, overlap)):
                 yield i, text[a:b], a, b
 
+    class ChunkTable:
+        def eval(self, batch):
+            import pyarrow as pa
+
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+            names = ["doc_id", "chunk_index", "text", "char_start", "char_end"]
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                keys, texts = part.column(0).cast(pa.string()).to_pylist(), part.column(1).to_pylist()
+                found = [(key, i, text[a:b], a, b) for key, text in zip(keys, texts, strict=True) for i, (a, b) in enumerate(windows(text or "", size, overlap))]
+                if found:
+                    yield pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+
     spark.udtf.register(name, F.udtf(Chunks, returnType="chunk_index int, text string, char_start int, char_end int"))
+    spark.udtf.register(table_name, F.arrow_udtf(ChunkTable, returnType="doc_id string, chunk_index int, text string, char_start int, char_end int"))
 
 
 def chunk_id(doc_id, index):

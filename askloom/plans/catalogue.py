@@ -15,7 +15,7 @@ from askloom.operators import answer as an
 from askloom.operators import chunk, clean, graph, index, lifecycle, nearest, report, retrieve, vectorize
 from askloom.plans.oracles import ORACLES
 from askloom.schemas import DEFAULT
-from askloom.sources import buckets, readers, storage, versions
+from askloom.sources import buckets, folder, readers, storage, versions
 from askloom.streaming import jobs
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
@@ -192,6 +192,35 @@ def flatten_blocks(spark, d):
     return readers.flatten_blocks(blocks)
 
 
+def document_files(spark: SparkSession, d: str) -> str:
+    """The documents as files of a folder tree: every seventh without a byte, others of a kind that is refused, or hidden."""
+    path = storage.work_folder(spark, "files")
+    number = F.col("doc_id")
+    kind = F.when(number % 5 == 3, "md").when(number % 5 == 4, "TXT").otherwise("txt")
+    name = F.concat(F.format_string("part-%d/", number % 7), F.when(number % 11 == 0, ".").otherwise(""), F.format_string("%d.", number), kind)
+    content = F.when(number % 7 == 2, F.lit("")).otherwise(F.coalesce("text", F.lit(""))).cast("binary")
+    folder.write_files(table(spark, d, "documents").select(name.alias("filename"), content.alias("content")), path).first()
+    return path
+
+
+#: Files above 4 KB are too large in the queries of folders.
+SMALL_FILES = replace(DEFAULT, max_upload_bytes=4096)
+
+
+@query
+def scanned_folder(spark, d):
+    """All files of a folder, with the reason why they are refused, and the digest of those that are read."""
+    files = folder.scan(spark, document_files(spark, d), SMALL_FILES)
+    return files.select("filename", "extension", "size_bytes", "code", F.sha2("content", 256).alias("digest"))
+
+
+@query
+def folder_rejects(spark, d):
+    """What is refused of a folder's files, blank texts included, and what is taken."""
+    good, rejects = folder.ingested(folder.scan(spark, document_files(spark, d), SMALL_FILES), SMALL_FILES)
+    return good.select("filename", F.lit("accepted").alias("code")).union(rejects.select("filename", "code"))
+
+
 @query
 def format_dispatch(spark, d):
     """A third of the documents as text files, a third as pages, the rest as blocks or an unknown format."""
@@ -247,6 +276,22 @@ def decoded_texts(spark, d):
     return readers.text_segments(files).select("doc_id", F.length("text").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
+@query
+def chunks_in_sql(spark, d):
+    """The table function of a table, in SQL: Arrow batches in, chunks out."""
+    chunk.register(spark)
+    cleaned = clean.whole_documents(segments(spark, d))
+    return spark.sql("SELECT doc_id, chunk_index, text, char_start, char_end FROM chunk_table(TABLE(SELECT doc_id, clean_text FROM {cleaned}))", cleaned=cleaned)
+
+
+@query
+def chunks_by_lateral(spark, d):
+    """The table function of a text, in a lateral join."""
+    chunk.register(spark)
+    cleaned = clean.whole_documents(segments(spark, d))
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.text, c.char_start, c.char_end FROM {cleaned} d, LATERAL chunks_of(d.clean_text) c", cleaned=cleaned)
+
+
 @query
 def chunk_invariants(spark, d):
     """Documents whose chunks break a rule (none should): exact offsets, size, dense numbering."""

@@ -156,6 +156,10 @@ labelled AS (
 _LATENCY = """SELECT count(*) AS questions_asked, coalesce(round(avg(value), 2), 0.0) AS average_response_time_ms, round(min(value), 2) AS fastest_response_ms,
 round(max(value), 2) AS slowest_response_ms, max(ts) AS last_question_at FROM events"""
 
+_FILES = """contents AS (SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN '' ELSE coalesce(text, '') END AS content, CASE doc_id % 5 WHEN 3 THEN 'md' WHEN 4 THEN 'TXT' ELSE 'txt' END AS ext FROM documents WHERE doc_id % 11 <> 0),
+files AS (SELECT doc_id || '.' || ext AS filename, ext, content, strlen(content) AS size_bytes,
+                 CASE WHEN ext = 'md' THEN 'unsupported_file_type' WHEN strlen(content) > 4096 THEN 'file_too_large' WHEN content = '' THEN 'empty_file' END AS code FROM contents)"""
+
 _RECENT_LATENCY = _LATENCY.replace("FROM events", "FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)")
 
 _VERSIONS = """known AS (SELECT doc_id, 'known' AS version FROM documents WHERE doc_id % 3 <> 0),
@@ -360,5 +364,9 @@ ORACLES = {
         SELECT vec_id, round(sqrt(list_dot_product(e, e)) / n, 4) AS norm, round(e[1] / n, 4) AS first, round(e[64] / n, 4) AS last FROM lengths""",
     "stream_versions": f"{_CHUNKS} SELECT doc_id || '::' || lpad(chunk_index::VARCHAR, 5, '0') AS chunk_id, text FROM chunks WHERE doc_id % 5 <> 0",
     "stream_recent_latency": _RECENT_LATENCY,
+    "chunks_in_sql": f"{_CHUNKS} SELECT doc_id::VARCHAR AS doc_id, chunk_index, text, char_start, char_end FROM chunks",
+    "chunks_by_lateral": f"{_CHUNKS} SELECT doc_id::VARCHAR AS doc_id, chunk_index, text, char_start, char_end FROM chunks",
+    "scanned_folder": f"WITH {_FILES} SELECT filename, lower(ext) AS extension, size_bytes, code, CASE WHEN code IS NULL THEN sha256(content) END AS digest FROM files",
+    "folder_rejects": f"WITH {_FILES} SELECT filename, coalesce(code, CASE WHEN {_strip('content')} = '' THEN 'empty_file' ELSE 'accepted' END) AS code FROM files",
     "stream_chunks": f"{_CHUNKS} SELECT doc_id || '::' || lpad(chunk_index::VARCHAR, 5, '0') AS chunk_id, text, 384 AS width FROM chunks",
 }

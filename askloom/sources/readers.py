@@ -17,9 +17,10 @@ _CP1252 = {
 
 
 def scan_corpus(spark: SparkSession, path: str, config: Config = DEFAULT) -> DataFrame:
-    """(filename, extension, size_bytes, modified, content) of the files with an allowed extension.
+    """(filename, extension, size_bytes, modified, content) of the files with an allowed extension, by Spark's file reader.
 
-    Dot files are skipped; so are files of no bytes, which Spark's file reader does not list.
+    Dot files are skipped; so are files of no bytes, which that reader does not list: `folder.scan` does, and reads no
+    file that will be refused.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = files.select(tx.basename(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")

@@ -82,3 +82,48 @@ def test_stream_replays_do_not_double(spark, tmp_path):
 def test_page_counts(spark):
     segments = spark.createDataFrame([("d", 1, " "), ("d", 2, "x"), ("e", 1, None)], "doc_id string, page int, text string")
     assert {r["doc_id"]: (r["page_count"], r["blank"]) for r in readers.page_counts(segments).collect()} == {"d": (2, False), "e": (1, True)}
+
+
+def test_folder_scan(spark, tmp_path):
+    """Files of no bytes and too large ones are listed and not opened; hidden files and folders are not listed."""
+    from dataclasses import replace
+
+    from askloom.schemas import DEFAULT
+    from askloom.sources import folder
+
+    files = {
+        "a.txt": b"words here", "deep/er/b.TXT": b"more words", "deep/empty.txt": b"", "deep/blank.txt": b" \n\t", "big.txt": b"x" * 101, "c.md": b"no", ".d.txt": b"hidden",
+        ".git/e.txt": b"hidden", "f": b"no extension", "g.pdf": b"%PDF", "sp ace/ü.txt": "grün".encode(),
+    }
+    rows = spark.createDataFrame([(n, bytearray(c)) for n, c in files.items()], "filename string, content binary").repartition(3)
+    assert tuple(folder.write_files(rows, f"{tmp_path}/in").first()) == (len(files), sum(map(len, files.values())))
+    for locked in ("deep/empty.txt", "big.txt", "c.md"):
+        (tmp_path / "in" / locked).chmod(0)
+    config = replace(DEFAULT, max_upload_bytes=100)
+    for least in (1, folder.LEAST):
+        folder.FolderReader(f"{tmp_path}/in", least).partitions()
+    got = {r["path"].removeprefix(f"{tmp_path}/in/"): r for r in folder.scan(spark, f"file://{tmp_path}/in", config).collect()}
+    code = {k: r["code"] for k, r in got.items()}
+    assert code == {
+        "a.txt": None, "deep/er/b.TXT": None, "deep/empty.txt": "empty_file", "deep/blank.txt": None, "big.txt": "file_too_large", "c.md": "unsupported_file_type",
+        "f": "unsupported_file_type", "g.pdf": None, "sp ace/ü.txt": None,
+    }
+    assert all((r["content"] is None) == (r["code"] is not None) and (r["content"] is None or bytes(r["content"]) == files[k]) for k, r in got.items())
+    good, rejects = folder.ingested(folder.scan(spark, f"{tmp_path}/in", config), config)
+    assert sorted(r["text"] for r in good.collect()) == ["grün", "more words", "words here"]
+    assert {r["filename"]: r["code"] for r in rejects.collect()}["blank.txt"] == "empty_file"
+    (tmp_path / "none").mkdir()
+    assert folder.scan(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_wide_tree_is_listed_by_tasks(spark, tmp_path):
+    from askloom.sources import folder
+
+    for k in range(9):
+        (tmp_path / f"d{k % 3}" / f"e{k}").mkdir(parents=True)
+        (tmp_path / f"d{k % 3}" / f"e{k}" / "x.txt").write_text("x")
+        (tmp_path / f"d{k % 3}" / f"{k}.txt").write_text("y")
+    parts = folder.FolderReader(str(tmp_path), 5).partitions()
+    assert len(parts) == 1 + 3 + 9
+    listed = [r["path"] for r in folder.listing(spark, str(tmp_path)).collect()]
+    assert len(listed) == len(set(listed)) == 18
