@@ -228,9 +228,8 @@ def in_documents(vectors: DataFrame, queries: DataFrame, document: str = "doc_id
     the join is on the bucket, too, so that Spark prunes the folders when it runs."""
     from askloom.sources import buckets
 
-    wanted = queries.filter("document_id <> ''").select(F.col("document_id").cast("string").alias(document)).distinct()
-    keys, like = [document], vectors.schema[document].dataType
-    wanted = wanted.select(F.col(document).cast(like).alias(document))
+    named = F.col("document_id").cast("string")
+    wanted, keys = queries.filter(named != "").select(named.try_cast(vectors.schema[document].dataType).alias(document)).distinct(), [document]
     if buckets.BUCKET in vectors.columns:
         n = buckets.number_of(vectors)
         wanted, keys = wanted.withColumn(buckets.BUCKET, buckets.bucket_of(F.col(document), n)), [buckets.BUCKET, document]

@@ -46,9 +46,13 @@ class HashingModel:
         self.words: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], int] = {}
 
+    def value(self, feature: str) -> int:
+        """The feature's hash, of 64 bits: the highest is the sign, the rest of the division by the dimension is the bucket."""
+        return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+
     def number(self, feature: str) -> int:
         if (found := self.numbers.get(feature)) is None:
-            value = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+            value = self.value(feature)
             self.buckets.append(value % self.dimension)
             self.signs.append(1.0 if value >> 63 else -1.0)
             found = self.numbers[feature] = len(self.numbers)
@@ -82,6 +86,17 @@ class HashingModel:
         return out
 
 
+class Md5Model(HashingModel):
+    """The same with the first half of md5 in place of blake2b, as hashed_md5 has it: for engines without blake2b."""
+
+    def __init__(self, *args, **options) -> None:
+        super().__init__(*args, **options)
+        self.name += "-md5"
+
+    def value(self, feature: str) -> int:
+        return int.from_bytes(hashlib.md5(feature.encode(), usedforsecurity=False).digest()[:8], "big")
+
+
 def embed(rows: DataFrame, column: str = "text", model: Callable[[], Model] = HashingModel, batch: int = 32, name: str = "embedding") -> DataFrame:
     """rows with the vector of a text column. `model` makes the model, once in each task; it gets lists of `batch` texts."""
 

@@ -537,13 +537,10 @@ def sentence_scores(spark, d):
     return rows.filter(F.length("sentence") > DEFAULT.min_sentence_chars).select("doc_id", "pos", F.round(an.sentence_score(F.col("terms"), body, label), 6).alias("score"))
 
 
-def hits_of_items(spark: SparkSession, d: str) -> DataFrame:
+def hits_of_items(spark: SparkSession, d: str, model=vectorize.HashingModel) -> DataFrame:
     """Benchmark items searched in the chunked corpus."""
-    made = chunk.chunk_documents(segments(spark, d))
-    vectors = vectorize.embed(made.withColumn("embed_text", vectorize.title_aware(F.col("text"), F.col("filename"))), "embed_text").drop("embed_text")
-    path = storage.work_folder(spark, "vectors")
-    vectors.write.parquet(path)
-    return retrieve.retrieve(asked(spark, d), spark.read.parquet(path))
+    vectors = lifecycle.embedded(chunk.chunk_documents(segments(spark, d)), model)
+    return retrieve.retrieve(asked(spark, d), storage.materialize(vectors, "vectors"), model=model)
 
 
 @query
@@ -608,6 +605,46 @@ def answers(spark, d):
     return an.answer(asked(spark, d), spark.read.parquet(path), table(spark, d, "documents").count())
 
 
+@query
+def retrieved_chunks_md5(spark, d):
+    """retrieved_chunks with the model that SQL has, too."""
+    return hits_of_items(spark, d, vectorize.Md5Model).select("question_id", "rank", "chunk_id", "score", "is_reference", "token_estimate", "snippet")
+
+
+@query
+def answers_md5(spark, d):
+    """The flagship with the model that SQL has, too."""
+    hits = storage.materialize(hits_of_items(spark, d, vectorize.Md5Model), "retrieved")
+    out = an.answer(asked(spark, d), hits, table(spark, d, "documents").count())
+    return out.select("question_id", "answer", "grounded", "abstained", "reason", "confidence", "confidence_label", "coverage", "returned", "top_score", "average_score", F.size("sources").alias("n_sources"))
+
+
+@query
+def plugged_answers(spark, d):
+    """A model of one's own over the prompts of the conversations' questions: it says how long a prompt it got, and is asked
+    only where the gate lets a question pass."""
+    asked_ = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
+    out = an.answer(asked_, turns(spark, d).join(asked_, "question_id"), table(spark, d, "documents").count(), model=lambda: lambda prompts: [f"{len(p)} characters" for p in prompts])
+    return out.select("question_id", "answer", "grounded", "reason")
+
+
+class Sizes:
+    """A model of two numbers a text: its characters and its words."""
+
+    name = "sizes"
+
+    def __call__(self, texts):
+        return [[float(len(t)), float(len(t.split()))] for t in texts]
+
+
+@query
+def plugged_vectors(spark, d):
+    """A model of one's own in the place of the hashing one."""
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("a "), F.coalesce("text", F.lit(""))).alias("text"))
+    made = vectorize.embed(rows, "text", Sizes, batch=7)
+    return made.select("doc_id", F.get("embedding", F.lit(0)).cast("long").alias("characters"), F.size("embedding").alias("width"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d)
 

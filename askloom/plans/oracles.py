@@ -153,6 +153,46 @@ told AS (
 labelled AS (
   SELECT *, CASE WHEN NOT grounded THEN 'Not grounded in documents' WHEN confidence >= 0.70 THEN 'High confidence' WHEN confidence >= 0.45 THEN 'Moderate confidence' WHEN confidence >= 0.25 THEN 'Low confidence' ELSE 'Very low confidence' END AS confidence_label FROM told)"""
 
+
+def _unit(p: str, source: str) -> str:
+    """CTEs from source(id, text) to {p}unit(id, bucket, x): vectors of hashed features as the stored table has them, in
+    single precision and then of length one."""
+    return rf"""{p}toks AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {source}),
+{p}feats AS (
+  SELECT id, unnest(list_concat(list_transform(w, lambda t: 'w:' || t), list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || '_' || w[i + 1]))) AS feature FROM {p}toks
+  UNION ALL SELECT id, 'c:' || substr(p, i, 3) FROM (SELECT id, p, unnest(range(1, greatest(1, length(p) - 2) + 1)) AS i
+    FROM (SELECT id, CASE WHEN length(t) >= 3 THEN '^' || t || '$' ELSE t END AS p FROM (SELECT id, unnest(w) AS t FROM {p}toks)))),
+{p}tf AS (SELECT id, feature, count(*) AS n FROM {p}feats GROUP BY ALL),
+{p}hashed AS (SELECT feature, (('0x' || substr(md5(feature), 1, 16))::UBIGINT % 384)::INT AS bucket, CASE WHEN substr(md5(feature), 1, 1) >= '8' THEN 1.0 ELSE -1.0 END AS sign FROM (SELECT DISTINCT feature FROM {p}tf)),
+{p}sums AS (SELECT id, bucket, sum(sign * (1 + ln(n))) AS w FROM {p}tf JOIN {p}hashed USING (feature) GROUP BY ALL),
+{p}norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM {p}sums GROUP BY id HAVING sqrt(sum(w * w)) > 1e-12),
+{p}stored AS (SELECT id, bucket, (w / norm)::FLOAT::DOUBLE AS x FROM {p}sums JOIN {p}norms USING (id) UNION ALL SELECT id, 0, 1.0 FROM {source} WHERE id NOT IN (SELECT id FROM {p}norms)),
+{p}unit AS (SELECT id, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM {p}stored)"""
+
+
+# Questions against the chunked corpus: the 20 best by cosine, demoted, those above the floor, the 5 best of them.
+_RETRIEVED = f"""{_CHUNKS}, {_ASKED},
+c_texts AS (
+  SELECT c.doc_id || '::' || lpad(chunk_index::VARCHAR, 5, '0') AS id, d.source || ' ' || c.doc_id || ' ' || d.source || ' ' || c.doc_id || {_NL} || {_NL} || c.text AS text, c.text AS body, c.is_reference, c.chunk_index,
+         c.doc_id::VARCHAR AS doc_id, d.source || '_' || c.doc_id || '.txt' AS filename FROM chunks c JOIN documents d ON d.doc_id = c.doc_id),
+q_texts AS (SELECT question_id AS id, question AS text FROM asked),
+{_unit('c_', 'c_texts')},
+{_unit('q_', 'q_texts')},
+v_scores AS (SELECT q.id AS question_id, c.id AS chunk_id, round(sum(q.x * c.x), 6) AS score FROM q_unit q JOIN c_unit c USING (bucket) GROUP BY ALL),
+v_fetched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS r FROM v_scores) WHERE r <= 20),
+v_demoted AS (SELECT f.question_id, f.chunk_id, f.score AS raw, round(CASE WHEN is_reference THEN f.score * 0.35::DOUBLE ELSE f.score END, 4) AS score, is_reference, body, doc_id, filename, chunk_index FROM v_fetched f JOIN c_texts t ON t.id = f.chunk_id),
+turns AS (
+  SELECT question_id, rank::INT AS rank, chunk_id, doc_id, filename, chunk_index, NULL::INT AS page, body AS text, score, is_reference
+  FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, raw DESC, chunk_id) AS rank FROM v_demoted WHERE score >= 0.05) WHERE rank <= 5)"""
+# The answer job over them.
+_ANSWERED = (
+    _RETRIEVED + ",\n" + _ANSWERS[_ANSWERS.index("contexts AS"):]
+    .replace("SELECT conv_id AS question_id, text AS question FROM conversations WHERE turn = 0", "SELECT question_id, question FROM asked")
+    .replace("(SELECT conv_id AS question_id, round(1::DOUBLE / (turn + 1), 4) AS score FROM conversations)", "turns")
+    # halves of four places are rounded up, as in decimal arithmetic
+    .replace("round(blended * 0.5, 4)", "round((blended * 0.5)::DECIMAL(18, 8), 4)::DOUBLE")
+)
+
 _LATENCY = """SELECT count(*) AS questions_asked, coalesce(round(avg(value), 2), 0.0) AS average_response_time_ms, round(min(value), 2) AS fastest_response_ms,
 round(max(value), 2) AS slowest_response_ms, max(ts) AS last_question_at FROM events"""
 
@@ -368,5 +408,13 @@ ORACLES = {
     "chunks_by_lateral": f"{_CHUNKS} SELECT doc_id::VARCHAR AS doc_id, chunk_index, text, char_start, char_end FROM chunks",
     "scanned_folder": f"WITH {_FILES} SELECT filename, lower(ext) AS extension, size_bytes, code, CASE WHEN code IS NULL THEN sha256(content) END AS digest FROM files",
     "folder_rejects": f"WITH {_FILES} SELECT filename, coalesce(code, CASE WHEN {_strip('content')} = '' THEN 'empty_file' ELSE 'accepted' END) AS code FROM files",
+    "retrieved_chunks_md5": f"{_RETRIEVED} SELECT question_id, rank, chunk_id, score, is_reference, greatest(1, length(text) // 4)::INT AS token_estimate, {_truncate(_squeeze('text'), 260)} AS snippet FROM turns",
+    "answers_md5": f"{_ANSWERED} SELECT * EXCLUDE (question) FROM labelled",
+    "sentence_dedupe": f"WITH {_ANSWERS} SELECT question_id, r.rank::INT AS rank, r.pos::INT AS pos, r.sentence AS sentence FROM (SELECT question_id, unnest(rows) AS r FROM distinct_rows)",
+    "extractive_answers": f"""WITH {_ANSWERS.replace("FROM gated WHERE reason = 'answered'", "FROM gated")} SELECT h.question_id, CASE WHEN coalesce(made, '') = '' THEN {_q(NO_ANSWER)} ELSE made END AS answer
+        FROM (SELECT DISTINCT question_id FROM hit_sentences) h LEFT JOIN fitted f ON f.question_id = h.question_id""",
+    "plugged_answers": f"""WITH {_ANSWERS}, lengths AS (SELECT c.question_id, length({_q(INSTRUCTION)} || 'Context:' || {_NL} || c.context || {_NL} || {_NL} || 'Question:' || {_NL} || {_strip('q.question')} || {_NL} || {_NL} || 'Answer:') AS n FROM contexts c JOIN questions q ON q.question_id = c.question_id)
+        SELECT g.question_id, CASE WHEN reason = 'answered' THEN n || ' characters' WHEN reason = 'empty corpus' THEN {_q(EMPTY_CORPUS)} ELSE {_q(NO_ANSWER)} END AS answer, reason = 'answered' AS grounded, reason FROM gated g JOIN lengths l ON l.question_id = g.question_id""",
+    "plugged_vectors": "SELECT doc_id, length(coalesce(text, '')) + 2 AS characters, 2 AS width FROM documents",
     "stream_chunks": f"{_CHUNKS} SELECT doc_id || '::' || lpad(chunk_index::VARCHAR, 5, '0') AS chunk_id, text, 384 AS width FROM chunks",
 }
