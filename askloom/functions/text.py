@@ -1,22 +1,25 @@
-"""Column functions on text: cleaning, tokens, names and display labels. All stay in the JVM."""
+"""Column functions on text: cleaning, tokens, names and display labels. All stay in the JVM, but for names with characters
+beyond ASCII."""
 
 from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askloom.schemas import DEFAULT, STOP_WORDS
 
 # Characters that cleaning replaces by one character, removes, or spells out.
 _ONE_TO_ONE = {
-    " ": " ", " ": " ", " ": " ",
-    "‘": "'", "’": "'", "“": '"', "”": '"',
-    "–": "-", "—": "-", "−": "-",
+    "\u00a0": " ", "\u2007": " ", "\u202f": " ",
+    "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"',
+    "\u2013": "-", "\u2014": "-", "\u2212": "-",
 }
-_REMOVED = "­​﻿"
-_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl"}
+_REMOVED = "\u00ad\u200b\ufeff"
+_LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl"}
 
 # Shapes of lines (page markers, rules, headings, citation entries, bibliography headings).
 PAGE_MARKER = r"(?i)^\s*(?:page\s+)?\d+\s*(?:of|/)\s*\d+\s*$"
@@ -173,10 +176,20 @@ def plain_letters(text: Column, mark: str = "") -> Column:
     return F.translate(marked, "".join(_LETTERS), "".join(_LETTERS.values()))
 
 
+@F.arrow_udf(T.StringType())
+def _compatible(names: pa.Array) -> pa.Array:
+    return pa.array([None if n is None else unicodedata.normalize("NFKD", n) for n in names.to_pylist()], pa.string())
+
+
+def decomposed(text: Column) -> Column:
+    """The compatibility form: accents part from their letters, ligatures and fractions into several. Only texts with
+    characters beyond ASCII leave the JVM."""
+    return F.coalesce(_compatible(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def safe_filename(name: Column, fallback: str = "upload") -> Column:
-    """Base name of safe characters. Accents part from their letters, as in the decomposed form, and become underscores;
-    of characters that decompose into several (ligatures, fractions) nothing is kept."""
-    base = F.regexp_replace(plain_letters(strip(basename(name)), "\u0301"), r"[^A-Za-z0-9._-]+", "_")
+    """Base name of safe characters, of the decomposed name: accents become underscores."""
+    base = F.regexp_replace(decomposed(strip(basename(name))), r"[^A-Za-z0-9._-]+", "_")
     base = F.regexp_replace(F.regexp_replace(base, "_{2,}", "_"), r"^[._]+|[._]+$", "")
     base = F.substring(base, 1, 180)
     return F.when(F.length(base) > 0, base).otherwise(F.lit(fallback))
@@ -211,7 +224,7 @@ def human_size(size: Column) -> Column:
 
 
 def slugify(value: Column, limit: int = 64) -> Column:
-    ascii_ = F.regexp_replace(plain_letters(value), r"[^\x00-\x7F]", "")
+    ascii_ = F.regexp_replace(decomposed(value), r"[^\x00-\x7F]", "")
     slug = F.lower(F.regexp_replace(F.regexp_replace(ascii_, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
     slug = F.substring(slug, 1, limit)
     return F.regexp_replace(F.when(slug == "", F.lit("item")).otherwise(slug), "_+$", "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as tx
 from askloom.schemas import DEFAULT, HISTORY, REGISTRY, Config
+from askloom.sources import versions
 
 # The characters that windows-1252 has at bytes 0x80 to 0x9F; five bytes have none.
 _CP1252 = {
@@ -144,8 +145,10 @@ def dispatch(files: DataFrame, pages: DataFrame, blocks: DataFrame, config: Conf
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; entries that do not parse are skipped."""
-    return spark.read.schema(REGISTRY).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines; entries that do not parse are skipped. Of a folder that write_registry wrote, the newest version."""
+    info = versions.manifest(spark, path)
+    place = f"{path}/data/{info['folders'][0]}" if info else path
+    return spark.read.schema(REGISTRY).option("mode", "DROPMALFORMED").json(place)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -153,9 +156,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_registry(registry: DataFrame, path: str) -> None:
-    """The registry as JSON lines, newest first: files in order, each in order."""
+    """The registry as JSON lines, newest first: files in order, each in order. A new version: the rows may come from the
+    stored registry itself, and a failed job leaves that as it was."""
+    spark, after, folder = registry.sparkSession, versions.current(registry.sparkSession, path), versions.new_folder()
     in_order = registry.select([f.name for f in REGISTRY if f.name in registry.columns])
-    in_order.orderBy(F.desc("uploaded_at"), "id").write.mode("overwrite").json(path)
+    in_order.orderBy(F.desc("uploaded_at"), "id").write.json(f"{path}/data/{folder}")
+    versions.commit(spark, path, {"folders": [folder]}, after)
 
 
 def append_history(entries: DataFrame, path: str) -> None:

@@ -27,10 +27,15 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables above this many bytes are read as they are stored.
+SMALL_TABLE = 256 << 20
+
+
 def spread_out(df: DataFrame) -> DataFrame:
-    """A stored table with less than a split for each core is dealt to all cores; larger ones are left as they are."""
+    """A small stored table with less than a split for each core (one file, one row group) is dealt to all cores; others are
+    left as they are, whatever the number of cores."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(cores) if size < min(cores * split, SMALL_TABLE) else df

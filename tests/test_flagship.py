@@ -123,6 +123,26 @@ def test_names_with_accents(one):
     assert one(tx.plain_letters, "Ａ²Ł") == "A2Ł"
 
 
+def test_names_that_decompose_into_several(one):
+    """As the compatibility form has them: ligatures, fractions, roman numerals, letters with several marks."""
+    import unicodedata
+
+    for name in ("ﬁnal ½ cut.txt", "Ⅻ chapters.pdf", "ǖber ㎏ №5.txt", "日本語.txt", "plain name.txt", "ß ẛ̣.txt"):
+        form = unicodedata.normalize("NFKD", name)
+        want = re.sub("_{2,}", "_", re.sub("[^A-Za-z0-9._-]+", "_", form)).strip("._")[:180] or "upload"
+        assert one(tx.safe_filename, name) == want
+        slug = re.sub("[^a-zA-Z0-9]+", "_", form.encode("ascii", "ignore").decode()).strip("_").lower()
+        assert one(tx.slugify, name) == (slug[:64] or "item").rstrip("_")
+
+
+def test_a_registry_is_stored_from_itself(spark, tmp_path):
+    rows = spark.createDataFrame([(str(k), "ready") for k in range(9)], "id string, status string").withColumn("uploaded_at", F.lit("2024-01-01").cast("timestamp"))
+    path = str(tmp_path / "r")
+    readers.write_registry(rows, path)
+    readers.write_registry(readers.read_registry(spark, path).withColumn("status", F.lit("error")), path)
+    assert {(r["id"], r["status"]) for r in readers.read_registry(spark, path).collect()} == {(str(k), "error") for k in range(9)}
+
+
 def test_prompts(spark):
     made = answer.prompts(spark.createDataFrame([("q?", "c" * 5000)], "question string, context string")).first()
     assert made["prompt"] == made["system"] + made["user"] and len(made["preview"]) == 4000 and made["preview"].endswith("...")
