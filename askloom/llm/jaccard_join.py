@@ -34,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,8 +111,6 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     from askloom.llm.token_store import batches_of
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for a, b in batches_of(batch.column(1)):
                 n, f1, f2, where = [], [], [], []
@@ -129,8 +128,6 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def _same_cell(batches):
     """Rows (cell, rep) in order -> (rep, first rep of its run) for all but the first, each pair once a batch. A run ends with
     its cell, or where the sizes have a gap that no link spans."""
-    import pyarrow as pa
-
     last_cell, first = None, None
 
     def apart(a, b):
@@ -177,8 +174,6 @@ def _compatible(percent: int):
         return ids[moved], ids[label[moved]]
 
     def run(batches):
-        import pyarrow as pa
-
         at, n, ids, odd = None, [], [], []
         for batch in batches:
             a, b = [], []
@@ -326,8 +321,6 @@ def _joined(percent: int):
     """Rows (region, block, visits, doc_id, shingles), in order: a block's own members first, then what passes by."""
 
     def run(batches):
-        import pyarrow as pa
-
         at, ids, sets, block = None, [], [], None
 
         def result():
@@ -394,8 +387,6 @@ def _pivoted(members: DataFrame, big: DataFrame, percent: int, block: int) -> Da
     salted = of.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).withColumn("pivot", F.lit(1)).select(columns)
 
     def run(batches):
-        import pyarrow as pa
-
         at, ids, sets, lists = None, [], [], None
         for batch in batches:
             rows = []
@@ -493,8 +484,6 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     place = F.pmod(F.xxhash64("rep"), F.lit(size))
 
     def fill(batches):
-        import pyarrow as pa
-
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
             at = batch.column(0).to_numpy()
@@ -518,7 +507,6 @@ def _member_rows(docs: DataFrame, wanted: DataFrame, width: int, name: str, kind
     bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
 
     def run(batches):
-        import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
         from askloom.llm.token_store import batches_of
@@ -603,6 +591,25 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOC
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose doc_id and text hash are among keys(_id, _hash), a written table; the other rows). Keys of up to
+    SENT_MEMBERS rows go to all tasks; of more, a filter on their ids does, and only the texts that pass it are shuffled."""
+    same = [F.col("doc_id").cast("long").eqNullSafe(keys["_id"]), F.xxhash64("text") == keys["_hash"]]
+    if keys.count() <= SENT_MEMBERS:
+        sent = F.broadcast(keys)
+        return docs.join(sent, same, "left_semi"), docs.join(sent, same, "left_anti")
+    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(keys.select(F.col("_id").alias("rep"))))
+
+    @F.arrow_udf(T.BooleanType())
+    def known(hashes: pa.Array) -> pa.Array:
+        at = hashes.to_numpy(zero_copy_only=False) & (8 * len(bits.value) - 1)
+        return pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    passed = known(F.xxhash64(F.col("doc_id").cast("long")))
+    some = docs.filter(passed)
+    return some.join(keys, same, "left_semi"), docs.filter(~passed).union(some.join(keys, same, "left_anti"))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row, with all its columns, of each group: with the smallest doc_id, then the smallest hash of the text.
 
@@ -620,19 +627,17 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     repeated = materialize(both.select("t.doc_id", "text_hash", (F.col("text_hash") == F.col("first")).alias("stays"), "rows"), "repeated")
     extra = marks.filter("doc_id <> component").select("doc_id", "text_hash").distinct().union(repeated.filter("NOT stays").select("doc_id", "text_hash"))
 
-    def same(other: DataFrame) -> list:
-        return [F.col("doc_id").cast("long").eqNullSafe(other["_id"]), F.xxhash64("text") == other["_hash"]]
-
     def keys(df: DataFrame) -> DataFrame:
         return df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
 
     gone = materialize(keys(extra), "copies")
     release(marks)
-    out = docs.join(gone, same(gone), "left_anti").select(docs.columns)
+    out = _parted(docs, gone)[1].select(docs.columns)
     once = keys(repeated.filter("stays AND rows > 1"))
     if once.isEmpty():
         return out
+    again, others = _parted(out, materialize(once, "repeated-once"))
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     of_text = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*hashed))
-    single = out.join(once, same(once), "left_semi").withColumn("_k", F.row_number().over(of_text)).filter("_k = 1")
-    return out.join(once, same(once), "left_anti").select(docs.columns).union(single.select(docs.columns))
+    first = again.withColumn("_k", F.row_number().over(of_text)).filter("_k = 1")
+    return others.select(docs.columns).union(first.select(docs.columns))

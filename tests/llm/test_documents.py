@@ -64,6 +64,15 @@ def test_jaccard_members_by_shuffle(spark, monkeypatch):
     assert got == jaccard_groups(rows, 4, 85)
 
 
+def test_keeps_one_by_filter(spark, monkeypatch):
+    """Of many copies only the texts that a filter on ids lets pass are shuffled: the same rows stay."""
+    rows = [*texts(5), *texts(5)[:40], (None, texts(5)[0][1]), (None, texts(5)[0][1])]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = sorted(map(str, jaccard_join.one_of_each(docs, 4, 85).collect()))
+    monkeypatch.setattr(jaccard_join, "SENT_MEMBERS", 0)
+    assert sorted(map(str, jaccard_join.one_of_each(docs, 4, 85).collect())) == want
+
+
 def test_sizes_that_link_have_near_steps():
     for percent in (50, 80, 85, 99, 100):
         step = lambda n: int(jaccard_join.sized(np.array([2**64 - 1], np.uint64), n, percent)[0] & np.uint64(255))  # noqa: B023, E731
