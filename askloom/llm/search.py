@@ -40,7 +40,7 @@ from askloom.llm._store import locate, publish
 
 TOP, BLOCK_WORDS = 10, 400_000
 #: Vectors in a bucket and in a run of a task, entries of a run, terms that are added up exactly, and vectors that are to be searched first.
-BUCKET, RUN, RUN_ENTRIES, FOCUS, FIRST = 1024, 8192, 2_000_000, 6, 4096
+BUCKET, RUN, RUN_ENTRIES, FOCUS, FIRST = 1024, 8192, 2_000_000, 32, 4096
 #: Bounds are doubles: they are raised by more than their error.
 SLACK = 1 + 1e-9
 
