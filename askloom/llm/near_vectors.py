@@ -3,8 +3,8 @@
 Equal vectors are one point with a count. A coarse quantiser deals the points of a label into inverted lists of about
 LIST_SIZE, so that a label has as many as its size needs (a power of FOUR, MAX_LISTS at most); a point is also sent to every
 list whose border is within `reach` of it, which finds a pair unless its difference points along that border's normal more
-than `reach` (reach = 1 finds every pair; the default is 0.6 of the radius, about five standard deviations for differences
-without a direction in 64 dimensions). In a list, codes of the residuals in eight subspaces give table-lookup distances; as
+than `reach` (reach = 1, the default, finds every pair; 0.6 of the radius is about five standard deviations for differences
+without a direction in 64 dimensions, and sends fewer copies). In a list, codes of the residuals in eight subspaces give table-lookup distances; as
 the error of each code is stored, no pair within the radius is lost there. Exact cosines in double precision decide.
 
 The quantisers, one for each number of lists, are fitted on one bounded sample (SAMPLE rows and SAMPLE_BYTES at most, the
@@ -152,7 +152,7 @@ def _points(vectors: DataFrame) -> DataFrame:
     return vectors.filter(fine).select("vec_id", "label", zeroed.alias("embedding")).withColumn("group", F.xxhash64("label", F.size("embedding"))).withColumn("key", F.struct("group", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2")))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, reach: float = 0.6) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, reach: float = 1.0) -> DataFrame:
     """vectors(vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     rows = materialize(_points(vectors), "vectors")
