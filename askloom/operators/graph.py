@@ -11,6 +11,10 @@ upper edges, and from there over all. It holds the `beam` best vectors it has me
 ends when there are none, or when it has met `most` vectors of the shard: that many are its
 candidates at most. Scores are exact. A query meets vectors of its own width only. k hits a query and task are shuffled.
 
+Exact search: the k-th score that a walk (or an earlier shard of the task) gave is a query's bar. The vectors of a shard are
+parted by their nearest pivots, one in STEP vectors; a query is multiplied with those of every pivot whose angle and radius
+let a vector reach the bar, so nothing is missed. What the walk met doesn't limit it.
+
 Queries with a document are for `nearest.knn_stored`, which is exact and reads that document's buckets only.
 """
 
@@ -30,6 +34,8 @@ from askloom.sources import storage
 SHARD, NEAR, EDGES, MOST_EDGES, AT_ONCE = 16_384, 48, 16, 32, 256
 #: Vectors for one with upper edges, width of the beam, vectors expanded at once, and vectors a query may meet in a shard.
 STEP, BEAM, WIDTH, MOST = 16, 48, 4, 2_000
+#: What bounds and bars of the exact check leave to rounding, and the share of parts in reach from which all are multiplied.
+SLACK, DENSE = 1e-5, 0.1
 
 
 # --- a shard --------------------------------------------------------------------------------------------------------
@@ -139,6 +145,43 @@ def walk(unit: np.ndarray, edges: np.ndarray, above: np.ndarray, queries: np.nda
     return place, best, met
 
 
+# --- the exact check ------------------------------------------------------------------------------------------------
+
+
+def parted(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the vectors, those of a pivot together; where each pivot's begin, and the end; the largest angle between
+    each pivot and a vector of it)."""
+    pivots = unit[::STEP]
+    owner, angle = np.zeros(len(unit), np.int64), np.zeros(len(unit))
+    for a in range(0, len(unit), nearest.VECTORS_AT_ONCE):
+        score = unit[a : a + nearest.VECTORS_AT_ONCE] @ pivots.T
+        at = score.argmax(axis=1)
+        owner[a : a + len(at)], angle[a : a + len(at)] = at, np.arccos(np.clip(score[np.arange(len(at)), at], -1, 1))
+    radius = np.zeros(len(pivots))
+    np.maximum.at(radius, owner, angle)
+    order = np.argsort(owner, kind="stable")
+    return order, np.searchsorted(owner[order], np.arange(len(pivots) + 1)), radius
+
+
+def reaching(unit: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, bar: np.ndarray, k: int):
+    """(rows of queries, places of vectors, scores) of all pairs that may belong to the k best: none at or above the bar is
+    left out. `bar` rises."""
+    order, starts, radius = parts
+    angle = np.arccos(np.clip(queries @ unit[::STEP].T, -1, 1))
+    reached = np.cos(np.maximum(angle - radius, 0)) + SLACK >= bar[:, None]
+    if reached.mean() > DENSE:  # hardly a part is out of reach: all of them in long runs
+        runs = [(np.arange(len(queries)), order[a : a + nearest.VECTORS_AT_ONCE]) for a in range(0, len(order), nearest.VECTORS_AT_ONCE)]
+    else:
+        runs = [(np.flatnonzero(reached[:, p]), order[starts[p] : starts[p + 1]]) for p in np.flatnonzero(reached.any(axis=0))]
+    for who, them in runs:
+        scores = np.round(queries[who] @ unit[them].T, 6)
+        if scores.shape[1] >= k:
+            bar[who] = np.maximum(bar[who], np.partition(scores, -k, axis=1)[:, -k])
+        row, at = np.nonzero(scores >= bar[who][:, None] - SLACK)
+        if len(row):
+            yield who[row], them[at], scores[row, at]
+
+
 # --- the index ------------------------------------------------------------------------------------------------------
 
 
@@ -185,9 +228,9 @@ def build(vectors: DataFrame, key: str = "chunk_id", shard: int = SHARD) -> Data
     return storage.materialize(dealt.mapInArrow(run, "file string, width int, size long"), "graph_files")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", key_type: T.DataType | None = None, beam: int = BEAM, most: int = MOST, block: int = nearest.QUERY_BLOCK) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", key_type: T.DataType | None = None, beam: int = BEAM, most: int = MOST, block: int = nearest.QUERY_BLOCK, exact: bool = False) -> DataFrame:
     """index of build(), queries(question_id, embedding) -> question_id, key, score, rank, distance: of the vectors that the
-    walks met, the k best, with exact scores."""
+    walks met, the k best, with exact scores; with `exact` the k best of all vectors (ties go to the smaller key)."""
     spark: SparkSession = index.sparkSession
     schema = T.StructType([T.StructField("question_id", queries.schema["question_id"].dataType), T.StructField(key, key_type or T.StringType()), T.StructField("score", T.DoubleType())])
     load = nearest.query_blocks(queries.select("question_id", "embedding"), block)
@@ -203,9 +246,17 @@ def search(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id",
                         continue
                     if shard is None:
                         shard = read_shard(name)
+                        parts = parted(shard[1]) if exact else None
                     keys, *graph = shard
                     for a in range(0, len(some.ids), AT_ONCE):
-                        place, score, _ = walk(*graph, some.rows[a : a + AT_ONCE], beam, most)
+                        asked = some.rows[a : a + AT_ONCE]
+                        place, score, _ = walk(*graph, asked, beam, most)
+                        if exact:
+                            bar = seen.bar(number, len(some.ids))[a : a + AT_ONCE]
+                            np.maximum(bar, score[:, k - 1], out=bar)
+                            for row, at, found in reaching(graph[0], parts, asked, bar, k):
+                                seen.add(number, some.ids, (row + a, found, keys[at]))
+                            continue
                         row, at = np.nonzero(place >= 0)
                         seen.add(number, some.ids, (row + a, score[row, at], keys[place[row, at]]))
                     if seen.held > nearest.HELD:

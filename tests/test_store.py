@@ -185,6 +185,23 @@ def test_graph_search(spark):
     assert graph.search(empty, asked, 5, "vec_id", vectors.schema["vec_id"].dataType).count() == 0
 
 
+def test_graph_search_is_exact(spark):
+    """With the exact check nothing is missed where walks meet few vectors: copies, zeros, clusters and directionless ones."""
+    rng = np.random.default_rng(17)
+    x = np.concatenate([rng.standard_normal((1500, 24)), np.repeat(rng.standard_normal((20, 24)), 40, axis=0) + 0.02 * rng.standard_normal((800, 24)), np.repeat(rng.standard_normal((2, 24)), 150, axis=0), np.zeros((8, 24))])
+    x = x[rng.permutation(len(x))]
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    asked = vectors.filter("vec_id % 9 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    made = graph.build(vectors, "vec_id", shard=400)
+    kind = vectors.schema["vec_id"].dataType
+    want = sorted(map(tuple, nearest.knn(vectors, asked, 5, "vec_id").select("question_id", "vec_id", "rank", "score").collect()))
+    for block in (50, 4096):
+        got = graph.search(made, asked, 5, "vec_id", kind, beam=5, most=20, block=block, exact=True)
+        assert sorted(map(tuple, got.select("question_id", "vec_id", "rank", "score").collect())) == want
+    walked = graph.search(made, asked, 5, "vec_id", kind, beam=5, most=20).select("question_id", "vec_id", "rank", "score").collect()
+    assert sorted(map(tuple, walked)) != want
+
+
 def test_graph_query_recall(spark):
     """The registered query on the rows of the bench: at least 0.9 of what the exact query finds."""
     exact, near = ({(r["question_id"], r["vec_id"]) for r in catalogue.QUERIES[q](spark, "/root/testdata/sf0.1").collect()} for q in ("knn_exact", "knn_graph"))
