@@ -37,6 +37,20 @@ def test_md5_variant_has_unit_vectors(spark):
     assert tf == dict(vectorize.features("red fox red"))
 
 
+def test_md5_variant_shuffles_no_features(spark):
+    """Rows of one key are counted in their task; repeated and null keys are joined, with the same results."""
+    texts = ["red fox red", "...", "", "the fox_12 é K\u212a abc", "a a a bb", "fox red", "red", None]
+    rows = spark.createDataFrame([(k if k != 5 else 0, t) for k, t in enumerate(texts)] + [(None, "red fox"), (None, "a bb")], "doc_id int, text string").repartition(3)
+    rows = rows.filter("text IS NOT NULL")
+    values = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["bucket"], round(r["value"], 9)) for r in df.collect())
+    assert values(vectorize.hashed_md5(rows)) == values(vectorize.joined_md5(rows))
+    plan = vectorize.sparse_vectors(rows, vectorize.Md5Model)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan
+    model = vectorize.Md5Model()
+    model.remember = 3  # forgotten words are hashed again
+    assert np.allclose([model([t or ""])[0] for t in texts * 2], vectorize.Md5Model()([t or "" for t in texts * 2]), atol=1e-12)
+
+
 VECTORS = [("a1", "doc_a", [0.11, 0.23, 0.37] * 4), ("b1", "doc_b", [0.31, 0.17, 0.41] * 4), ("z", "doc_z", [0.0] * 12), ("n", None, None), ("w", "doc_w", [1.0] * 5)]
 
 
