@@ -114,6 +114,25 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_lsh_joins_no_pairs(spark):
+    """Candidates share a band; they are compared in the task, in blocks, and the plan has no join."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((400, 12)), np.repeat(rng.standard_normal((1, 12)), 200, axis=0), np.zeros((2, 12))])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(9000, None), (9001, [])], "vec_id long, embedding array<double>").repartition(3)
+    asked = rows.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    u = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    sign = (u @ np.random.default_rng(11).standard_normal((5 * 4, 12)).astype(np.float32).T > 0).reshape(-1, 5, 4)
+    want = []
+    for q in range(0, len(x), 7):
+        near = np.flatnonzero((sign == sign[q]).all(axis=2).any(axis=1))
+        score = np.round(u[near] @ u[q], 6)
+        want += [(q, int(near[j]), r) for r, j in enumerate(np.lexsort((near, -score))[:5], 1)]
+    for block in (30, 4096):
+        found = index.knn_lsh(rows, asked, 5, "vec_id", bands=5, bits=4, block=block)
+        assert sorted((r["question_id"], r["vec_id"], r["rank"]) for r in found.collect()) == sorted(want)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_upsert_and_ignore(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "chunk_id int, v string")
     new = spark.createDataFrame([(2, "x"), (3, "y")], "chunk_id int, v string")
