@@ -73,3 +73,24 @@ def test_highlight(one):
 def test_headings(one, line):
     assert one(tx.is_heading, line) is True
     assert one(tx.is_heading, line.lower() + " and so on it goes.") is False
+
+
+def test_quick_looks_change_nothing(spark):
+    """Cleaning looks first whether a pattern is needed; the texts are those of the plain patterns."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r", "\r\n", "-\n", " ", "\u0085", "\x1c", "\x0b", "\x0c", "\x07", "\x7f", "\x00", "a", "b", "é", "_", "ﬁ", "“", "​", "\U0001f600", "　", " ", "5"]
+    rows = spark.createDataFrame([(None,), ("",), *[("".join(rng.choices(parts, k=rng.randint(1, 12))),) for _ in range(3000)]], "t string")
+    plain = {
+        "strip": lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""),
+        "dehyphenate": lambda t: F.regexp_replace(t, r"(?U)(\w)-\n(\w)", "$1$2"),
+        "fold_newlines": lambda t: F.regexp_replace(t, "\r\n?", "\n"),
+        "collapse_whitespace": lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\f\x0B]+", " "), r"(?U)(^|\n)[^\S\n]+", "$1"), r"(?U)[^\S\n]+(\n|$)", "$1"), "\n{3,}", "\n\n"),
+    }
+    for name, by in plain.items():
+        found = getattr(tx, name)(F.col("t"))
+        assert "CASE WHEN" in str(found._jc.toString()).upper() or "transform" in str(found._jc.toString())
+        assert rows.filter(~by(F.col("t")).eqNullSafe(found)).count() == 0, name
