@@ -127,3 +127,14 @@ def test_a_wide_tree_is_listed_by_tasks(spark, tmp_path):
     assert len(parts) == 1 + 3 + 9
     listed = [r["path"] for r in folder.listing(spark, str(tmp_path)).collect()]
     assert len(listed) == len(set(listed)) == 18
+
+
+def test_columns_of_a_page_are_taken_apart_once(spark):
+    """The gutter comes from the distinct spans of a page's boxes, however many words stand in them."""
+    from pyspark.sql import functions as F
+
+    words = spark.range(800).select(F.lit(1).alias("doc_id"), F.lit(0).alias("page"), F.lit(612.0).alias("page_width"), F.lit("word").alias("text"), (F.when(F.col("id") % 2 == 0, 40.0).otherwise(330.0)).alias("x0"), (F.when(F.col("id") % 2 == 0, 280.0).otherwise(570.0)).alias("x1"), F.floor(F.col("id") / 2).cast("double").alias("top"))
+    found = readers.gutters(words)
+    assert [tuple(r) for r in found.collect()] == [(1, 0, 280, 330)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Aggregate" in after for after in plan.split("Generate explode(sequence")[1:2]) and "Aggregate" in plan.split("Generate explode(sequence")[1].split("Join")[0]
