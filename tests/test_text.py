@@ -94,3 +94,15 @@ def test_quick_looks_change_nothing(spark):
         found = getattr(tx, name)(F.col("t"))
         assert "CASE WHEN" in str(found._jc.toString()).upper() or "transform" in str(found._jc.toString())
         assert rows.filter(~by(F.col("t")).eqNullSafe(found)).count() == 0, name
+
+
+def test_highlight_makes_terms_once(spark):
+    """The query's terms are bound outside of the parts."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("The Fox ate a foxglove", "fox the, ate"), ("nothing", "a b"), ("x", None), (None, "fox")], "t string, q string")
+    found = rows.select(tx.highlight(F.col("t"), F.col("q")).alias("p"))
+    assert str(found._jdf.queryExecution().optimizedPlan().toString()).count("split(lower") == 1
+    got = [r["p"] if r["p"] is None else [(x["text"], x["hit"]) for x in r["p"]] for r in found.collect()]
+    assert got[0] == [("The", True), (" ", False), ("Fox", True), (" ", False), ("ate", True), (" a ", False), ("fox", True), ("glove", False)]
+    assert got[1] == [("nothing", False)] and got[3] is None
