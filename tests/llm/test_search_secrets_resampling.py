@@ -186,6 +186,30 @@ def test_secrets_query(spark, tmp_path):
     assert secrets_scan.report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_secrets_all_findings_are_learned_from(spark, monkeypatch):
+    """Every distinct finding is labelled, and shards learn together: thresholds are those of all held-out findings."""
+    rng = random.Random(8)
+    texts = [(k, f"token = {''.join(rng.choices('abcdefghkmnpqrst23456789', k=20))} in {k} of {''.join(rng.choices('aeioulnrst', k=22))}") for k in range(3300)]
+    found = secrets_scan.materialize(secrets_scan.find(frame(spark, texts), ["doc_id"]), "found")
+    seen = secrets_scan.labelled(found)
+    assert {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()} == {0: 3300, 1: 3300}
+    rows = secrets_scan.materialize(secrets_scan.with_made(seen.limit(900), 3), "rows")
+    assert rows.count() >= 900 + 3000 and rows.filter("NOT is_made").count() == 900
+    monkeypatch.setattr(secrets_scan, "SHARD", 1500)
+    monkeypatch.setattr(secrets_scan, "SORTED", 10)
+    model = secrets_scan.fit(rows)
+    held = [r for r in rows.collect() if secrets_scan.held_out(bytes(r["value"]))]
+    findings, y = [(bytes(r["left"]), bytes(r["value"]), bytes(r["right"])) for r in held], np.array([r["label"] for r in held])
+    number, makes = secrets_scan.numbers(model.net, findings), np.array([secrets_scan.make_of(v) for _, v, _ in findings])
+    slope, offset = secrets_scan.calibrate(lambda w, aims: secrets_scan.newton_sums(number, y, w, aims), int(y.sum()), int((1 - y).sum()))
+    assert (model.slope, model.offset) == pytest.approx((slope, offset), rel=1e-3)
+    for make in range(4):
+        good = np.sort(model.probability(number[(makes == make) & (y == 1)]))
+        if len(good):
+            assert model.thresholds[make] == pytest.approx(good[int((1 - secrets_scan.RECALL) * len(good))], rel=1e-3)
+    assert model.secret(findings)[y == 1].mean() >= 0.98 and model.secret(findings)[y == 0].mean() <= 0.02
+
+
 # --- resampling ---
 
 
