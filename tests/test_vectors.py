@@ -51,6 +51,31 @@ def test_md5_variant_shuffles_no_features(spark):
     assert np.allclose([model([t or ""])[0] for t in texts * 2], vectorize.Md5Model()([t or "" for t in texts * 2]), atol=1e-12)
 
 
+def test_models_agree_with_hand_made_features():
+    """Lists of many texts at once: odd letters, short and very long words, empty texts; md5 in arrays is hashlib's."""
+    texts = ["", "a", "ab ab", "\u0130STANBUL \u212a x", "é à 12", "A_b\na b", "x" * 300 + " y" * 3, "word" * 14 + " a", "...", "it's a red, red fox"] * 30
+    assert np.allclose(vectorize.HashingModel()(texts), [by_hand(t) for t in texts], atol=1e-12)
+    features = [b"f" * k for k in range(130)] + [bytes([k]) for k in range(256)]
+    model = vectorize.Md5Model()
+    assert model.values(features).tolist() == [int.from_bytes(hashlib.md5(f).digest()[:8], "big") for f in features]
+    assert len(model.values([])) == 0 and model([]).shape == (0, 384)
+
+
+def test_models_get_their_own_number_of_texts(spark):
+    """The hashing model says how many texts it takes at once; a model of one's own gets 32, or what is asked for."""
+
+    class Count:
+        def __call__(self, texts):
+            return [[float(len(texts))]] * len(texts)
+
+    class Own(Count):
+        batch = 256
+
+    rows = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("text"))
+    most = lambda *more: max(r["embedding"][0] for r in vectorize.embed(rows, "text", *more).collect())
+    assert (most(Count), most(Count, 7), most(Own)) == (32, 7, 40)
+
+
 VECTORS = [("a1", "doc_a", [0.11, 0.23, 0.37] * 4), ("b1", "doc_b", [0.31, 0.17, 0.41] * 4), ("z", "doc_z", [0.0] * 12), ("n", None, None), ("w", "doc_w", [1.0] * 5)]
 
 
