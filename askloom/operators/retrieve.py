@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from askloom.functions import text as tx
 from askloom.operators import index, vectorize
 from askloom.schemas import DEFAULT, Config
+from askloom.sources import storage
 
 
 def validate(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,12 +38,17 @@ def rerank(hits: DataFrame, config: Config = DEFAULT, top_k: int | None = None)
     return scored.filter(F.col("score") >= config.min_similarity).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def retrieve(questions: DataFrame, vectors: DataFrame, config: Config = DEFAULT, model: Callable = vectorize.HashingModel) -> DataFrame:
-    """questions(question_id, question, top_k?, document_id?) x vectors -> ranked hits with snippet and token estimate."""
+def retrieve(questions: DataFrame, vectors: DataFrame, config: Config = DEFAULT, model: Callable = vectorize.HashingModel, chunks: DataFrame | None = None) -> DataFrame:
+    """questions(question_id, question, top_k?, document_id?) x vectors -> ranked hits with snippet and token estimate.
+
+    The hits' other columns are read from `chunks`, the stored table that the vectors are made of, where they are not stored
+    themselves: they are made once then, and never written."""
     asked = vectorize.embed(questions, "question", model)
     hits = index.knn(vectors, asked, config.top_k * config.candidate_multiplier, document="doc_id")
     columns = [c for c in ("question", "top_k") if c in questions.columns]
-    joined = hits.drop("rank").join(vectors.drop("embedding", "embedding_model"), "chunk_id").join(questions.select("question_id", *columns), "question_id")
+    if chunks is not None:
+        hits = storage.materialize(hits, "hits")
+    joined = hits.drop("rank").join(vectors.drop("embedding", "embedding_model") if chunks is None else chunks, "chunk_id").join(questions.select("question_id", *columns), "question_id")
     return rerank(joined, config).withColumn("snippet", tx.snippet(F.col("text"))).withColumn("token_estimate", tx.estimate_tokens(F.col("text"))).withColumn("distance", F.round("distance", 4))
 
 

@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from askloom.functions import text as tx
-from askloom.operators import answer, chunk, clean, index, lifecycle, vectorize
+from askloom.operators import answer, chunk, clean, index, lifecycle, retrieve, vectorize
 from askloom.plans import catalogue
-from askloom.sources import readers
+from askloom.sources import readers, storage
 from askloom.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
@@ -219,3 +219,14 @@ def test_ingest_cleans_and_cuts_once(spark):
     assert "MapInArrow" not in plan_of(made.registry) and "MapInArrow" not in plan_of(made.rejects)
     plan = plan_of(made.vectors)
     assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1 and "regexp_replace(\\n{3,}" not in plan and "documents.parquet" not in plan
+
+
+def test_hits_are_the_same_without_stored_vectors(spark):
+    """retrieve() reads the hits' texts from the chunks; the vectors are made in one pass, and not again for the join."""
+    chunks = storage.materialize(spark.createDataFrame([(f"c{k}", f"d{k % 3}", f"red fox number {k}", False) for k in range(30)], "chunk_id string, doc_id string, text string, is_reference boolean"), "chunks")
+    questions = spark.createDataFrame([(1, "which fox is number 7"), (2, "red")], "question_id int, question string")
+    vectors = vectorize.embed(chunks)
+    columns = ["question_id", "rank", "chunk_id", "score", "snippet"]
+    found = lambda **more: retrieve.retrieve(questions, vectors, **more).select(columns)
+    assert sorted(map(tuple, found(chunks=chunks).collect())) == sorted(map(tuple, found().collect()))
+    assert "MapInArrow" not in found(chunks=chunks)._jdf.queryExecution().executedPlan().toString()
