@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from askloom.operators.report import latency_stats, recent
 from askloom.schemas import DEFAULT
-from askloom.sources import versions
+from askloom.sources import storage, versions
 
 #: Batches that a table holds before they are written as one.
 COMPACT = 32
@@ -64,8 +64,13 @@ def _current(spark: SparkSession, table: str, info: dict) -> tuple[DataFrame, Da
     """(the rows that count, with their batch; the newest batch of each key)."""
     rows = spark.read.parquet(*[f"{table}/{f}/rows" for f in info["folders"]])
     keys = spark.read.parquet(*[f"{table}/{f}/keys" for f in info["folders"]])
+    rows = rows.filter(F.col(info["key"]).isNotNull())
     newest = keys.groupBy(info["key"]).agg(F.max(BATCH).alias(BATCH))
-    return rows.join(newest, [info["key"], BATCH], "left_semi"), newest
+    if len(info["folders"]) == 1:
+        return rows, newest
+    # keys with an older batch are few beside all rows, which need no shuffle where these fit a broadcast
+    hidden = storage.materialize(keys.join(newest.withColumnRenamed(BATCH, "_newest"), info["key"]).filter(F.col(BATCH) < F.col("_newest")).select(info["key"], BATCH).distinct(), "hidden")
+    return rows.join(hidden, [info["key"], BATCH], "left_anti"), newest
 
 
 def latest(spark: SparkSession, table: str, query=None) -> DataFrame:

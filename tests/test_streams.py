@@ -83,3 +83,16 @@ def test_retained_report_equals_the_batch_one(spark, tmp_path):
         so_far = rows.filter(F.col("id") % 3 <= part)
         assert report.latency_stats(jobs.recent_rows(spark, f"{tmp_path}/t")).first() == report.latency_stats(report.recent(so_far)).first()
     assert jobs.recent_rows(spark, f"{tmp_path}/t").count() == 500
+
+
+def test_latest_shuffles_no_rows(spark, tmp_path):
+    """The rows that count are found without a shuffle of rows, also where newer batches hide some."""
+    for k, keys in enumerate(([1, 2, 3], [2, 4], [2])):
+        spark.createDataFrame([(i, k) for i in keys], "id int, v int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = jobs.read_parquet_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+        jobs.ingest_stream(source, lambda rows: rows, f"{tmp_path}/table", f"{tmp_path}/checkpoint", "id").awaitTermination()
+        found = jobs.latest(spark, f"{tmp_path}/table")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+        assert "HashAggregate" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 2), (3, 0), (4, 1)]
