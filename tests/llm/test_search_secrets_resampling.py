@@ -210,6 +210,32 @@ def test_secrets_all_findings_are_learned_from(spark, monkeypatch):
     assert model.secret(findings)[y == 1].mean() >= 0.98 and model.secret(findings)[y == 0].mean() <= 0.02
 
 
+def test_secrets_shards_do_not_depend_on_partitions(spark, monkeypatch):
+    """However many partitions there are, the shards make and learn from the same findings."""
+    rng = random.Random(9)
+    rows = [(k % 2, b"x = ", "".join(rng.choices("abcdef0123456789", k=30)).encode(), b" ") for k in range(400)]
+    seen = spark.createDataFrame(rows, "label int, left binary, value binary, right binary")
+
+    def learned():
+        out = {}
+        for n in (1, 3):
+            made = secrets_scan.with_made(seen, n, 60)
+            out[n] = sorted((r["label"], bytes(r["left"]), bytes(r["value"]), bytes(r["right"]), r["is_made"]) for r in made.collect()), secrets_scan.trained(seen, n, 0.5, 2)
+        return out
+
+    first = learned()
+    assert {n: len(rows) for n, (rows, _) in first.items()} == {1: 800, 3: 800}
+    plain = type(seen).repartition
+    monkeypatch.setattr(type(seen), "repartition", lambda self, n, *cols: plain(self, max(n, 13), *cols))
+    second = learned()
+    for n in (1, 3):
+        assert first[n][0] == second[n][0]
+        for k, v in first[n][1].items():
+            np.testing.assert_array_equal(v, second[n][1][k])
+    monkeypatch.setattr(secrets_scan, "PART", 50)
+    assert len(secrets_scan.with_made(seen, 3, 60).collect()) >= 800
+
+
 # --- resampling ---
 
 
