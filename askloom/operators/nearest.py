@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askloom.operators import vectorize
 from askloom.sources import storage
 
 #: Queries that meet the vectors at once, vectors in a run, vectors multiplied at once, and hits that a task holds.
@@ -42,8 +43,14 @@ def matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     out = np.zeros((len(found), width))
     out[ok] = flat[np.repeat(ok, found)].reshape(-1, width)
-    norm = np.sqrt((out * out).sum(axis=1))
-    return out / np.where(norm > 0, norm, 1)[:, None], ok & np.isfinite(norm)
+    rows, finite = unit(out)
+    return rows, ok & finite
+
+
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of length 1, which are finite); rows of zeros stay."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(norm > 0, norm, 1)[:, None], np.isfinite(norm)
 
 
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -183,24 +190,29 @@ def multiply(block: Block, name: object, x: np.ndarray, keys: np.ndarray, docume
             meet(block.of[document], rows[at : at + VECTORS_AT_ONCE])
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", document: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", document: str | None = None, block: int = QUERY_BLOCK, model: Callable | None = None, text: str = "embed_text") -> DataFrame:
     """Exact cosine top-k: (question_id, key, score, distance, rank) for queries(question_id, document_id or null, embedding).
 
-    A query meets the vectors of its own width, and no others. Ties go to the smaller key.
+    A query meets the vectors of its own width, and no others. Ties go to the smaller key. With a model (see vectorize.embed)
+    the vectors are made of the column `text` in the task that searches them, and do not leave it.
     """
     schema = T.StructType([T.StructField("question_id", queries.schema["question_id"].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
-    slim = vectors.select(key, (F.col(document) if document else F.lit(None)).cast("string").alias("document_id"), "embedding")
+    slim = vectors.select(key, (F.col(document) if document else F.lit(None)).cast("string").alias("document_id"), text if model else "embedding")
     load = query_blocks(queries, block)
 
     def run(batches):
-        seen = Collector(k)
+        seen, use = Collector(k), model() if model else None
         for batch in batches:
             for at in range(0, len(batch), RUN):
                 part, by_width = batch.slice(at, RUN), {}
+                made = vectorize.vectors_of(use, [t or "" for t in part.column(2).to_pylist()]) if use else None
                 for name, some in load():
                     width = some.rows.shape[1]
                     if width not in by_width:
-                        x, ok = matrix(part.column(2), width)
+                        if use is None:
+                            x, ok = matrix(part.column(2), width)
+                        else:
+                            x, ok = unit(made.astype(np.float64)) if made.shape[1] == width else (made, np.zeros(len(part), bool))
                         keys, documents = np.array(part.column(0).filter(ok).to_pylist()), {}
                         if some.of:
                             named = np.array([d or "" for d in part.column(1).filter(ok).to_pylist()])

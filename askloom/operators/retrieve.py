@@ -38,13 +38,17 @@ def rerank(hits: DataFrame, config: Config = DEFAULT, top_k: int | None = None)
     return scored.filter(F.col("score") >= config.min_similarity).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def retrieve(questions: DataFrame, vectors: DataFrame, config: Config = DEFAULT, model: Callable = vectorize.HashingModel, chunks: DataFrame | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, vectors: DataFrame | None, config: Config = DEFAULT, model: Callable = vectorize.HashingModel, chunks: DataFrame | None = None) -> DataFrame:
     """questions(question_id, question, top_k?, document_id?) x vectors -> ranked hits with snippet and token estimate.
 
-    The hits' other columns are read from `chunks`, the stored table that the vectors are made of, where they are not stored
-    themselves: they are made once then, and never written."""
-    asked = vectorize.embed(questions, "question", model)
-    hits = index.knn(vectors, asked, config.top_k * config.candidate_multiplier, document="doc_id")
+    Without vectors, those of the titles and texts of `chunks`, a stored table, are made in the tasks that search them, and
+    never written; the hits' other columns are read from `chunks`."""
+    asked, k = vectorize.embed(questions, "question", model), config.top_k * config.candidate_multiplier
+    if vectors is None:
+        titled = chunks.withColumn("embed_text", vectorize.title_aware(F.col("text"), F.col("filename")))
+        hits = index.knn(titled, asked, k, document="doc_id", model=model)
+    else:
+        hits = index.knn(vectors, asked, k, document="doc_id")
     columns = [c for c in ("question", "top_k") if c in questions.columns]
     if chunks is not None:
         hits = storage.materialize(hits, "hits")

@@ -230,3 +230,16 @@ def test_hits_are_the_same_without_stored_vectors(spark):
     found = lambda **more: retrieve.retrieve(questions, vectors, **more).select(columns)
     assert sorted(map(tuple, found(chunks=chunks).collect())) == sorted(map(tuple, found().collect()))
     assert "MapInArrow" not in found(chunks=chunks)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_makes_vectors_in_its_tasks(spark):
+    """retrieve() without vectors finds what it finds among those of titles and texts; no vector leaves the task."""
+    chunks = storage.materialize(spark.createDataFrame([(f"c{k}", f"d{k % 3}", f"{'old' * (k % 25)}_{k}.txt", None if k == 4 else f"red fox {'x' * k} number {k}", False) for k in range(80)], "chunk_id string, doc_id string, filename string, text string, is_reference boolean"), "chunks")
+    questions = spark.createDataFrame([(1, "which fox is number 7", None), (2, "red", "d1"), (3, "fox " + "x" * 70, None)], "question_id int, question string, document_id string")
+    columns = ["question_id", "rank", "chunk_id", "score", "snippet"]
+    for model in (vectorize.HashingModel, vectorize.Md5Model):
+        found = lambda vectors: sorted(map(tuple, retrieve.retrieve(questions, vectors, model=model, chunks=chunks).select(columns).collect()))  # noqa: B023, E731
+        assert found(None) == found(lifecycle.embedded(chunks, model)) and found(None)
+    titled, asked = chunks.withColumn("embed_text", F.col("text")), vectorize.embed(questions, "question")
+    assert plan_of(index.knn(titled, asked, 3, model=vectorize.HashingModel)).count("MapInArrow") == 1
+    assert index.knn(titled, asked.withColumn("embedding", F.slice("embedding", 1, 5)), 3, model=vectorize.HashingModel).count() == 0
