@@ -243,3 +243,11 @@ def test_search_makes_vectors_in_its_tasks(spark):
     titled, asked = chunks.withColumn("embed_text", F.col("text")), vectorize.embed(questions, "question")
     assert plan_of(index.knn(titled, asked, 3, model=vectorize.HashingModel)).count("MapInArrow") == 1
     assert index.knn(titled, asked.withColumn("embedding", F.slice("embedding", 1, 5)), 3, model=vectorize.HashingModel).count() == 0
+
+
+def test_upload_makes_registries_once(spark):
+    """The registry of an upload is made of the two written ones, not of the texts again."""
+    rows = catalogue.segments(spark, SMALL)
+    again = rows.filter("doc_id < 5").withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    both = lifecycle.upload(lifecycle.ingest(rows, model=catalogue.Nothing), again, model=catalogue.Nothing)
+    assert "documents.parquet" not in plan_of(both.registry) and both.registry.count() == rows.count()
