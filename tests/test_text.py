@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from askloom.functions import text as tx
 
@@ -106,3 +107,13 @@ def test_highlight_makes_terms_once(spark):
     got = [r["p"] if r["p"] is None else [(x["text"], x["hit"]) for x in r["p"]] for r in found.collect()]
     assert got[0] == [("The", True), (" ", False), ("Fox", True), (" ", False), ("ate", True), (" a ", False), ("fox", True), ("glove", False)]
     assert got[1] == [("nothing", False)] and got[3] is None
+
+
+def test_strip_looks_at_all_white_space(spark):
+    """Ends of one byte or several, blank or not; a text with plain ends is not counted through."""
+    ends = ["", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\u200b", "é", "\u4e00", "!", "~", "\x7f", "\U0001f600"]
+    rows = [(a + body + b,) for a in ends for b in ends for body in ("", "x", "x y é")] + [(None,)]
+    frame = spark.createDataFrame(rows, "t string")
+    plain = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert frame.filter(~tx.strip(F.col("t")).eqNullSafe(plain)).count() == 0
+    assert "as binary" in frame.select(tx.strip(F.col("t")))._jdf.queryExecution().analyzed().toString()
